@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import secrets, token_counts, url_rules
+from panelspark.llm import mixing, quality_pu, secrets, token_counts, token_files, url_rules
+from panelspark.llm.common import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.token_index(spark, out)
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -26,6 +42,40 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS ord FROM documents
+), g AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([3, 1, 2][CAST(rank % 3 AS INT) + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM g
+), r AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE)
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w
+), c AS (
+  SELECT *, first_value(CASE WHEN NOT cap < weight * rate THEN rate END IGNORE NULLS)
+      OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS common FROM r
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(weight * common, cap)) AS target FROM c
+), q AS (
+  SELECT doc_id, size, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id) AS BIGINT) AS reached
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), f AS (
+  SELECT *, reached / nullif(target, 0) AS f1, (reached + source_size) / nullif(target, 0) AS f2 FROM q
+), p AS (
+  SELECT size, f1 AS v FROM f WHERE size > 0 UNION ALL SELECT size, f2 FROM f WHERE size > 0
+), u AS (
+  SELECT v, sum(size) OVER (ORDER BY v) AS upto FROM p WHERE v IS NOT NULL
+), l AS (
+  SELECT max(v) AS last FROM u WHERE upto <= CAST(1.5 AS DOUBLE) * (SELECT sum(size) FROM d)
+)
+SELECT doc_id, size, source_size, target,
+       size * (CAST(coalesce(f1 <= last, FALSE) AS BIGINT) + CAST(coalesce(f2 <= last, FALSE) AS BIGINT)) AS taken
+FROM f, l
+"""
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -54,7 +104,10 @@ FROM r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_token_files": op3_token_files,
+    "op4_source_mix": op4_source_mix,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
 }
-ORACLE: dict[str, str] = {"op6_url_filter": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_source_mix": OP4_SQL, "op6_url_filter": OP6_SQL}
