@@ -5,11 +5,11 @@ over binned text statistics by minimising the non-negative unbiased risk
 
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]).
 
-With logistic loss the unbiased risk is convex, so Newton steps do; each step
-is one Spark pass that sums gradients over all rows. Where the second term goes
-negative, a step up its own gradient corrects that, as non-negative learning
-does. The class prior is estimated from the least ratio of unlabelled to
-positive mass over upper score tails. Negative labels are never read.
+With logistic loss the unbiased risk is convex, so Newton steps do; each is
+one Spark pass that sums gradients over all rows. Where the second term goes
+negative, its multiplier falls until it is not. The class prior is estimated from the least ratio of unlabelled to
+positive mass over upper score tails, on a fold that a first fit leaves out.
+Negative labels are never read.
 """
 
 from __future__ import annotations
@@ -39,18 +39,25 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class PuSettings:
-    """bins: of each statistic. steps: Newton steps at most. ridge: weight of the squared norm. slack: what the
+    """bins: of each statistic. passes: over the rows for a fit, at most. longest, least_step: of a change
 
-    non-negative term may fall short of 0. threshold: least score of a kept document. held_out: the remainder of
-    crc32(id as text) mod 4 whose labels are never read.
+    of weights. ridge: weight of the squared norm, to which one over the
+
+    number of positives is added. hold_rate, least_hold: of the second term's multiplier. tails: shares of the
+    positives in the tails that give the prior; prior_fold: the remainder of crc32(id as text) mod 4 that is held
+    back for it; held_out: the remainder whose labels are never read. threshold: least score of a kept document.
     """
 
-    bins: int = 16
-    steps: int = 8
+    bins: int = 10
+    passes: int = 14
+    longest: float = 2.0
+    least_step: float = 0.02
     ridge: float = 1e-3
-    slack: float = 0.0
+    hold_rate: float = 4.0
+    least_hold: float = 0.2
     first_prior: float = 0.5
-    tail: float = 0.2
+    tails: tuple[float, float] = (0.8, 0.97)
+    prior_fold: int = 3
     threshold: float = 0.7
     held_out: int = 2
 
@@ -142,22 +149,21 @@ def sums(train: DataFrame, edges: np.ndarray, weights: np.ndarray, bins: int = 0
             else:
                 up = np.logaddexp(0, g)
                 parts = [[len(g), p.sum(), up.sum(), up[p].sum(), np.logaddexp(0, -g[p]).sum()]]
-                parts += [x.T @ s, x[p].T @ s[p], x[p].sum(0), ((x * (s * (1 - s))[:, None]).T @ x).ravel()]
+                parts += [x.T @ s, x[p].T @ s[p], x[p].sum(0), (x * (s * (1 - s))[:, None]).T @ x, (x[p] * (s * (1 - s))[p, None]).T @ x[p]]
             flat = np.concatenate([np.asarray(v, float).ravel() for v in parts])
             return pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["sums"])
 
         return each
 
-    width = 2 * bins if bins else 5 + 3 * len(weights) + len(weights) ** 2
+    width = 2 * bins if bins else 5 + 3 * len(weights) + 2 * len(weights) ** 2
     total = np.zeros(width)
     for row in folded(map_batches(train.select("features", "positive"), start, "sums binary"), width).toLocalIterator():
         total += np.frombuffer(row["sums"])
     if bins:
         return {"u": total[:bins], "p": total[bins:]}
     d = len(weights)
-    cuts = np.cumsum([5, d, d, d])
-    head, grad_u, grad_p, x_p, hess = np.split(total, cuts)
-    return {"head": head, "grad_u": grad_u, "grad_p": grad_p, "x_p": x_p, "hess": hess.reshape(d, d)}
+    head, grad_u, grad_p, x_p, hess, hess_p = np.split(total, np.cumsum([5, d, d, d, d * d]))
+    return {"head": head, "grad_u": grad_u, "grad_p": grad_p, "x_p": x_p, "hess": hess.reshape(d, d), "hess_p": hess_p.reshape(d, d)}
 
 
 def folded(parts: DataFrame, width: int) -> DataFrame:
@@ -174,54 +180,56 @@ def folded(parts: DataFrame, width: int) -> DataFrame:
 
 
 def newton(train: DataFrame, edges: np.ndarray, weights: np.ndarray, prior: float, s: PuSettings) -> tuple[np.ndarray, list]:
-    history = []
-    for _ in range(s.steps):
+    """Newton steps on prior * E_p[loss(g)] + hold * (E_u[loss(-g)] - prior * E_p[loss(-g)]), convex for each hold of 0 to 1.
+
+    hold is the multiplier of the second term in the saddle form of max(0, .): it falls while that term is negative.
+    """
+    history, hold = [], 1.0
+    for _ in range(s.passes):
         t = sums(train, edges, weights)
         n, n_p, up_u, up_p, down_p = t["head"]
         negative = up_u / n - prior * up_p / n_p
-        risk = prior * down_p / n_p + max(0.0, negative)
-        history.append((float(risk), float(negative)))
-        grad_negative = t["grad_u"] / n - prior * t["grad_p"] / n_p
-        hess = t["hess"] / n + 2 * s.ridge * np.eye(len(weights))
-        if negative < -s.slack:
-            step = -0.5 * np.linalg.solve(hess, grad_negative)
-        else:
-            # d/dg of prior * (loss(g) - loss(-g)) is -prior, so the positives enter by their mean alone.
-            step = np.linalg.solve(hess, t["grad_u"] / n - prior * t["x_p"] / n_p + 2 * s.ridge * weights)
-        norm = float(np.abs(step).max())
-        weights = weights - step * min(1.0, 3.0 / max(norm, 1e-12))
-        if norm < 1e-3:
+        history.append((float(prior * down_p / n_p + max(0.0, negative)), float(negative)))
+        hold = float(np.clip(hold + s.hold_rate * negative, s.least_hold, 1.0))
+        ridge = s.ridge + 1 / n_p
+        # d/dg of prior * (loss(g) - loss(-g)) is -prior, so with hold 1 the positives enter by their mean alone.
+        gradient = hold * (t["grad_u"] / n - prior * t["x_p"] / n_p) + (1 - hold) * prior * (t["grad_p"] - t["x_p"]) / n_p + 2 * ridge * weights
+        curve = hold * t["hess"] / n + (1 - hold) * prior * t["hess_p"] / n_p + 2 * ridge * np.eye(len(weights))
+        step = np.linalg.solve(curve, gradient)
+        longest = float(np.abs(step).max())
+        weights = weights - step * min(1.0, s.longest / max(longest, 1e-12))
+        if longest < s.least_step:
             break
     return weights, history
 
 
-def tail_prior(u: np.ndarray, p: np.ndarray, tail: float) -> float:
-    """The least ratio of unlabelled to positive mass over upper tails that hold at least `tail` of the positives."""
-    above_u, above_p = u[::-1].cumsum()[::-1] / u.sum(), p[::-1].cumsum()[::-1] / p.sum()
-    enough = above_p >= tail
-    error = 1 / math.sqrt(max(p.sum() * tail, 1.0))
-    return float(np.clip(((above_u[enough] + 0.1 * error) / above_p[enough]).min(), 0.01, 0.99))
+def tail_prior(u: np.ndarray, p: np.ndarray, tails: tuple[float, float]) -> float:
+    """The least ratio of unlabelled to positive mass over upper tails that hold such shares of the positives."""
+    above_u, above_p = u[::-1].cumsum()[::-1] / max(u.sum(), 1), p[::-1].cumsum()[::-1] / max(p.sum(), 1)
+    at = np.unique(np.searchsorted(-above_p, -np.linspace(*tails, 18), side="right") - 1)
+    return float(np.clip((above_u[at] / np.maximum(above_p[at], 1e-9)).min(), 0.01, 0.99))
 
 
 def fit(features: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings()) -> PuModel:
     """features: (doc_id, features) of all documents. labels: (doc_id, quality); only quality 1 outside the held-out fold is read.
 
-    Without any positive the model scores every document with the first prior.
+    Without positives in both parts the model scores every document with the first prior.
     """
     prepare(features.sparkSession)
     trusted = labels.filter((F.col("quality") == 1) & (fold(F.col("doc_id")) != settings.held_out)).select(F.col("doc_id").alias("label_id")).distinct()
-    marked = features.join(trusted, F.col("doc_id") == F.col("label_id"), "left").select("features", F.col("label_id").isNotNull().alias("positive"))
+    marked = features.join(trusted, F.col("doc_id") == F.col("label_id"), "left").select("features", F.col("label_id").isNotNull().alias("positive"), fold(F.col("doc_id")).eqNullSafe(settings.prior_fold).alias("back"))
     train = written(marked, "pu-train")
     points = [(i + 1) / settings.bins for i in range(settings.bins - 1)]
     quantiles = train.select(*[F.percentile_approx(F.col("features")[i], points, 2000) for i in range(len(FEATURES))]).first()
     edges = np.array([q if q is not None else [0.0] * len(points) for q in quantiles])
     weights = np.zeros(len(FEATURES) * settings.bins + 1)
-    if not train.filter("positive").take(1):
+    if not train.filter("positive AND NOT back").take(1) or not train.filter("positive AND back").take(1):
         weights[-1] = math.log(settings.first_prior / (1 - settings.first_prior))
         return PuModel(edges, weights, settings.first_prior)
-    weights, history = newton(train, edges, weights, settings.first_prior, settings)
-    found = sums(train, edges, weights, 1000)
-    prior = tail_prior(found["u"], found["p"], settings.tail)
+    weights, history = newton(train.filter("NOT back"), edges, weights, settings.first_prior, settings)
+    found = sums(train.filter("back"), edges, weights, 2000)
+    prior = tail_prior(found["u"], found["p"], settings.tails)
+    weights[-1] += math.log(prior / (1 - prior)) - math.log(settings.first_prior / (1 - settings.first_prior))
     weights, more = newton(train, edges, weights, prior, settings)
     return PuModel(edges, weights, prior, history + more)
 
