@@ -56,3 +56,21 @@ def map_batches(df: DataFrame, rows: Callable[[], Callable[[pa.RecordBatch], pa.
                 yield each(batch)
 
     return df.mapInArrow(run, schema)
+
+
+class Memo(dict):
+    """Remembers fill(key). When full, the older half of the keys goes, but for those used again: memory is bounded, frequent keys stay."""
+
+    def __init__(self, fill: Callable, most: int):
+        super().__init__()
+        self.fill, self.half, self.older = fill, most // 2, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.fill(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
