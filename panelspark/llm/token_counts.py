@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.common import map_batches, prepare
+from panelspark.llm.common import Memo, map_batches, prepare
 
 #: White space as Unicode's property has it, and the pre-token pattern of byte-level vocabularies, fixed values.
 SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -52,22 +52,17 @@ class Counter:
     def __init__(self, path: str, proven: frozenset[str]):
         self.tok, self.pattern = tokenizer(path), regex.compile(PRETOKEN)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.proven, self.memo = dict.fromkeys(proven, 1), {}
+        self.proven, self.memo = dict.fromkeys(proven, 1), Memo(self.merged, MEMO)
 
     def merged(self, pretoken: str) -> int:
-        n = self.memo.get(pretoken)
-        if n is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            n = self.memo[pretoken] = len(self.tok.encode(pretoken, add_special_tokens=False).ids)
-        return n
+        return len(self.tok.encode(pretoken, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
         if not SETTLED.fullmatch(text) or any(s in text for s in self.special):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
         one, found = self.proven, self.pattern.findall(text)
         rest = [t for t in found if t not in one]
-        return len(found) - len(rest) + sum(map(self.merged, rest))
+        return len(found) - len(rest) + sum(map(self.memo.__getitem__, rest))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
