@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import mixing, quality_pu, secrets, token_counts, token_files, url_rules
+from panelspark.llm import minhash, mixing, quality_pu, secrets, token_counts, token_files, url_rules
 from panelspark.llm.common import fresh_path
 
 
@@ -42,6 +42,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_components(_table(spark, sf_dir, "documents"), minhash.NearSettings(words=4))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -109,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 ORACLE: dict[str, str] = {"op4_source_mix": OP4_SQL, "op6_url_filter": OP6_SQL}
