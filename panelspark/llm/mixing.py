@@ -31,7 +31,7 @@ class Mix:
     budget: float = 1.5
     epochs: int = 2
     seed: str = "mix"
-    bucket_rows: int = 20_000
+    bucket_rows: int = 4_000
 
 
 def word_count(text: Column) -> Column:
