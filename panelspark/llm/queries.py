@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import minhash, mixing, quality_pu, secrets, token_counts, token_files, url_rules
+from panelspark.llm import embeddings_join, minhash, mixing, quality_pu, secrets, token_counts, token_files, url_rules
 from panelspark.llm.common import fresh_path
 
 
@@ -47,6 +47,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings_join.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -81,6 +85,22 @@ SELECT doc_id, size, source_size, target,
 FROM f, l
 """
 
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95 * sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+), n AS (
+  SELECT x, count(*) AS n_links FROM l GROUP BY x
+)
+SELECT c.x AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON c.x = n.x
+"""
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -115,5 +135,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op4_source_mix": OP4_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
 }
-ORACLE: dict[str, str] = {"op4_source_mix": OP4_SQL, "op6_url_filter": OP6_SQL}
