@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import embeddings_join, minhash, mixing, quality_pu, secrets, token_counts, token_files, url_rules
+from panelspark.llm import embeddings_join, html_text, minhash, mixing, quality_pu, secrets, token_counts, token_files, url_rules
 from panelspark.llm.common import fresh_path
 
 
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -129,6 +133,7 @@ FROM r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_files": op3_token_files,
     "op4_source_mix": op4_source_mix,
     "op5_quality_classifier": op5_quality_classifier,
