@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import embeddings_join, html_text, minhash, mixing, quality_pu, secrets, token_counts, token_files, url_rules
+from panelspark.llm import embeddings_join, html_text, minhash, mixing, quality_pu, secrets, templates, token_counts, token_files, url_rules
 from panelspark.llm.common import fresh_path
 
 
@@ -51,6 +51,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "matched", "share", "exact").distinct()
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLE: dict[str, str] = {
