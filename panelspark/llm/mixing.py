@@ -31,7 +31,7 @@ class Mix:
     budget: float = 1.5
     epochs: int = 2
     seed: str = "mix"
-    bucket_rows: int = 4_000
+    bucket_rows: int = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -39,13 +39,13 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """A row per source: source_size, target. Sources rank by code point, null last.
+    """A row per source: source_size, source_rows, target. Sources rank by code point, null last.
 
     Targets share the budget by weight; none is above epochs x its source's
     size: with sources in order of cap / weight, those before some place get
     their cap and the rest share what is left by weight.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, mix.weights)), (rank % len(mix.weights) + 1).cast("int"))
     caps = total.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", mix.epochs * F.col("source_size"))
@@ -59,7 +59,7 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     # The first source that is not over its cap sets the rate of all later ones.
     rate = F.min(F.when(~F.col("over"), F.struct(F.col("cap") / F.col("weight"), "rank", "rate"))).over(everything)["rate"]
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * rate, F.col("cap").cast("double")))
-    return caps.select("source", "source_size", target.alias("target"))
+    return caps.select("source", "source_size", "source_rows", target.alias("target"))
 
 
 def shuffled(doc_id: Column, mix: Mix) -> Column:
@@ -73,17 +73,16 @@ def queued(docs: DataFrame, mix: Mix, doc_id: str, source: str, text: str) -> tu
     rows = cut(docs.select(*columns, shuffled(F.col(doc_id), mix).alias("order")))
     n = rows.count()
     sources = cut(source_targets(rows, mix))
-    buckets = max(1, n // mix.bucket_rows)
-    place = F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)
-    rows = rows.withColumn("bucket", F.floor(place))
+    few = sources.count() <= BROADCAST_SOURCES
+    sources = sources.withColumnRenamed("source", "of")
+    rows = rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("of")))
+    buckets = F.greatest(F.lit(1), F.floor(F.col("source_rows") / mix.bucket_rows))
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(earlier, F.lit(0)).alias("earlier"))
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rangeBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("inside", inside).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    few = sources.count() <= BROADCAST_SOURCES
-    sources = sources.withColumnRenamed("source", "of")
-    rows = rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("of")))
     reached = (F.col("earlier") + F.col("inside")).alias("reached")
     return rows.select("doc_id", "source", "size", "source_size", "target", reached), n
 
