@@ -150,7 +150,7 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, s: NearSettings) -> DataFrame:
-    """A row per document: doc_id, cls (of its shingle set; null without words), n_shingles, bands (keys)."""
+    """A row per document: doc_id, body (hash of the text), cls (of its shingle set; null without words), n_shingles, bands (keys)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def start():
@@ -163,13 +163,13 @@ def sketches(docs: DataFrame, doc_id: str, text: str, s: NearSettings) -> DataFr
                 part, full = full[:many], full[many:]
                 for i, k in zip(part, band_keys(signatures([sets[i] for i in part], s.bands * s.rows), s.bands), strict=True):
                     keys[i] = k
-            columns = [batch.column(0), pa.array(map(set_class, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "n_shingles", "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(map(set_class, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "cls", "n_shingles", "bands"])
 
         return each
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, start, f"doc_id {kind}, cls long, n_shingles long, bands array<long>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body"))
+    return map_batches(rows, start, f"doc_id {kind}, body long, cls long, n_shingles long, bands array<long>")
 
 
 def verified_groups(rows: DataFrame, s: NearSettings) -> DataFrame:
@@ -275,7 +275,7 @@ def hot_components(buckets: DataFrame, sets: DataFrame, s: NearSettings) -> Data
 
 
 def near_components(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (least id reachable over links), kept (doc_id = component_id).
+    """A row per document: doc_id, body, n_shingles, component_id (least id reachable over links), kept (doc_id = component_id).
 
     A null or wordless text has no shingles and links with nothing; whole texts
     are read. Rows of one shingle set are one class, so repeated rows share a
@@ -306,9 +306,9 @@ def near_components(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: s
     of = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
     least = of.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = cut(of.join(least, "root").select(F.col("cls").alias("of_cls"), "component_id"))
-    rows = sketched.select("doc_id", "cls", "n_shingles").join(labels, F.col("cls") == F.col("of_cls"), "left")
+    rows = sketched.select("doc_id", "body", "cls", "n_shingles").join(labels, F.col("cls") == F.col("of_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    rows = rows.select("doc_id", "body", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -317,5 +317,5 @@ def keep_one(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: str = "d
 
     Rows that repeat the kept id stay, as far as they repeat.
     """
-    gone = near_components(docs, s, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    gone = near_components(docs, s, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("body").alias("_body")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_body")), "left_anti")
