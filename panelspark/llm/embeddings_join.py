@@ -32,8 +32,8 @@ class RangeSettings:
     cosine: float = 0.95
     cell_rows: int = 2_000
     most_pivots: int = 4_096
-    block: int = 512
-    chunk: int = 2_048
+    block: int = 2_048
+    chunk: int = 1_024
 
 
 #: Room for rounding in the bounds; the cosine test itself has none.
