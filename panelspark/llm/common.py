@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch; texts can be long, so batches are kept short.
-BATCH_ROWS = 512
+#: Most rows and bytes of an Arrow batch; texts can be long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Short Arrow batches, so that long texts fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,11 +60,24 @@ def map_batches(df: DataFrame, rows: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 class Memo(dict):
-    """Remembers fill(key). When full, the older half of the keys goes, but for those used again: memory is bounded, frequent keys stay."""
+    """Remembers fill(key). When full, the older half of the keys goes, but for those used again: memory is bounded, frequent keys stay.
+
+    A worker serves many stages in turn; use() empties what other stages left.
+    """
+
+    _all: list[Memo] = []
 
     def __init__(self, fill: Callable, most: int):
         super().__init__()
         self.fill, self.half, self.older = fill, most // 2, {}
+        Memo._all.append(self)
+
+    def use(self) -> Memo:
+        for other in Memo._all:
+            if other is not self:
+                other.clear()
+                other.older.clear()
+        return self
 
     def __missing__(self, key):
         value = self.older.get(key)

@@ -46,7 +46,7 @@ U64 = np.uint64
 #: Multipliers of the word hash's polynomial and of the two permutations, odd numbers.
 STEP, SCATTER = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 PI_A, PI_B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
-WORDS = 800_000
+WORDS = 500_000
 _WORDS = Memo(xxhash.xxh3_64_intdigest, WORDS)
 
 
@@ -154,6 +154,8 @@ def sketches(docs: DataFrame, doc_id: str, text: str, s: NearSettings) -> DataFr
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def start():
+        _WORDS.use()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x or b"", s.words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             keys: list = [[] for _ in sets]
@@ -176,6 +178,7 @@ def verified_groups(rows: DataFrame, s: NearSettings) -> DataFrame:
     """rows (grp, cls, text), each group small -> (a, b): class and the least class linked with it, through others or not."""
 
     def run(batches):
+        _WORDS.use()
         for group in runs(batches, 1):
             sets = {set_class(x): x for x in (shingles((t or "").encode(), s.words) for _, _, t in group)}
             classes = sorted({c for _, c, _ in group} & sets.keys())  # rows that repeat an id with another text drop out
@@ -191,6 +194,8 @@ def class_sets(rows: DataFrame, s: NearSettings) -> DataFrame:
     """rows (cls, text) -> (cls, shingles): the classes' sets as bytes."""
 
     def start():
+        _WORDS.use()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x or b"", s.words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             same = pa.array([set_class(x) == c for x, c in zip(sets, batch.column(0).to_pylist(), strict=True)])

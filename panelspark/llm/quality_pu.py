@@ -137,27 +137,39 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 def sums(train: DataFrame, edges: np.ndarray, weights: np.ndarray, bins: int = 0) -> dict[str, np.ndarray]:
     """One pass over all rows: counts, losses, gradient and curvature sums; with bins, score histograms instead."""
 
-    def start():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = binned(matrix(batch.column(0)), edges)
-            p = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            g = np.clip(x @ weights, -40, 40)
-            s = 1 / (1 + np.exp(-g))
-            if bins:
-                at = np.minimum((s * bins).astype(int), bins - 1)
-                parts = [np.bincount(at, minlength=bins), np.bincount(at[p], minlength=bins)]
-            else:
-                up = np.logaddexp(0, g)
-                parts = [[len(g), p.sum(), up.sum(), up[p].sum(), np.logaddexp(0, -g[p]).sum()]]
-                parts += [x.T @ s, x[p].T @ s[p], x[p].sum(0), (x * (s * (1 - s))[:, None]).T @ x, (x[p] * (s * (1 - s))[p, None]).T @ x[p]]
-            flat = np.concatenate([np.asarray(v, float).ravel() for v in parts])
-            return pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["sums"])
+    width = 2 * bins if bins else 5 + 3 * len(weights) + 2 * len(weights) ** 2
 
-        return each
+    def part(features: pa.ListArray, positive: pa.Array) -> np.ndarray:
+        x = binned(matrix(features), edges)
+        p = positive.to_numpy(zero_copy_only=False).astype(bool)
+        g = np.clip(x @ weights, -40, 40)
+        s = 1 / (1 + np.exp(-g))
+        if bins:
+            at = np.minimum((s * bins).astype(int), bins - 1)
+            parts = [np.bincount(at, minlength=bins), np.bincount(at[p], minlength=bins)]
+        else:
+            up, curve = np.logaddexp(0, g), (s * (1 - s))[:, None]
+            parts = [[len(g), p.sum(), up.sum(), up[p].sum(), np.logaddexp(0, -g[p]).sum()]]
+            parts += [x.T @ s, x[p].T @ s[p], x[p].sum(0), (x * curve).T @ x, (x[p] * curve[p]).T @ x[p]]
+        return np.concatenate([np.asarray(v, float).ravel() for v in parts])
+
+    def one_row(vectors) -> pa.RecordBatch:
+        total = np.zeros(width)
+        for v in vectors:
+            total += v
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    width = 2 * bins if bins else 5 + 3 * len(weights) + 2 * len(weights) ** 2
+    def add_rows(batches):
+        yield one_row(part(batch.column(0), batch.column(1)) for batch in batches if batch.num_rows)
+
+    def add_sums(batches):
+        yield one_row(np.frombuffer(value.as_py()) for batch in batches for value in batch.column(0))
+
+    # A row of sums for each partition, then for each of about the square root of so many: the driver gets few.
+    parts = train.select("features", "positive").mapInArrow(add_rows, "sums binary")
+    few = max(1, math.isqrt(train.rdd.getNumPartitions()))
     total = np.zeros(width)
-    for row in folded(map_batches(train.select("features", "positive"), start, "sums binary"), width).toLocalIterator():
+    for row in parts.repartition(few).mapInArrow(add_sums, "sums binary").toLocalIterator():
         total += np.frombuffer(row["sums"])
     if bins:
         return {"u": total[:bins], "p": total[bins:]}
@@ -166,19 +178,6 @@ def sums(train: DataFrame, edges: np.ndarray, weights: np.ndarray, bins: int = 0
     return {"head": head, "grad_u": grad_u, "grad_p": grad_p, "x_p": x_p, "hess": hess.reshape(d, d), "hess_p": hess_p.reshape(d, d)}
 
 
-def folded(parts: DataFrame, width: int) -> DataFrame:
-    """One row of sums for each partition, so that what reaches the driver is bounded by partitions, not rows."""
-
-    def fold_task(batches):
-        total = np.zeros(width)
-        for batch in batches:
-            for value in batch.column(0):
-                total += np.frombuffer(value.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    return parts.mapInArrow(fold_task, "sums binary").coalesce(8).mapInArrow(fold_task, "sums binary")
-
-
 def newton(train: DataFrame, edges: np.ndarray, weights: np.ndarray, prior: float, s: PuSettings) -> tuple[np.ndarray, list]:
     """Newton steps on prior * E_p[loss(g)] + hold * (E_u[loss(-g)] - prior * E_p[loss(-g)]), convex for each hold of 0 to 1.
 

@@ -62,7 +62,7 @@ def coded(chunk: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(core.lower().encode()) & ~15) | flags
 
 
-_CODES = Memo(coded, 600_000)
+_CODES = Memo(coded, 500_000)
 
 
 class Template:
@@ -147,6 +147,7 @@ def document_windows(docs: DataFrame, s: TemplateSettings, doc_id: str, text: st
     wanted_by_task = None if wanted is None else spark.sparkContext.broadcast(wanted)
 
     def start():
+        _CODES.use()
         keep = None if wanted_by_task is None else wanted_by_task.value
         sizes = [TemplateSettings(words=w) for w in widths]
 

@@ -80,6 +80,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
 
     def start():
         counter = _counter(path, proven)
+        counter.memo.use()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts = pa.array([counter.count(x.as_py() or "") for x in batch.column(2)], pa.int64())

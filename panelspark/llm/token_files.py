@@ -79,6 +79,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc
 
     def start():
         coder, part, end = encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        coder.memo.use()
         done = 0
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
