@@ -54,6 +54,11 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
+#: Template hashes up to so many, some 50 bytes each, are broadcast; else hosts are salted.
+BROADCAST_TEMPLATES = 200_000
+SALTS = 32
+
+
 @dataclass(frozen=True)
 class Templates:
     """A subtree is template where at least `pages` different pages of the host, and such a share of them, have it."""
@@ -226,7 +231,15 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), r
     prepare(pages.sparkSession)
     templates = cut(site_templates(pages, rule, url, page))
     rows = pages.select(*keep, F.col(page).alias("_page"), host_of(F.col(url)).alias("_host"))
-    rows = rows.join(templates.withColumnRenamed("host", "_of"), F.col("_host") == F.col("_of"), "left").select(*keep, "_page", "template")
+    templates = templates.withColumnRenamed("host", "_of")
+    few = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0] <= BROADCAST_TEMPLATES
+    if few:
+        rows = rows.join(F.broadcast(templates), F.col("_host") == F.col("_of"), "left")
+    else:  # a host's pages are dealt over SALTS tasks
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_page"), F.lit(SALTS)))
+        templates = templates.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(templates, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_of_salt")), "left")
+    rows = rows.select(*keep, "_page", "template")
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def start():
