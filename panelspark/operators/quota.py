@@ -140,29 +140,40 @@ def cells_of(people: DataFrame, main: DataFrame, subs: DataFrame, ident: str, ke
     return own.unionByName(sub)
 
 
-def _ahead(rows: DataFrame) -> DataFrame:
-    """rows with taken and open: weights of accepted and of undecided rows ahead in the same start and cell.
+def _settled(rows: DataFrame, banded: bool) -> DataFrame:
+    """rows (a row per start, respondent and cell) after one application of both rules, without those who are out.
 
-    Sums go over bands of the order first and then within a band, so that a cell with many respondents is no single task.
+    Weights ahead are summed within bands of the order and, where there are several, over bands first, so that a cell
+    with many respondents is no single task.
     """
     taken, open_ = F.when(F.col("state") == 1, F.col("weight")).otherwise(0), F.when(F.col("state") == 0, F.col("weight")).otherwise(0)
-    sums = rows.groupBy("start_id", "cell", "band").agg(F.sum(taken).alias("t"), F.sum(open_).alias("o"))
-    before = Window.partitionBy("start_id", "cell").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("start_id", "cell", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_bands") for c in ("t", "o")])
     inside = Window.partitionBy("start_id", "cell", "band").orderBy(F.desc("noisy"), "respondent_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("*", F.coalesce(F.sum(taken).over(inside), F.lit(0)).alias("t_in"), F.coalesce(F.sum(open_).over(inside), F.lit(0)).alias("o_in"))
-    both = rows.join(sums, ["start_id", "cell", "band"])
-    return both.withColumn("taken", F.col("t_bands") + F.col("t_in")).withColumn("open", F.col("o_bands") + F.col("o_in"))
+    met = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in (("taken", taken), ("open", open_))])
+    if banded:
+        sums = rows.groupBy("start_id", "cell", "band").agg(F.sum(taken).alias("t"), F.sum(open_).alias("o"))
+        before = Window.partitionBy("start_id", "cell").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("start_id", "cell", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_bands") for c in ("t", "o")])
+        met = met.join(sums, ["start_id", "cell", "band"]).withColumn("taken", F.col("taken") + F.col("t_bands")).withColumn("open", F.col("open") + F.col("o_bands"))
+    own = Window.partitionBy("start_id", "respondent_id")
+    fits, full = F.col("taken") + F.col("open") < F.col("target"), F.col("taken") >= F.col("target")
+    judged = met.select(*rows.columns, F.min(fits).over(own).alias("fits"), F.max(full).over(own).alias("full"))
+    judged = judged.filter("state = 1 OR NOT full").withColumn("state", F.when(F.col("fits"), 1).otherwise(F.col("state")))
+    return judged.select(*rows.columns)
+
+
+def _band_edges(orders: DataFrame, starts: Starts) -> list[float]:
+    """Scores that part the order into bands of about band_rows."""
+    count = int(orders.count() // starts.band_rows)
+    if not count:
+        return []
+    points = [(i + 1) / (count + 1) for i in range(count)]
+    return orders.filter(~F.isnan("noisy")).agg(F.percentile_approx("noisy", points, 10_000).alias("e")).first()["e"] or []
 
 
-def _bands(orders: DataFrame, starts: Starts) -> Column:
-    """Which part of the order a row is in, best first; parts hold about band_rows."""
-    n = orders.count()
-    count = int(n // starts.band_rows)
-    if not count:
+def _band(edges: list[float]) -> Column:
+    """The part of the order a row is in, best first; missing scores come before all."""
+    if not edges:
         return F.lit(0)
-    points = [(i + 1) / (count + 1) for i in range(count)]
-    edges = orders.filter(~F.isnan("noisy")).agg(F.percentile_approx("noisy", points, 10_000).alias("e")).first()["e"] or []
     return F.when(F.isnan("noisy"), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col("noisy"))))
 
 
@@ -177,17 +188,16 @@ def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts
     orders = start_orders(people, starts, score, ident)
     cells = cells_of(people, main, subs, ident, key, sub_keys)
     orders = orders.join(cells.select("respondent_id").distinct(), "respondent_id", "left_semi")
-    orders = _cut(orders.withColumn("band", _bands(orders, starts)))
-    cells = _cut(cells)
-    states = orders.withColumn("state", F.lit(0))  # 0: undecided, 1: accepted
-    while states.filter("state = 0").take(1):
-        met = _ahead(states.join(cells, "respondent_id")).filter("state = 0")
-        fits, full = F.col("taken") + F.col("open") < F.col("target"), F.col("taken") >= F.col("target")
-        settled = met.groupBy("start_id", "respondent_id").agg(F.min(fits).alias("fits"), F.max(full).alias("full")).filter("fits OR full")
-        states = states.join(settled, ["start_id", "respondent_id"], "left").filter("state = 1 OR full IS NULL OR NOT full")
-        states = _cut(states.select("start_id", "respondent_id", "noisy", "band", F.when(F.col("fits"), 1).otherwise(F.col("state")).alias("state")))
+    edges = _band_edges(orders, starts)
+    rows = orders.withColumn("band", _band(edges)).join(cells, "respondent_id").withColumn("state", F.lit(0))  # 0: undecided, 1: accepted
+    rows = _cut(rows)
+    while rows.filter("state = 0").take(1):
+        for _ in range(3):
+            rows = _settled(rows, bool(edges))
+        rows = _cut(rows)
     order = Window.partitionBy("start_id").orderBy(F.desc("noisy"), "respondent_id")
-    return states.select("start_id", F.row_number().over(order).alias("rank"), "respondent_id")
+    accepted = rows.select("start_id", "respondent_id", "noisy").distinct()
+    return accepted.select("start_id", F.row_number().over(order).alias("rank"), "respondent_id")
 
 
 def best_start(allocations: DataFrame, starts: Starts) -> int | None:
