@@ -4,10 +4,12 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from panelspark.llm import quality_pu, templates
+from panelspark.llm import quality_pu, queries, templates
 from panelspark.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -61,3 +63,36 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+EXTRA = ("size", "key", "cls", "rank", "score", "grp", "order", "tie", "root", "tokens", "body", "features")
+ROWS = [(None, None, None, None, None), (None, "a null id " * 9, "en", "s", 1), (1, "", "en", None, 0), (2, "word", None, "s", 4), (3, "same text here for all of us", "en", "s", 2),
+        (4, "same text here for all of us", "en", "t", 2), (4, "same text here for all of us", "en", "t", 2), (5, "long words " * 40000, "en", "hot", None)]
+
+
+def test_stages_on_corner_rows(spark):
+    """Nulls, repeated rows, empty and long texts, extra columns with clashing names, empty tables."""
+    docs = spark.createDataFrame([(*r, *range(len(EXTRA))) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in EXTRA))
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, SF)
+            rows = out.collect()
+            if name != "token output":
+                assert out.columns == docs.columns and len(rows) <= 2 * len(ROWS)
+            else:
+                assert len(rows) == given.count()
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert 3 in kept and 4 not in kept and kept.count(None) == 2
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = con.execute(queries.ORACLE[name])
+    names = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    plain = lambda r: repr([round(x, 6) if isinstance(x, float) else x for x in r])
+    assert sorted(map(plain, df.select(*names).collect())) == sorted(map(plain, found.fetchall()))
