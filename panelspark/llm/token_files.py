@@ -25,6 +25,12 @@ from panelspark.llm.common import Memo, map_batches, prepare
 #: Encoded chunks that a worker remembers.
 MEMO = 800_000
 
+#: The byte-level alphabet by its rule: bytes that print stand for themselves, the others for code points from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+#: Lower-case letters below this are their own normal form and lower case.
+LATIN_END = chr(0x250)
+
 #: Writer settings of the format: version 2 pages give delta coding where there is no dictionary.
 FILE_OPTIONS = {
     "compression": "zstd",
@@ -49,11 +55,17 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.memo = Tokenizer.from_file(path), Memo(self.chunk, MEMO)
+        self.merge = self.tok.model.tokenize
 
     def chunk(self, chunk: bytes) -> bytes:
         if chunk[-1] in b".," and b"a" <= chunk[-2:-1] <= b"z":
             return self.memo[chunk[:-1]] + self.memo[chunk[-1:]]
-        return array("I", self.tok.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        word = chunk.decode()
+        if word.isalpha() and max(word) < LATIN_END and word == word.lower():  # one pre-token as it stands
+            ids = [token.id for token in self.merge(chunk.decode("latin-1").translate(BYTE_LETTERS))]
+        else:
+            ids = self.tok.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
