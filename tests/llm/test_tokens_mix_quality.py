@@ -3,9 +3,11 @@
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,6 +40,17 @@ def test_token_files_equal_library(spark):
     assert "EqualTo(doc_id,120)" in plan and "tokens:array" not in plan.split("ReadSchema")[-1]
 
 
+def test_token_file_format(spark):
+    out = fresh_path(spark, "tokens")
+    token_files.write_tokens(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), out, PATH, 2)
+    for file in Path(out.removeprefix("file:")).glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert "RLE_DICTIONARY" in columns["tokens.list.element"].encodings
+        assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+
+
 def test_token_files_empty(spark):
     out = fresh_path(spark, "tokens")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), out, PATH, 2)
