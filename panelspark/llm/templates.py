@@ -29,6 +29,10 @@ UNITS = frozenset(
 )
 
 
+#: Signs that are no part of a word at its ends, fixed values.
+STRIPPED = ".,;:!?\"'()[]{}<>«»“”‘’…*_#$€£%&"
+
+
 @dataclass(frozen=True)
 class TemplateSettings:
     """words: template tokens of a window. share: of an item's windows that make a hit. literals: least literal tokens of a window.
@@ -52,7 +56,7 @@ CAPITAL, END, FLAGS = U64(4), U64(8), U64(15)
 def coded(chunk: bytes) -> int:
     """A chunk between white space as 64 bits: hash of the lower-case core, and in the low bits what it is."""
     word = chunk.decode("utf-8", "replace")
-    core = word.strip(".,;:!?\"'()[]{}<>«»“”‘’…*_#$€£%&")
+    core = word.strip(STRIPPED)
     kind = 0
     if core and core[0].isdigit():
         kind = NUMBER
