@@ -34,6 +34,7 @@ LATIN_END = chr(0x250)
 #: Writer settings of the format: version 2 pages give delta coding where there is no dictionary.
 FILE_OPTIONS = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
