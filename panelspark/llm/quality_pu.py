@@ -5,11 +5,11 @@ over binned text statistics by minimising the non-negative unbiased risk
 
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]).
 
-With logistic loss the unbiased risk is convex, so Newton steps do; each is
-one Spark pass that sums gradients over all rows. Where the second term goes
-negative, its multiplier falls until it is not. The class prior is estimated from the least ratio of unlabelled to
-positive mass over upper score tails, on a fold that a first fit leaves out.
-Negative labels are never read.
+With logistic loss the unbiased risk is convex, so Newton steps do; each is one
+Spark pass that sums gradients over all rows. Where the second term goes
+negative, its multiplier falls until it is not. The class prior is estimated
+from the least ratio of unlabelled to positive mass over upper score tails, on a
+fold that a first fit leaves out. Negative labels are never read.
 """
 
 from __future__ import annotations
@@ -39,13 +39,15 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class PuSettings:
-    """bins: of each statistic. passes: over the rows for a fit, at most. longest, least_step: of a change
-
-    of weights. ridge: weight of the squared norm, to which one over the
-
-    number of positives is added. hold_rate, least_hold: of the second term's multiplier. tails: shares of the
-    positives in the tails that give the prior; prior_fold: the remainder of crc32(id as text) mod 4 that is held
-    back for it; held_out: the remainder whose labels are never read. threshold: least score of a kept document.
+    """How the classifier is fitted and used.
+
+    bins: of each statistic. passes: over the rows for a fit, at most. longest,
+    least_step: of a change of weights. ridge: weight of the squared norm, to
+    which one over the number of positives is added. hold_rate, least_hold: of
+    the second term's multiplier. tails: shares of the positives in the tails
+    that give the prior. prior_fold: the remainder of crc32(id as text) mod 4
+    that is held back for the prior; held_out: the one whose labels are never
+    read. threshold: least score of a kept document.
     """
 
     bins: int = 10
