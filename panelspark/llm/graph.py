@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import cut
 
 
+#: Pairs of nodes that a task takes, about.
+TASK_PAIRS = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root) for each node of an edge; root is the component's least node.
 
@@ -18,16 +22,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").filter("a IS NOT NULL AND b IS NOT NULL")
     pairs = cut(pairs.distinct())
-    before = None
-    while (now := _digest(pairs)) != before:
+    now, before = _digest(pairs), None
+    while now != before:
+        parts = 1 + now[0] // TASK_PAIRS  # pairs never get more; few tasks write few shuffle files
+        pairs = pairs.coalesce(parts)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = cut(large.coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before = now
+        pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
+        now, before = _digest(pairs), now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
