@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ ENDS = {
 #: A tag that ends others looks no further up than these.
 SCOPE = frozenset("article aside blockquote body button dd div dl fieldset figure footer form header li main menu nav ol section table td th ul".split())
 
-#: Boilerplate by tag, by ARIA role, and by a whole word of class or id.
+#: Boilerplate by tag, by ARIA role, and by a word of class or id.
 DROP_TAGS = frozenset("nav footer aside form button select script style noscript iframe template svg canvas object title head textarea menu dialog".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 DROP_WORDS = frozenset(
@@ -44,6 +45,12 @@ DROP_WORDS = frozenset(
     "breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr newsletter subscribe subscription social share sharing related recommended "
     "comment comments disqus respond replies popup modal overlay masthead skip toolbar widget".split()
 )
+#: A drop word beside the first is no sign of boilerplate (has-sidebar); beside the second (page-widget) it may be one, or name what stands around the page.
+MODIFIERS = frozenset("has with no not without hide".split())
+AROUND = frozenset("page layout wrapper free".split())
+#: Why an element is dropped. A form or a name of the page's surroundings is weak: not where the page's parts stand in it. Class and id are stronger.
+WEAK, NAMED, ALWAYS = 1, 2, 3
+LANDMARKS = frozenset("nav aside footer h1".split())
 #: Containers that can be template; the article itself and its text blocks cannot.
 TEMPLATE_TAGS = frozenset("div section header footer nav aside ul ol dl table form figure menu fieldset details center".split())
 ARTICLE = "article", "main"
@@ -68,18 +75,31 @@ class Templates:
 
 
 class Element:
-    __slots__ = ("tag", "drop", "article", "parts", "hash", "up")
+    __slots__ = ("tag", "drop", "article", "start", "in_main", "parts", "hash", "up")
 
     def __init__(self, tag: str, attributes: str, up: Element | None):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        words = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else set()
         role = found.get("role", "")
         article = tag in ARTICLE or role in ARTICLE
-        page_header = tag == "header" and not (up and up.article)
-        own = tag in DROP_TAGS or role in DROP_ROLES or page_header or (tag not in ("html", "body") and not article and bool(words & DROP_WORDS))
+        if tag in DROP_TAGS and tag != "form" or role in DROP_ROLES or tag == "header" and not (up and up.article):
+            self.drop = ALWAYS
+        else:
+            named = 0 if not found or article or tag in ("html", "body") else named_by(f"{found.get('class', '')} {found.get('id', '')}")
+            self.drop = max(named, WEAK if tag == "form" else 0)
         self.tag, self.up, self.parts, self.hash = tag, up, [f"<{tag} {found.get('class', '')}>"], None
-        self.drop = own or bool(up and up.drop)
-        self.article = tag if article else up.article if up else ""
+        self.start = self if article else up.start if up else None
+        self.article = ("article" if "article" in (tag, role) else "main") if article else up.article if up else ""
+        self.in_main = "main" in (tag, role) or bool(up and up.in_main)
+
+
+def named_by(names: str) -> int:
+    """How strongly class and id name boilerplate: by a drop word, as a token or in a compound without modifier."""
+    found = 0
+    for name in names.split():
+        words = set(re.findall(r"[a-z]+", name))
+        if words & DROP_WORDS and not words & MODIFIERS:
+            found = max(found, WEAK if words & AROUND else NAMED)
+    return found
 
 
 def parse(text: str) -> tuple[list[tuple[str, Element]], list[Element]]:
@@ -168,22 +188,86 @@ def parse(text: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     return blocks, containers
 
 
+def along(step: Callable[[int, Element], int]) -> Callable[[Element], int]:
+    """step folded over all that an element stands in, from the root to itself; each element is visited once, however deep."""
+    known: dict[Element | None, int] = {None: 0}
+
+    def value(e: Element) -> int:
+        line = []
+        while e not in known:
+            line.append(e)
+            e = e.up
+        at = known[e]
+        for x in reversed(line):
+            at = known[x] = step(at, x)
+        return at
+
+    return value
+
+
+def kept(blocks: list[tuple[str, Element]], soft: int) -> list[tuple[str, Element]]:
+    """Blocks outside of dropped elements. Reasons up to `soft` do not count for what stands around an article or main that has text, nor weak ones around landmarks."""
+    worst = along(lambda at, x: max(at, x.drop))
+    inner = along(lambda at, x: x.drop if x.start is x else max(at, x.drop))  # within the article
+    held: set[Element] = set()
+    page: set[Element] = set()
+    seen: set[Element] = set()
+
+    def hold(e: Element | None, into: set[Element]):
+        while e and e not in into:
+            into.add(e)
+            e = e.up
+
+    for _, e in blocks:
+        x = e
+        while x and x not in seen:
+            seen.add(x)
+            if x.tag in LANDMARKS:
+                hold(x.up, page)
+            x = x.up
+        if e.article and worst(e) <= soft and not inner(e):
+            hold(e.start.up, held)
+    out = along(lambda at, x: at or int(x.drop > 0 and not (x.drop <= soft and x in held or x.drop == WEAK and x in page)))
+    return [(b, e) for b, e in blocks if not out(e)]
+
+
+def chosen(blocks: list[tuple[str, Element]]) -> list[str]:
+    """Text of the article, else of main, else of the page, among the blocks that are not dropped.
+
+    An article under a comment's or side box's name counts where no other text
+    is left, or where it has the page's h1. All of main is taken where it has
+    more text outside of its articles than in them, and no h1 in these: they
+    are teasers. Where nothing is left, weak reasons do not count.
+    """
+    left = kept(blocks, WEAK)
+    if not any(e.article == "article" for _, e in left):
+        under = [(b, e) for b, e in kept(blocks, NAMED) if e.article]
+        if under and (not left or (headed(under) and not headed(left))):
+            left = under
+    if not left:
+        worst = along(lambda at, x: max(at, x.drop))
+        left = [(b, e) for b, e in blocks if worst(e) <= WEAK]
+    inside = [(b, e) for b, e in left if e.article == "article"]
+    own = sum(len(b) for b, e in left if e.article == "main")
+    if own > sum(len(b) for b, _ in inside) and all(e.in_main for _, e in inside) and not headed(inside):
+        return [b for b, e in left if e.in_main]
+    wanted = next((a for a in ARTICLE if any(e.article == a for _, e in left)), None)
+    return [b for b, e in left if wanted is None or e.article == wanted]
+
+
+def headed(blocks: list[tuple[str, Element]]) -> bool:
+    """Whether an h1 is among the blocks."""
+    in_h1 = along(lambda at, x: int(x.tag == "h1" or (at and x.tag not in BLOCK)))
+    return any(in_h1(e) for _, e in blocks)
+
+
 def main_blocks(text: str, template: frozenset[str] = frozenset()) -> list[str]:
     """Text blocks of the article (else of main, else of the page) outside of boilerplate and template subtrees."""
     blocks, containers = parse(text)
     for element in containers:
-        element.drop = element.drop or element.hash in template
-    there = {e.article for _, e in blocks}
-    wanted = next((a for a in ARTICLE if any(x == a for x in there)), None)
-
-    def gone(e: Element | None) -> bool:
-        while e:
-            if e.drop:
-                return True
-            e = e.up
-        return False
-
-    return [b for b, e in blocks if (wanted is None or e.article == wanted) and not gone(e)]
+        if element.hash in template:
+            element.drop = ALWAYS
+    return chosen(blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -198,7 +282,7 @@ def subtree_hashes(pages: DataFrame, url: str, page: str) -> DataFrame:
             bodies, hashes = [], []
             for value in batch.column(1):
                 blocks, containers = parse(value.as_py() or "")
-                body = [b for b, e in blocks if e.article] or [b for b, _ in blocks]
+                body = chosen(blocks) or [b for b, _ in blocks]
                 bodies.append(xxhash.xxh3_64_intdigest("\n".join(body)) - (1 << 63))
                 hashes.append(sorted({e.hash for e in containers if len(e.parts) > 1}))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.string()))], ["host", "body", "hashes"])

@@ -28,6 +28,30 @@ def test_blocks(page, want):
     assert html_text.main_blocks(page) == want
 
 
+#: A story that other elements' articles, layout classes or a form around the page once hid.
+HELD = [
+    ("<main><p>story</p><section id=comments><article class=comment><p>c</p></article></section></main>", ["story"]),
+    ("<div><p>story</p></div><aside><article><p>teaser</p></article></aside>", ["story"]),
+    ("<main><p>a long story of many words</p><article><p>teaser</p></article></main>", ["a long story of many words", "teaser"]),
+    ("<main><p>a list of other pages, longer</p><article><h1>T</h1><p>s</p></article></main>", ["T", "s"]),
+    ("<div class='layout has-sidebar'><article><p>story</p></article><div class=sidebar>s</div></div>", ["story"]),
+    ("<div class='layout has-sidebar'><p>story</p><div class=sidebar>s</div></div>", ["story"]),
+    ("<div id='page-widget'><p>before</p><article><p>story</p><div class='share-buttons'>s</div></article></div>", ["story"]),
+    ("<div class='post ad-free'><article><p>story</p></article></div><p>b</p>", ["story"]),
+    ("<div class=widget><article><h1>T</h1><p>story</p></article></div><p>b</p>", ["T", "story"]),
+    ("<form id=aspnetForm><nav>n</nav><article><p>story</p><form><p>q</p></form></article></form>", ["story"]),
+    ("<p>skip</p><form id=aspnetForm><nav>n</nav><div><h1>T</h1><p>story</p></div></form>", ["skip", "T", "story"]),
+    ("<form><div><p>story</p></div></form>", ["story"]),
+    ("<div role=article><p>story</p></div><p>b</p>", ["story"]),
+    ("<div>" * 5000 + "<p>deep</p>", ["deep"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), HELD)
+def test_story_is_not_dropped_with_what_stands_around_it(page, want):
+    assert html_text.main_blocks(page) == want
+
+
 def test_site_template_is_removed(spark):
     rows = []
     for i in range(30):
