@@ -68,7 +68,12 @@ SALTS = 32
 
 @dataclass(frozen=True)
 class Templates:
-    """A subtree is template where at least `pages` different pages of the host, and such a share of them, have it."""
+    """A subtree is template where n different pages of the host have it: `pages` at least, and n * n >= pages * share * (the host's pages).
+
+    Up to pages / share pages (40), `pages` are enough; beyond, the number asked
+    for grows with the root of the host's pages, so that what stands in one
+    section of a large host, or in turn with others, is template as well.
+    """
 
     pages: int = 8
     share: float = 0.2
@@ -295,14 +300,15 @@ def subtree_hashes(pages: DataFrame, url: str, page: str) -> DataFrame:
 def site_templates(pages: DataFrame, rule: Templates = Templates(), url: str = "url", page: str = "html") -> DataFrame:
     """Rows (host, template): the hashes that recur on the host. Pages with the same article count once, so copies make no template.
 
-    A page has few containers, and a template stands on a share of the pages, so
-    a host has no more templates than a page has containers, over that share.
+    A page has few containers, and a template stands on at least the root of
+    pages * share * the host's pages, so a host has no more templates than a page
+    has containers, times the root of its pages over that of pages * share.
     """
     seen = cut(subtree_hashes(pages, url, page))
     sizes = seen.select("host", "body").distinct().groupBy("host").count()
     counts = seen.select("host", "body", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("body").alias("n"))
     often = counts.filter(F.col("n") >= rule.pages).join(sizes.filter(F.col("count") >= rule.pages), "host")
-    return often.filter(F.col("n") >= rule.share * F.col("count")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+    return often.filter(F.col("n") * F.col("n") >= rule.pages * rule.share * F.col("count")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
 
 
 def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), rule: Templates = Templates(), url: str = "url", page: str = "html") -> DataFrame:

@@ -66,6 +66,14 @@ def test_site_template_is_removed(spark):
     assert (found[500], found[501]) == ("", "q")
 
 
+def test_notices_in_turn_are_template(spark):
+    rows = [(i, f"http://big.example/{i}", f"<div><p>offer number {i % 10}</p></div><div><p>story {i}</p></div>") for i in range(400)]
+    rows += [(1000 + i, f"http://big.example/q{i}", f"<div><p>quoted</p></div><div><p>tale {i}</p></div>") for i in range(10)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"story {i}" for i in range(400))
+    assert all(found[1000 + i] == f"quoted\n\ntale {i}" for i in range(10))
+
+
 def test_copies_make_no_template(spark):
     page = "<body><div><p>same story</p></div></body>"
     rows = [(i, "http://c.example/x", page) for i in range(50)] + [(100 + i, "http://c.example/y", f"<p>{i}</p>") for i in range(50)]
