@@ -3,14 +3,17 @@
 Numbers, names and units become typed placeholders, runs of one kind a single
 one. Windows of template tokens are hashed; the benchmark's windows are joined
 with the documents' by hash. Matches of an item along one diagonal of a document
-must be slot-consistent: each value in the item's slots goes with one value in
-the document, so that a question with other numbers or names still matches, but
-not a text that mixes them at will. A document is contaminated by an item of
-which it holds at least the given share of windows.
+must be slot-consistent: each value in the item's slots goes with the value that
+stands for it most often in the document, so that a question with other numbers
+or names still matches, but not a text that mixes them at will. Windows that
+contradict this do not count, unless their slots are the item's own. A document
+is contaminated by an item of which it holds at least the given share of
+windows, or an unbroken run of the given length.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +40,14 @@ STRIPPED = ".,;:!?\"'()[]{}<>«»“”‘’…*_#$€£%&"
 class TemplateSettings:
     """words: template tokens of a window. share: of an item's windows that make a hit. literals: least literal tokens of a window.
 
+    run: template tokens in a row, all in matching windows, that make a hit whatever the share.
+
     broadcast_windows: benchmark windows up to so many go to every task; beyond, documents' windows are joined by shuffle.
     """
 
     words: int = 5
     share: float = 0.8
+    run: int = 30
     literals: int = 2
     broadcast_windows: int = 2_000_000
 
@@ -115,12 +121,16 @@ class Template:
         part = slice(at, at + s.words)
         return self.value[part][self.kind[part] > 0].astype(np.int64).tolist()
 
+    def spots(self, at: int, s: TemplateSettings) -> list[int]:
+        """Places of the slots of a window in the text."""
+        return (np.flatnonzero(self.kind[at : at + s.words] > 0) + at).tolist()
+
 
-ITEM_SCHEMA = "item_id long, window long, item_at long, item_slots array<long>, width long"
+ITEM_SCHEMA = "item_id long, window long, item_at long, item_slots array<long>, item_spots array<long>, width long"
 
 
 def item_windows(items: DataFrame, s: TemplateSettings, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Rows (item_id, window, item_at, item_slots, width) of the benchmark's usable windows.
+    """Rows (item_id, window, item_at, item_slots, item_spots, width) of the benchmark's usable windows.
 
     An item's first word may stand inside a sentence of a document and be a name
     there, so the windows of that reading are rows of the same place. Items
@@ -134,10 +144,10 @@ def item_windows(items: DataFrame, s: TemplateSettings, item_id: str = "item_id"
                 for first in (False, True):
                     template = Template(value or b"", first)
                     hashes, good = template.windows(s).astype(np.int64), template.literal(s)
-                    rows |= {(item, int(h), at, tuple(template.slots(at, s)), min(s.words, len(template.token))) for at, (h, g) in enumerate(zip(hashes, good, strict=True)) if g and (not first or at < s.words)}
-            columns = list(zip(*sorted(rows, key=str), strict=True)) or [[]] * 5
-            types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item_id", "window", "item_at", "item_slots", "width"])
+                    rows |= {(item, int(h), at, tuple(template.slots(at, s)), tuple(template.spots(at, s)), min(s.words, len(template.token))) for at, (h, g) in enumerate(zip(hashes, good, strict=True)) if g and (not first or at < s.words)}
+            columns = list(zip(*sorted(rows, key=str), strict=True)) or [[]] * 6
+            types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item_id", "window", "item_at", "item_slots", "item_spots", "width"])
 
         return each
 
@@ -182,12 +192,57 @@ def document_windows(docs: DataFrame, s: TemplateSettings, doc_id: str, text: st
     return map_batches(rows, start, f"doc_id {kind}, body long, window long, doc_at long, doc_slots array<long>")
 
 
+def agreeing(windows: list[dict]) -> tuple[list[int], bool, int]:
+    """Of the matches on one diagonal: the item's places that are slot-consistent, whether all slots are the item's own, the longest run in tokens.
+
+    An item's value goes with the value that most of its occurrences have in the
+    document; of several with the most, with itself if it is one, else with none.
+    """
+    stands: dict[int, set] = defaultdict(set)
+    for w in windows:
+        for spot, own, other in zip(w["item_spots"], w["item_slots"], w["doc_slots"], strict=True):
+            stands[own].add((spot, other))
+    goes = {}
+    for own, found in stands.items():
+        votes = Counter(other for _, other in found)
+        most = max(votes.values())
+        best = [v for v, n in votes.items() if n == most]
+        goes[own] = own if own in best else best[0] if len(best) == 1 else None
+    places, exact = {}, True
+    for w in windows:
+        same = w["item_slots"] == w["doc_slots"]
+        exact = exact and same
+        if same or [goes[v] for v in w["item_slots"]] == w["doc_slots"]:
+            places[w["item_at"]] = w["width"]
+    run = first = last = 0
+    for at in sorted(places):
+        first = at if not run or at - last > places[at] else first
+        run, last = max(run, at - first + places[at]), at
+    return sorted(places), exact, run
+
+
+def agreeing_lines(lines: DataFrame) -> DataFrame:
+    """Rows (doc_id, body, item_id, places, exact, run) for rows (doc_id, body, item_id, windows), but for those without a consistent window."""
+    kind = lines.schema["doc_id"].dataType.simpleString()
+
+    def start():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            places, exact, run = zip(*map(agreeing, batch.column(3).to_pylist()), strict=True)
+            columns = [*batch.columns[:3], pa.array(places, pa.list_(pa.int64())), pa.array(exact, pa.bool_()), pa.array(run, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "item_id", "places", "exact", "run"])
+
+        return each
+
+    found = map_batches(lines, start, f"doc_id {kind}, body long, item_id long, places array<long>, exact boolean, run long")
+    return found.filter(F.size("places") > 0)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, s: TemplateSettings = TemplateSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per contaminated document and item: doc_id, body, item_id, n_windows, matched, share, exact.
 
-    n_windows: the item's windows; matched: those the document holds on
-    slot-consistent diagonals; exact: whether all slot values are the item's
-    own. body is a hash of the text: rows that repeat both id and text are one,
+    n_windows: the item's windows; matched: those the document holds, without
+    windows that contradict their diagonal; exact: whether all slot values are
+    the item's own. A hit by its run alone has a share below the given one. body is a hash of the text: rows that repeat both id and text are one,
     and texts of null ids stay apart. Null or wordless texts and items match
     nothing; empty tables give an empty result; other columns do not matter.
     """
@@ -204,15 +259,14 @@ def contaminated(docs: DataFrame, items: DataFrame, s: TemplateSettings = Templa
         docs = docs.limit(0)
     found = document_windows(docs, s, doc_id, text, wanted, widths or (s.words,))
     found = found.join(F.broadcast(windows) if few else windows, "window")
-    found = found.select("doc_id", "body", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), F.arrays_zip("item_slots", "doc_slots").alias("slots"))
-    same = F.forall("slots", lambda x: x["item_slots"] == x["doc_slots"])
-    lines = found.groupBy("doc_id", "body", "item_id", "diagonal").agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.min(same).alias("exact")
+    found = found.select("doc_id", "body", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), F.struct("item_at", "width", "item_spots", "item_slots", "doc_slots").alias("match"))
+    # A diagonal holds a window of the item once or, in both readings of its first word, twice.
+    lines = found.groupBy("doc_id", "body", "item_id", "diagonal").agg(F.collect_set("match").alias("windows")).drop("diagonal")
+    hits = agreeing_lines(lines).groupBy("doc_id", "body", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.min("exact").alias("exact"), F.max("run").alias("run")
     )
-    lines = lines.filter(F.size(F.array_distinct("slots.item_slots")) == F.size("slots"))
-    hits = lines.groupBy("doc_id", "body", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.min("exact").alias("exact"))
     hits = hits.join(F.broadcast(totals) if few else totals, "item_id").withColumn("share", F.col("matched") / F.col("n_windows"))
-    return hits.filter(F.col("share") >= s.share).select("doc_id", "body", "item_id", "n_windows", "matched", "share", "exact")
+    return hits.filter((F.col("share") >= s.share) | (F.col("run") >= s.run)).select("doc_id", "body", "item_id", "n_windows", "matched", "share", "exact")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, s: TemplateSettings = TemplateSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,6 +29,26 @@ def test_reparameterised_questions(spark):
     assert {k: r.exact for k, r in found.items()} == {(0, 0): True, (1, 0): False, (6, 0): True}
 
 
+def test_one_edited_occurrence_leaves_the_other_windows(spark):
+    edited = QUESTION.replace("12 bags", "13 bags")
+    other = QUESTION.replace("5 apples", "7 apples").replace("Anna before Tom", "Anna before Ben")
+    once = QUESTION + " The 12 bags of apples are heavy and he needs 12 hours to carry all of them to the cellar behind the house."
+    texts = [f"some words before it. {t} and more words after" for t in (edited, other)] + [once.replace("12", "40").replace("40 hours", "41 hours")]
+    found = hits(templates.contaminated(docs_of(spark, texts), items_of(spark, [QUESTION, once])))
+    assert {(0, 0), (1, 0), (2, 0), (2, 1)} == set(found)
+    assert not found[0, 0].exact and found[0, 0].matched == found[0, 0].n_windows - 5
+
+
+def test_long_quotation_of_a_longer_item(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    quote, short = " ".join(words[20:80]), " ".join(words[20:45])
+    broken = " ".join(w if i % 20 else "other" for i, w in enumerate(words))
+    texts = [f"before that {quote} and after", f"before that {short} and after", f"x {broken} y"]
+    found = hits(templates.contaminated(docs_of(spark, texts), items_of(spark, [" ".join(words)])))
+    assert {k: r.matched for k, r in found.items() if k != (2, 0)} == {(0, 0): 56}
+    assert templates.keep_clean(docs_of(spark, texts[:2]), items_of(spark, [" ".join(words)])).count() == 1
+
+
 def test_item_inside_a_sentence_and_short_items(spark):
     items = ["Green apples fall from old trees", "only three words", "The one"]
     texts = ["we saw Green apples fall from old trees again", "there are only three words here", "only three", "words three only"]
