@@ -291,16 +291,19 @@ def near_components(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: s
     prepare(docs.sparkSession)
     sketched = written(sketches(docs, doc_id, text, s), "sketches")
     some = sketched.filter("cls IS NOT NULL")
-    classes = cut(some.groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("cls").alias("copies")))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body"))
+    classes = some.groupBy("cls").agg(least.alias("least"), F.count("cls").alias("copies"))
+    classes = cut(classes.select("cls", F.col("least.doc_id").alias("id"), F.col("least.body").alias("id_body"), "copies"))
     keyed = some.select("doc_id", "cls", "bands").dropDuplicates(["cls"]).select("cls", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("cls").alias("n"), F.min("cls").alias("leader")).filter("n > 1")
     shared = cut(keyed.join(buckets, "key"))
     groups = cut(graph.components(shared.select(F.col("cls").alias("a"), F.col("leader").alias("b"))))
     sizes = groups.groupBy("root").count()
     groups = cut(groups.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("grp"), (F.col("count") > s.group_rows).alias("hot")))
-    wanted = groups.join(classes.select("cls", "id"), "cls")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    texts = written(own.join(wanted, own["doc_id"].eqNullSafe(wanted["id"])).select("grp", "hot", "cls", "text"), "near-texts")
+    wanted = groups.join(classes.select("cls", "id", "id_body"), "cls")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own_body"))
+    # By id and text: many rows may have a null or repeated id.
+    texts = written(own.join(wanted, own["doc_id"].eqNullSafe(wanted["id"]) & (own["own_body"] == wanted["id_body"])).select("grp", "hot", "cls", "text"), "near-texts")
     edges = cut(verified_groups(texts.filter("NOT hot").select("grp", "cls", "text"), s))
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     hot = groups.filter("hot").select("cls")

@@ -101,3 +101,14 @@ def test_graph_components(spark):
                 for x in root[a]:
                     root[x] = root[a]
     assert found == {x: min(s) for x, s in root.items()}
+
+
+def test_texts_of_repeated_ids_are_fetched_once(spark, monkeypatch):
+    """40 classes in pairs, all of a null id: a text is fetched for its own class, not for each."""
+    base = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(20)]
+    rows = [(None, t + end) for t in base for end in ("", " more")]
+    fetched = []
+    real = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: (out := real(df, name), fetched.append(out.count()) if name == "near-texts" else None)[0])
+    found = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 40 and fetched == [40]
