@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most rows and bytes of an Arrow batch; texts can be long, so batches are kept short.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -20,9 +22,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a fresh one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a fresh one on a local master, an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="panelspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,6 +51,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of at most some 50 bytes that are broadcast, so 50 MB at most.
+BROADCAST_ROWS = 500_000
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """rows joined with a checkpoint or table of few short columns that has one row for each key.
+
+    keyed is counted: up to BROADCAST_ROWS it is broadcast, so that a hot key of
+    rows stays where it is. Beyond, both sides have a shuffle of their own, as
+    keyed is no aggregate by then, and Spark splits hot keys.
+    """
+    return rows.join(F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed, on, how)
+
+
+def free_name(*frames: DataFrame) -> Callable[[str], str]:
+    """Names for added columns that no column of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+
+    def name(wanted: str) -> str:
+        while wanted.lower() in taken:
+            wanted += "_"
+        taken.add(wanted.lower())
+        return wanted
+
+    return name
+
+
 def map_batches(df: DataFrame, rows: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with state for each task: rows() is called once there and gives the function of a batch."""
 

@@ -1,7 +1,7 @@
 """Embedding near-dedup by an exact metric range join.
 
-Pivots, a bounded sample of the vectors, partition the unit sphere: a vector's
-home is the nearest pivot's cell. Two vectors within the range meet in the
+Vectors of one length share a space. Pivots, a bounded sample of its vectors,
+partition the unit sphere: a vector's home is the nearest pivot's cell. Two vectors within the range meet in the
 earlier of their homes' cells, to which the later one is copied where the
 triangle inequality allows a partner there: its angle to that pivot may exceed
 the one to its own by twice the range at most, and the cell's radius by the
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import graph
-from panelspark.llm.common import cut, map_batches, prepare, written
+from panelspark.llm.common import cut, keyed_join, map_batches, prepare, written
 
 
 @dataclass(frozen=True)
 class RangeSettings:
-    """cosine: least of a link. cell_rows: vectors that a cell should hold. most_pivots: bound of the broadcast pivots. block: homes in a block."""
+    """cosine: least of a link. cell_rows: vectors that a cell should hold. most_pivots: of a length, they go to every task. block: homes in a block."""
 
     cosine: float = 0.95
     cell_rows: int = 2_000
@@ -36,8 +36,8 @@ class RangeSettings:
     chunk: int = 1_024
 
 
-#: Room for rounding in the bounds; the cosine test itself has none.
-SLACK = 1e-9
+#: Room for rounding in the bounds: near 1 a cosine's last bit is 1.5e-8 of the angle. The cosine test itself has none.
+SLACK = 1e-7
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -73,37 +73,85 @@ def homes(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return angles, angles.argmin(1)
 
 
-def dealt(classes: DataFrame, pivots: np.ndarray, radius: np.ndarray | None, s: RangeSettings) -> DataFrame:
-    """Rows (cell, cls, home, weight, unit): each class in its home's cell and, with radii, its copies in earlier cells. Without radii: the homes' angles."""
+@dataclass
+class Space:
+    """Pivots of the vectors of one length. first: number of its first cell; radius, counts: of its cells, once they are known."""
+
+    first: int
+    pivots: np.ndarray
+    radius: np.ndarray
+    counts: np.ndarray
+
+
+def dealt(classes: DataFrame, spaces: dict[int, Space], bounded: bool, s: RangeSettings) -> DataFrame:
+    """Rows (cell, cls, home, weight, blocks, unit): each class in its home's cell and its copies in earlier cells. Not bounded: the homes' angles."""
     reach = math.acos(s.cosine) + SLACK
     chord = math.sqrt(2 - 2 * s.cosine) + SLACK
 
+    def near_cells(rows: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and cell of each place where a row is to be, and the rows' homes."""
+        at = np.arange(len(rows))
+        angles, home = homes(rows, space.pivots)
+        own = angles[at, home]
+        near = (angles <= own[:, None] + 2 * reach) & (angles <= space.radius[None, :] + reach)
+        cosines = np.cos(angles)
+        there, of = np.unique(home, return_inverse=True)
+        apart = np.sqrt(np.maximum(2 - 2 * np.clip(space.pivots[there] @ space.pivots.T, -1, 1), 1e-18))
+        near &= (cosines[at, home][:, None] - cosines) <= chord * apart[of] + SLACK
+        near &= np.arange(len(space.pivots))[None, :] < home[:, None]
+        near[at, home] = True
+        return *np.nonzero(near), home
+
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_rows
-            raw = batch.column(2)
-            rows = np.frombuffer(b"".join(raw.to_pylist())).reshape(n, -1)
-            angles, home = homes(rows, pivots)
-            own = angles[np.arange(n), home]
-            if radius is None:
-                return pa.RecordBatch.from_arrays([pa.array(home), pa.array(own)], ["cell", "angle"])
-            near = (angles <= own[:, None] + 2 * reach) & (angles <= radius[None, :] + reach)
-            cosines = rows @ pivots.T
-            apart = np.sqrt(np.maximum(2 - 2 * np.clip(pivots @ pivots.T, -1, 1), 1e-18))
-            near &= (cosines[np.arange(n), home][:, None] - cosines) <= chord * apart[home] + SLACK
-            near &= np.arange(len(pivots))[None, :] < home[:, None]
-            near[np.arange(n), home] = True
-            row, cell = np.nonzero(near)
+            raw = batch.column(2).to_pylist()
+            sizes = np.array([len(x) // 8 for x in raw])
+            found = []
+            for size in np.unique(sizes):
+                at, space = np.flatnonzero(sizes == size), spaces[int(size)]
+                rows = np.frombuffer(b"".join([raw[i] for i in at])).reshape(len(at), -1)
+                if bounded:
+                    row, cell, home = near_cells(rows, space)
+                    found.append((at[row], cell + space.first, cell == home[row], -(-space.counts[cell] // s.block)))
+                else:
+                    angles, home = homes(rows, space.pivots)
+                    found.append((home + space.first, angles[np.arange(len(at)), home]))
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            if not bounded:
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "angle"])
+            row, cell, own, blocks = columns
             at = pa.array(row)
-            columns = [pa.array(cell), batch.column(0).take(at), pa.array(cell == home[row]), batch.column(1).take(at), raw.take(at)]
-            return pa.RecordBatch.from_arrays(columns, ["cell", "cls", "home", "weight", "unit"])
+            columns = [pa.array(cell), batch.column(0).take(at), pa.array(own), batch.column(1).take(at), pa.array(blocks), batch.column(2).take(at)]
+            return pa.RecordBatch.from_arrays(columns, ["cell", "cls", "home", "weight", "blocks", "unit"])
 
         return each
 
-    schema = "cell long, angle double" if radius is None else "cell long, cls long, home boolean, weight long, unit binary"
+    schema = "cell long, cls long, home boolean, weight long, blocks long, unit binary" if bounded else "cell long, angle double"
     return map_batches(classes.select("cls", "weight", "unit"), start, schema)
 
 
+def spaces_of(classes: DataFrame, s: RangeSettings) -> dict[int, Space]:
+    """A space for each length, with pivots, radii and counts. The driver gets most_pivots vectors and as many numbers of a length at most.
+
+    Pivots come in the order of a hash, out of a share of the vectors so chosen
+    by it that some eight times as many as are needed take part in the sort.
+    """
+    size = (F.octet_length("unit") / 8).cast("int")
+    spaces: dict[int, Space] = {}
+    first = 0
+    for length, n in sorted(tuple(r) for r in classes.groupBy(size).count().collect()):
+        few = min(s.most_pivots, max(1, n // s.cell_rows))
+        part = classes.filter((size == length) & (F.pmod(F.xxhash64("cls"), F.lit(1 << 40)) <= int((8 * few + 64) / n * (1 << 40))))
+        pivots = np.array([np.frombuffer(r["unit"]) for r in part.select("cls", "unit").orderBy(F.hash("cls"), "cls").limit(few).collect()])
+        spaces[length] = Space(first, pivots, np.full(few, -1.0), np.ones(few, np.int64))
+        first += few
+    seen = {r["cell"]: (r["angle"], r["n"]) for r in dealt(classes, spaces, False, s).groupBy("cell").agg(F.max("angle").alias("angle"), F.count("cell").alias("n")).collect()}
+    for space in spaces.values():
+        for i in range(len(space.pivots)):
+            space.radius[i], space.counts[i] = seen.get(space.first + i, (-1.0, 1))
+    return spaces
+
+
 def spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Over links of rows with columns: for each row and column the least column of its component; none where it has no link."""
     width = links.shape[1]
@@ -171,41 +219,28 @@ def near_vectors(vectors: DataFrame, s: RangeSettings = RangeSettings(), vec_id:
     """A row per vector: vec_id, n_links (other vectors linked directly), component_id (least id reachable), kept.
 
     Null, empty or zero vectors and those with null or non-finite components
-    link with nothing, nor do vectors of other lengths than the commonest one.
-    Repeated rows link with each other. A null id is passed over for
-    component_id unless no other is reachable; then it is null and the row kept.
-    An empty table gives an empty result; other columns do not matter.
+    link with nothing; vectors of different lengths do not link. Repeated rows
+    link with each other. A null id is passed over for component_id unless no
+    other is reachable; then it is null and the row kept. An empty table gives
+    an empty result; other columns do not matter.
     """
     prepare(vectors.sparkSession)
     all_rows = written(units(vectors, vec_id, embedding), "units")
-    size = F.octet_length("unit")
-    common = all_rows.filter("cls IS NOT NULL").groupBy(size.alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    valid = F.col("cls").isNotNull() & (size == (common["size"] if common else 0))
-    all_rows = all_rows.withColumn("cls", F.when(valid, F.col("cls")))
     some = all_rows.filter("cls IS NOT NULL")
     classes = written(some.groupBy("cls").agg(F.min("vec_id").alias("id"), F.count("cls").alias("weight"), F.first("unit").alias("unit")), "classes")
-    n = classes.count()
-    if n:
-        few = min(s.most_pivots, max(1, n // s.cell_rows))
-        pivots = np.array([np.frombuffer(r["unit"]) for r in classes.select("cls", "unit").orderBy(F.hash("cls"), "cls").limit(few).collect()])
-        radius = np.full(len(pivots), -1.0)
-        counts = np.ones(len(pivots), np.int64)
-        for r in dealt(classes, pivots, None, s).groupBy("cell").agg(F.max("angle").alias("angle"), F.count("cell").alias("n")).collect():
-            radius[r["cell"]], counts[r["cell"]] = r["angle"], r["n"]
-        blocks = F.element_at(F.array(*[F.lit(int(-(-c // s.block))) for c in counts]), (F.col("cell") + 1).cast("int"))
-        cells = dealt(classes, pivots, radius, s).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        others = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("own"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-        cells = cells.withColumn("block", F.explode(others)).withColumn("home", F.col("home") & (F.col("block") == F.col("own")))
-        found = written(joined(cells, s), "links")
-        roots = graph.components(found.filter("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-        links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-        of = classes.select("cls", "id", "weight").join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
-        of = cut(of.select("cls", "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
-        least = of.groupBy("root").agg(F.min("id").alias("component_id"))
-        labels = of.join(least, "root").select(F.col("cls").alias("of_cls"), "n_links", "component_id")
-        rows = all_rows.join(labels, F.col("cls") == F.col("of_cls"), "left")
-    else:
-        rows = all_rows.select("*", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    cells = dealt(classes, spaces_of(classes, s), True, s).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    others = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("own"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = cells.withColumn("block", F.explode(others)).withColumn("home", F.col("home") & (F.col("block") == F.col("own")))
+    found = written(joined(cells, s), "links")
+    roots = graph.components(found.filter("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    ids = cut(classes.select("cls", "id").join(roots, F.col("cls") == F.col("node")).select("cls", "id", "root"))
+    least = cut(ids.groupBy("root").agg(F.min("id").alias("least_id")))
+    linked = keyed_join(ids, least, "root").select(F.col("cls").alias("linked_cls"), "least_id")
+    labels = classes.select("cls", "id", "weight").join(links, "cls", "left").join(linked, F.col("cls") == F.col("linked_cls"), "left")
+    own = F.when(F.col("linked_cls").isNull(), F.col("id")).otherwise(F.col("least_id"))
+    labels = cut(labels.select(F.col("cls").alias("of_cls"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), own.alias("component_id")))
+    rows = all_rows.join(labels, F.col("cls") == F.col("of_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

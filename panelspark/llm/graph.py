@@ -5,38 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut
-
+from panelspark.llm.common import cut, keyed_join
 
 #: Pairs of nodes that a task takes, about.
 TASK_PAIRS = 100_000
 
 
+def least_below(pairs: DataFrame) -> DataFrame:
+    """(x, m): for each node that has smaller neighbours the least of them."""
+    return pairs.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root) for each node of an edge; root is the component's least node.
 
-    Each round links every node's larger neighbours, then its smaller ones, to
-    its least neighbour; about log(n) rounds leave stars. Joins are plain, so
-    that a node with many edges is split like any skewed key; only two numbers
-    a round reach the driver. Null ends and loops are dropped; no edges give no rows.
+    A pair is (larger node u, smaller node v). A large star moves v to the least
+    neighbour of v, a small star links the smaller neighbours of u with the least
+    of them; about log(n) rounds leave stars, in which no v has a smaller
+    neighbour and each u has one pair. Least neighbours are summed before they
+    are shuffled and joined by keyed_join, so that a node with many edges is no
+    single task; only counts reach the driver. Null ends and loops are dropped;
+    no edges give no rows.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").filter("a IS NOT NULL AND b IS NOT NULL")
     pairs = cut(pairs.distinct())
-    now, before = _digest(pairs), None
-    while now != before:
-        parts = 1 + now[0] // TASK_PAIRS  # pairs never get more; few tasks write few shuffle files
+    while True:
+        n = pairs.count()
+        parts = 1 + n // TASK_PAIRS  # pairs never get more; few tasks write few shuffle files
         pairs = pairs.coalesce(parts)
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large.coalesce(parts))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
-        now, before = _digest(pairs), now
+        least = cut(least_below(pairs).coalesce(parts))
+        large = keyed_join(pairs, least, F.col("v") == F.col("x"), "left")
+        if least.count() == n and not large.filter("x IS NOT NULL").take(1):
+            break
+        large = large.select("u", F.coalesce("m", "v").alias("v"))
+        least = cut(least_below(large).coalesce(parts))
+        small = keyed_join(large, least, F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = cut(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct().coalesce(parts))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _digest(pairs: DataFrame) -> tuple:
-    hashed = F.xxhash64("u", "v")
-    return tuple(pairs.agg(F.count("u"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(hashed, 32))).first())

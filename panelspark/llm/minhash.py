@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import graph
-from panelspark.llm.common import Memo, cut, map_batches, prepare, written
+from panelspark.llm.common import Memo, cut, free_name, keyed_join, map_batches, prepare, written
 
 
 @dataclass(frozen=True)
@@ -270,8 +270,8 @@ def hot_components(buckets: DataFrame, sets: DataFrame, s: NearSettings) -> Data
     marked = cut(marked.select("key", "n", "cls", "block", F.coalesce("root", "cls").alias("root")))
     counts = marked.groupBy("key", "root").count()
     largest = counts.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("root").alias("roots"))
-    open_keys = largest.filter("roots > 1").select("key", "main")
-    left = cut(marked.join(open_keys, "key"))
+    open_keys = cut(largest.filter("roots > 1").select("key", "main"))
+    left = cut(keyed_join(marked, open_keys, "key"))
     blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / s.group_rows) - 1)).alias("block")
     asking = left.filter("root <> main").select("key", "cls", "root", blocks, F.lit(True).alias("asked"))
     there = left.select("key", "cls", "root", "block", F.lit(False).alias("asked"))
@@ -294,12 +294,13 @@ def near_components(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: s
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body"))
     classes = some.groupBy("cls").agg(least.alias("least"), F.count("cls").alias("copies"))
     classes = cut(classes.select("cls", F.col("least.doc_id").alias("id"), F.col("least.body").alias("id_body"), "copies"))
-    keyed = some.select("doc_id", "cls", "bands").dropDuplicates(["cls"]).select("cls", F.explode("bands").alias("key"))
+    keyed = some.select("cls", "bands").dropDuplicates(["cls"]).select("cls", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("cls").alias("n"), F.min("cls").alias("leader")).filter("n > 1")
-    shared = cut(keyed.join(buckets, "key"))
+    shared = cut(keyed_join(keyed, cut(buckets), "key"))
     groups = cut(graph.components(shared.select(F.col("cls").alias("a"), F.col("leader").alias("b"))))
-    sizes = groups.groupBy("root").count()
-    groups = cut(groups.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("grp"), (F.col("count") > s.group_rows).alias("hot")))
+    large = cut(groups.groupBy(F.col("root").alias("big")).count().filter(F.col("count") > s.group_rows).select("big"))
+    groups = keyed_join(groups, large, F.col("root") == F.col("big"), "left")
+    groups = cut(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp"), F.col("big").isNotNull().alias("hot")))
     wanted = groups.join(classes.select("cls", "id", "id_body"), "cls")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own_body"))
     # By id and text: many rows may have a null or repeated id.
@@ -311,9 +312,13 @@ def near_components(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: s
         sets = written(class_sets(texts.filter("hot"), s), "sets")
         found = found.unionByName(hot_components(shared.join(hot, "cls").select("key", "n", "cls"), sets, s))
     found = cut(found.filter("node <> root"))
-    of = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
-    least = of.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = cut(of.join(least, "root").select(F.col("cls").alias("of_cls"), "component_id"))
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    of = cut(classes.select("cls", "id").join(found, F.col("cls") == F.col("node")).select("cls", "id", "root"))
+    least = cut(of.groupBy("root").agg(F.min("id").alias("least_id")))
+    linked_ = keyed_join(of, least, "root").select(F.col("cls").alias("linked_cls"), "least_id")
+    labels = classes.select("cls", "id").join(linked_, F.col("cls") == F.col("linked_cls"), "left")
+    own = F.when(F.col("linked_cls").isNull(), F.col("id")).otherwise(F.col("least_id"))
+    labels = cut(labels.select(F.col("cls").alias("of_cls"), own.alias("component_id")))
     rows = sketched.select("doc_id", "body", "cls", "n_shingles").join(labels, F.col("cls") == F.col("of_cls"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     rows = rows.select("doc_id", "body", "n_shingles", component.alias("component_id"))
@@ -325,5 +330,7 @@ def keep_one(docs: DataFrame, s: NearSettings = NearSettings(), doc_id: str = "d
 
     Rows that repeat the kept id stay, as far as they repeat.
     """
-    gone = near_components(docs, s, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("body").alias("_body")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_body")), "left_anti")
+    name = free_name(docs)
+    gone_id, gone_body = name("gone"), name("body")
+    gone = near_components(docs, s, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text]) == F.col(gone_body)), "left_anti")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut
+from panelspark.llm.common import cut, free_name
 
 #: Source tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -92,28 +92,38 @@ def finish(epoch: int) -> Column:
     return (F.col("reached") + epoch * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target"))
 
 
+def fitting(sums: DataFrame, key: str, budget: float, spent: int) -> tuple[int, float | None, float | None]:
+    """Of few rows (key, words, last) in order of key: the words spent with all that fit in the budget, their last finish time, the first key that does not fit."""
+    upto = F.sum("words").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) + spent
+    fits = F.col("upto") <= budget
+    found = sums.withColumn("upto", upto).agg(F.max(F.when(fits, F.col("upto"))), F.max(F.when(fits, F.col("last"))), F.min(F.when(~fits, F.col(key)))).first()
+    return spent if found[0] is None else found[0], found[1], found[2]
+
+
 def last_finish(rows: DataFrame, n: int, mix: Mix) -> float:
     """The finish time up to which all passes together fit in the budget.
 
-    Finish times run evenly, so equal ranges of them hold about equal rows; only
-    the range in which the budget ends is summed in order.
+    Finish times run evenly, so equal ranges of them hold about equal rows.
+    First the sums of a thousand ranges each are added up in order, then those
+    of the thousand in which the budget ends, then that range's finish times.
     """
     passes = rows.filter("size > 0").select("size", F.explode(F.array(*[finish(e) for e in range(mix.epochs)])).alias("at")).filter("at IS NOT NULL")
     ranges = max(1, mix.epochs * n // mix.bucket_rows)
     passes = passes.withColumn("range", F.least(F.floor(F.col("at") * ranges), F.lit(4 * ranges)))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()["total"]
-    budget = mix.budget * total
-    sums = passes.groupBy("range").agg(F.sum("size").alias("range_size"), F.max("at").alias("range_last"))
-    sums = sums.withColumn("upto", F.sum("range_size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
-    full = sums.filter(F.col("upto") <= budget).agg(F.max("upto").alias("upto"), F.max("range_last").alias("last")).first()
-    split = sums.filter(F.col("upto") > budget).agg(F.min("range").alias("range")).first()["range"]
-    last = -1.0 if full["last"] is None else full["last"]
-    if split is None:
-        return last
-    order = Window.partitionBy("range").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    inside = passes.filter(F.col("range") == split).withColumn("upto", F.sum("size").over(order) + (full["upto"] or 0))
-    found = inside.filter(F.col("upto") <= budget).agg(F.max("at").alias("last")).first()["last"]
-    return last if found is None else found
+    budget = mix.budget * rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()["total"]
+    sums = cut(passes.groupBy("range").agg(F.sum("size").alias("words"), F.max("at").alias("last"))).withColumn("ranges", F.floor(F.col("range") / 1_000))
+    steps = (
+        ("ranges", lambda _: sums.groupBy("ranges").agg(F.sum("words").alias("words"), F.max("last").alias("last"))),
+        ("range", lambda split: sums.filter(F.col("ranges") == split)),
+        ("last", lambda split: passes.filter(F.col("range") == split).groupBy(F.col("at").alias("last")).agg(F.sum("size").alias("words"))),
+    )
+    spent, last, split = 0, -1.0, None
+    for key, part in steps:
+        spent, found, split = fitting(part(split), key, budget, spent)
+        last = last if found is None else found
+        if split is None:
+            break
+    return last
 
 
 def times_taken(last: float, mix: Mix) -> Column:
@@ -136,10 +146,17 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sou
 
 
 def mixed_rows(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: the rows of docs, once for each pass taken, sorted by finish time over all partitions."""
+    """The mix itself: the rows of docs, once for each pass taken, sorted by finish time over all partitions.
+
+    Rows of one finish time come in the order of a hash of their text. Wordless
+    and null texts are not in the mix; other rows as in mix_documents. All
+    columns stay, of any type and name; an empty table gives an empty result.
+    """
     placed, last = mix_documents(docs, mix, doc_id, source, text)
-    passes = F.explode(F.filter(F.array(*[finish(e) for e in range(mix.epochs)]), lambda at: at <= last)).alias("_at")
-    placed = placed.filter("taken > 0").dropDuplicates(["doc_id", "source"]).select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), passes)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_of"))
-    taken = docs.filter(word_count(F.col(text)) > 0).join(placed, same)
-    return taken.repartitionByRange("_at", F.xxhash64(*docs.columns)).sortWithinPartitions("_at").select(*docs.columns)
+    name = free_name(docs)
+    of_id, of_source, at, tie = name("of_id"), name("of_source"), name("at"), name("tie")
+    passes = F.explode(F.filter(F.array(*[finish(e) for e in range(mix.epochs)]), lambda x: x <= last)).alias(at)
+    placed = placed.filter("taken > 0").dropDuplicates(["doc_id", "source"]).select(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), passes)
+    same = F.col(doc_id).eqNullSafe(F.col(of_id)) & F.col(source).eqNullSafe(F.col(of_source))
+    taken = docs.filter(word_count(F.col(text)) > 0).join(placed, same).withColumn(tie, F.xxhash64(F.col(text)))
+    return taken.repartitionByRange(at, tie).sortWithinPartitions(at, tie).drop(of_id, of_source, at, tie)

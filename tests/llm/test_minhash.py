@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from panelspark.llm import graph, minhash
+from panelspark.llm import common, graph, minhash
 
 
 def plain_sets(texts, size):
@@ -88,7 +88,9 @@ def test_keep_one_and_corner_rows(spark):
     assert minhash.near_components(spark.createDataFrame([], schema)).collect() == []
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_graph_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)  # 0: all joins by shuffle
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(300)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(150)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -112,3 +114,18 @@ def test_texts_of_repeated_ids_are_fetched_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "written", lambda df, name: (out := real(df, name), fetched.append(out.count()) if name == "near-texts" else None)[0])
     found = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(found) == 40 and fetched == [40]
+
+
+def test_many_rows_of_a_null_id(spark):
+    rows = [(None, f"text number {i} of a null id with words enough {i}") for i in range(5000)] + [(7, "text number 3 of a null id with words enough 3"), (None, "text number 4 of a null id with words enough 4")]
+    found = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 5002 and sum(r.component_id == 7 for r in found) == 2 and sum(r.component_id is None for r in found) == 5000
+    assert minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5001
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ("gone", "Body", "gone_", "root", "_gone", "_body", "cls", "a.b")
+    rows = [(1, "a b c d e f", *names), (2, "a b c d e f", *names), (3, "k l m n", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

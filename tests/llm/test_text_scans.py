@@ -86,7 +86,7 @@ URLS = [
     ("http://telecom/en/", "telecom", "/en/", None, "allow"), ("s://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
     ("s://example.net/de/71", "example.net", "/de/71", "net/de/", "allow"), ("s://a.org?/es/", "a.org", "", None, "allow"),
     ("s://a.org/es/#", "a.org", "/es/", "org/es/", "block"), ("https://ads.x.de/1", "ads.x.de", "/1", None, "block"),
-    ("https://x.de/wp-login.php", "x.de", "/wp-login.php", None, "block"),
+    ("https://x.de/wp-login.php", "x.de", "/wp-login.php", None, "block"), ("http://a\n.com/en/1", "a\n.com", "/en/1", "com/en/", "block"),
 ]
 
 
@@ -99,6 +99,24 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("pattern", "tokens"), [
+    ("com/en/", ("en",)), (r"/en/7", ("en",)), (r"^(?:[^/]*\.)?example\.com/en/7", ("example", "com", "en")), (r"^(?:x)?com/", ()), (r"/(wp-)?login\.(php|aspx)", ("login",)),
+    (r"[./-]casino[./-]", ("casino",)), (r"/a+b/", ()), (r"/a|b/", ()), (r"\bads\b", ("ads",)), (r"/x[a-z]/y.z/", ()), (r"/AB/", ("ab",)), (r"/(?:one/)+two/", ("two",)), (r"/(?:one)*/two$", ("two",)),
+])
+def test_forced_tokens(pattern, tokens):
+    assert url_rules.forced_tokens(pattern) == tokens
+
+
+def test_rules_of_a_table(spark):
+    table = spark.createDataFrame([("block", "com/en/", True), ("block", "com/en/", True), ("allow", "x.com/en/", True), ("block", "/ads/", None), (None, "a", False)], "action string, rule string, site boolean")
+    sites, others = url_rules.rules_of(table)
+    assert [r.name for r in sites] == ["com/en/", "x.com/en/"] and [r.name for r in others] == ["/ads/"]
+    urls = spark.createDataFrame([(1, "http://x.com/en/1"), (2, "http://y.com/en/"), (3, "http://y.de/ads/1"), (4, "http://y.de/bads/1")], "page_id long, url string")
+    found = url_rules.judge_urls(urls, site_rules=sites, page_rules=others)
+    assert {r.page_id: r.verdict for r in found.collect()} == {1: "allow", 2: "block", 3: "block", 4: "allow"}
+    assert {r.verdict for r in url_rules.judge_urls(urls, site_rules=(), page_rules=()).collect()} == {"allow"}
+
+
 def test_rules_filed_under_rarest_literal():
     rules = (url_rules.site_rule("block", "com/en/"), url_rules.site_rule("allow", "example.com/en/7"))
     index = url_rules.rule_index(rules, {"com": 5, "en": 9, "example": 3})

@@ -115,6 +115,13 @@ def test_mix_corner_tables(spark):
     assert sorted(r.taken for r in mixing.mix_documents(same)[0].collect()) in ([0, 0, 0, 0, 0], [0, 2, 2, 2, 2])
 
 
+def test_mixed_rows_keep_columns_of_any_type_and_name(spark):
+    docs = spark.sql("SELECT id AS doc_id, 'a b' AS text, 's' AS source, map('k', id) AS m, 1 AS `a.b`, 2 AS _id, 3 AS _of, 4 AS _at, 5 AS at, 6 AS tie, 7 AS of_id, map('x', 1) AS `c``d` FROM range(6)")
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert {(r.m["k"], r["a.b"], r["at"], r["_at"]) for r in out.collect()} <= {(i, 1, 5, 4) for i in range(6)} and out.count() == 9
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = quality_pu.classify(docs, labels)
