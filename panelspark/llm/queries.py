@@ -116,59 +116,66 @@ SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, component_id, x = component_id
 """
 
 OP9_SQL = r"""
-WITH src AS (
-  SELECT 0 AS side, doc_id AS id, md5(text) AS body, FALSE AS named, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
+WITH both AS (
+  SELECT 0 AS side, doc_id AS id, md5(text) AS body, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
   FROM (SELECT DISTINCT doc_id, text FROM documents)
   UNION ALL
-  SELECT 1, CAST(item_id AS BIGINT), '', v, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark, (VALUES (FALSE), (TRUE)) n(v)
+  SELECT 1, CAST(item_id AS BIGINT), '', list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
+), src AS (
+  SELECT *, r AS reading FROM both, (VALUES (0), (1)) n(r)
 ), w AS (
-  SELECT side, id, body, named, unnest(l) AS w, unnest(range(len(l))) AS k FROM src
+  SELECT side, id, body, reading, unnest(l) AS w, unnest(range(len(l))) AS k FROM src
 ), c AS (
   SELECT *, trim(w, {{STRIPPED}}) AS core, regexp_matches(rtrim(w, '"''”’)]'), '[.!?:]$') AS ends FROM w
 ), t AS (
   SELECT *, lower(core) AS low, left(core, 1) <> lower(left(core, 1)) AND core <> upper(core) AS capital,
-         CASE WHEN regexp_matches(core, '^[0-9]') THEN 1 WHEN lower(core) IN ({{UNITS}}) THEN 2 ELSE 0 END AS first_kind FROM c
+         CASE WHEN regexp_matches(core, '^[-+]*[0-9]') OR lower(core) IN ({{NUMBERS}}) THEN 1 WHEN lower(core) IN ({{UNITS}}) THEN 2 ELSE 0 END AS first_kind FROM c
 ), n AS (
-  SELECT *, CASE WHEN first_kind = 0 AND capital AND NOT coalesce(lag(ends) OVER (PARTITION BY side, id, body, named ORDER BY k), NOT named) THEN 3 ELSE first_kind END AS next_kind FROM t
+  SELECT *, CASE WHEN first_kind = 0 AND capital AND (reading = 1 OR NOT coalesce(lag(ends) OVER (PARTITION BY side, id, body, reading ORDER BY k), TRUE))
+         THEN 3 ELSE first_kind END AS next_kind FROM t
 ), u AS (
-  SELECT *, CASE WHEN next_kind = 2 AND coalesce(lag(next_kind) OVER (PARTITION BY side, id, body, named ORDER BY k), 0) <> 1 THEN 0 ELSE next_kind END AS kind FROM n
+  SELECT *, CASE WHEN next_kind = 2 AND coalesce(lag(next_kind) OVER (PARTITION BY side, id, body, reading ORDER BY k), 0) <> 1 THEN 0 ELSE next_kind END AS kind FROM n
 ), g AS (
-  SELECT *, coalesce(lag(kind) OVER (PARTITION BY side, id, body, named ORDER BY k), 0) AS before FROM u
+  SELECT *, coalesce(lag(kind) OVER (PARTITION BY side, id, body, reading ORDER BY k), 0) AS before FROM u
 ), r AS (
-  SELECT side, id, body, named, list(CASE WHEN kind = 0 THEN low ELSE chr(1) || kind END ORDER BY k) AS tokens, list(kind ORDER BY k) AS kinds, list(low ORDER BY k) AS lows
-  FROM g WHERE kind = 0 OR kind <> before GROUP BY side, id, body, named
+  SELECT side, id, body, reading, list(CASE WHEN kind = 0 THEN low ELSE chr(1) || kind END ORDER BY k) AS tokens, list(kind ORDER BY k) AS kinds, list(low ORDER BY k) AS lows
+  FROM g WHERE kind = 0 OR kind <> before GROUP BY side, id, body, reading
 ), i AS (
   SELECT *, unnest(range(len(tokens) - width + 1)) AS place FROM (SELECT *, least(5, len(tokens)) AS width FROM r WHERE side = 1)
 ), j AS (
   SELECT *, len(list_filter(kinds[place + 1:place + width], lambda x: x = 0)) >= least(2, width) AS enough FROM i
 ), k AS (
-  SELECT *, enough OR NOT bool_or(enough) OVER (PARTITION BY id, named) AS usable FROM j
+  SELECT *, enough OR NOT bool_or(enough) OVER (PARTITION BY id, reading) AS usable FROM j
 ), iw AS (
-  SELECT DISTINCT id AS item_id, width, place, tokens[place + 1:place + width] AS win,
+  SELECT id AS item_id, reading, width, place, tokens[place + 1:place + width] AS win,
          list_transform(list_filter(range(place + 1, place + width + 1), lambda x: kinds[x] > 0), lambda x: lows[x]) AS slots
-  FROM k WHERE usable AND (NOT named OR place < 5)
+  FROM k WHERE usable
 ), total AS (
-  SELECT item_id, count(DISTINCT place) AS n_windows FROM iw GROUP BY item_id
+  SELECT item_id, reading, count(*) AS n_windows FROM iw GROUP BY item_id, reading
 ), d AS (
-  SELECT id AS doc_id, body, width, kinds, lows, tokens, unnest(range(len(tokens) - width + 1)) AS at_
+  SELECT id AS doc_id, body, reading, width, kinds, lows, tokens, unnest(range(len(tokens) - width + 1)) AS at_
   FROM r, (SELECT DISTINCT width FROM iw) WHERE side = 0 AND len(tokens) >= width
 ), h AS (
-  SELECT doc_id, body, item_id, place, at_ - place AS diagonal, slots,
+  SELECT doc_id, body, item_id, d.reading, place, at_ - place AS diagonal, slots,
          list_transform(list_filter(range(at_ + 1, at_ + d.width + 1), lambda x: kinds[x] > 0), lambda x: lows[x]) AS doc_slots
-  FROM d JOIN iw ON iw.width = d.width AND iw.win = tokens[at_ + 1:at_ + d.width]
+  FROM d JOIN iw ON iw.reading = d.reading AND iw.width = d.width AND iw.win = tokens[at_ + 1:at_ + d.width]
 ), p AS (
-  SELECT doc_id, body, item_id, diagonal, count(DISTINCT a) < count(DISTINCT (a, b)) AS mixed
-  FROM (SELECT doc_id, body, item_id, diagonal, unnest(slots) AS a, unnest(doc_slots) AS b FROM h) GROUP BY doc_id, body, item_id, diagonal
+  SELECT doc_id, body, item_id, reading, diagonal, count(DISTINCT a) < count(DISTINCT (a, b)) AS mixed
+  FROM (SELECT doc_id, body, item_id, reading, diagonal, unnest(slots) AS a, unnest(doc_slots) AS b FROM h) GROUP BY doc_id, body, item_id, reading, diagonal
 ), f AS (
-  SELECT h.doc_id, h.body, h.item_id, count(DISTINCT place) AS matched, bool_and(slots = doc_slots) AS exact
-  FROM h LEFT JOIN p ON h.doc_id IS NOT DISTINCT FROM p.doc_id AND h.body = p.body AND h.item_id = p.item_id AND h.diagonal = p.diagonal
-  WHERE NOT coalesce(mixed, FALSE) GROUP BY h.doc_id, h.body, h.item_id
+  SELECT h.doc_id, h.body, h.item_id, h.reading, count(DISTINCT place) AS matched, bool_and(slots = doc_slots) AS exact
+  FROM h LEFT JOIN p ON h.doc_id IS NOT DISTINCT FROM p.doc_id AND h.body = p.body AND h.item_id = p.item_id AND h.reading = p.reading AND h.diagonal = p.diagonal
+  WHERE NOT coalesce(mixed, FALSE) GROUP BY h.doc_id, h.body, h.item_id, h.reading
+), x AS (
+  SELECT doc_id, body, CAST(item_id AS BIGINT) AS item_id, n_windows, matched, CAST(matched AS DOUBLE) / n_windows AS share, exact,
+         row_number() OVER (PARTITION BY doc_id, body, item_id ORDER BY CAST(matched AS DOUBLE) / n_windows DESC, f.reading) AS best
+  FROM f JOIN total USING (item_id, reading) WHERE CAST(matched AS DOUBLE) / n_windows >= 0.8
 )
-SELECT DISTINCT doc_id, CAST(item_id AS BIGINT) AS item_id, n_windows, matched, CAST(matched AS DOUBLE) / n_windows AS share, exact
-FROM f JOIN total USING (item_id) WHERE CAST(matched AS DOUBLE) / n_windows >= 0.8
+SELECT DISTINCT doc_id, item_id, n_windows, matched, share, exact FROM x WHERE best = 1
 """
 OP9_SQL = OP9_SQL.replace("{{STRIPPED}}", "'" + templates.STRIPPED.replace("'", "''") + "'")
 OP9_SQL = OP9_SQL.replace("{{UNITS}}", ", ".join(f"'{u}'" for u in sorted(templates.UNITS)))
+OP9_SQL = OP9_SQL.replace("{{NUMBERS}}", ", ".join(f"'{u}'" for u in sorted(templates.NUMBERS)))
 
 OP10_SQL = """
 WITH RECURSIVE v AS (
