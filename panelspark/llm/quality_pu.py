@@ -6,10 +6,10 @@ over binned text statistics by minimising the non-negative unbiased risk
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]).
 
 With logistic loss the unbiased risk is convex, so Newton steps do; each is one
-Spark pass that sums gradients over all rows. Where the second term goes
-negative, its multiplier falls until it is not. The class prior is estimated
-from the least ratio of unlabelled to positive mass over upper score tails, on a
-fold that a first fit leaves out. Negative labels are never read.
+Spark pass that sums gradients over all rows. Where the second term would be
+negative, its multiplier falls so far that it is zero. The class prior is
+estimated from the least ratio of unlabelled to positive mass over upper score
+tails, on a fold that a first fit leaves out. Negative labels are never read.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import map_batches, prepare, written
+from panelspark.llm.common import free_name, map_batches, prepare, written
 
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -43,9 +44,8 @@ class PuSettings:
 
     bins: of each statistic. passes: over the rows for a fit, at most. longest,
     least_step: of a change of weights. ridge: weight of the squared norm, to
-    which one over the number of positives is added. hold_rate, least_hold: of
-    the second term's multiplier. tails: shares of the positives in the tails
-    that give the prior. prior_fold: the remainder of crc32(id as text) mod 4
+    which one over the number of positives is added. tails: shares of the
+    positives in the tails that give the prior. prior_fold: the remainder of crc32(id as text) mod 4
     that is held back for the prior; held_out: the one whose labels are never
     read. threshold: least score of a kept document.
     """
@@ -55,8 +55,6 @@ class PuSettings:
     longest: float = 2.0
     least_step: float = 0.02
     ridge: float = 1e-3
-    hold_rate: float = 4.0
-    least_hold: float = 0.2
     first_prior: float = 0.5
     tails: tuple[float, float] = (0.8, 0.97)
     prior_fold: int = 3
@@ -167,12 +165,12 @@ def sums(train: DataFrame, edges: np.ndarray, weights: np.ndarray, bins: int = 0
     def add_sums(batches):
         yield one_row(np.frombuffer(value.as_py()) for batch in batches for value in batch.column(0))
 
-    # A row of sums for each partition, then for each of about the square root of so many: the driver gets few.
+    # A row of sums for each partition, then for each of about the square root of so many, then one, which the driver gets.
     parts = train.select("features", "positive").mapInArrow(add_rows, "sums binary")
-    few = max(1, math.isqrt(train.rdd.getNumPartitions()))
-    total = np.zeros(width)
-    for row in parts.repartition(few).mapInArrow(add_sums, "sums binary").toLocalIterator():
-        total += np.frombuffer(row["sums"])
+    few = math.isqrt(train.rdd.getNumPartitions())
+    if few > 3:
+        parts = parts.repartition(few).mapInArrow(add_sums, "sums binary")
+    total = np.frombuffer(parts.repartition(1).mapInArrow(add_sums, "sums binary").collect()[0]["sums"])
     if bins:
         return {"u": total[:bins], "p": total[bins:]}
     d = len(weights)
@@ -183,20 +181,22 @@ def sums(train: DataFrame, edges: np.ndarray, weights: np.ndarray, bins: int = 0
 def newton(train: DataFrame, edges: np.ndarray, weights: np.ndarray, prior: float, s: PuSettings) -> tuple[np.ndarray, list]:
     """Newton steps on prior * E_p[loss(g)] + hold * (E_u[loss(-g)] - prior * E_p[loss(-g)]), convex for each hold of 0 to 1.
 
-    hold is the multiplier of the second term in the saddle form of max(0, .): it falls while that term is negative.
+    hold is the multiplier of the second term in the saddle form of max(0, .):
+    1 while that term stays positive, else such that the step brings it to zero.
     """
     history, hold = [], 1.0
     for _ in range(s.passes):
         t = sums(train, edges, weights)
         n, n_p, up_u, up_p, down_p = t["head"]
-        negative = up_u / n - prior * up_p / n_p
-        history.append((float(prior * down_p / n_p + max(0.0, negative)), float(negative)))
-        hold = float(np.clip(hold + s.hold_rate * negative, s.least_hold, 1.0))
+        second = up_u / n - prior * up_p / n_p
+        history.append((float(prior * down_p / n_p + max(0.0, second)), float(second)))
         ridge = s.ridge + 1 / n_p
-        # d/dg of prior * (loss(g) - loss(-g)) is -prior, so with hold 1 the positives enter by their mean alone.
-        gradient = hold * (t["grad_u"] / n - prior * t["x_p"] / n_p) + (1 - hold) * prior * (t["grad_p"] - t["x_p"]) / n_p + 2 * ridge * weights
+        first_gradient = prior * (t["grad_p"] - t["x_p"]) / n_p + 2 * ridge * weights
+        second_gradient = t["grad_u"] / n - prior * t["grad_p"] / n_p
         curve = hold * t["hess"] / n + (1 - hold) * prior * t["hess_p"] / n_p + 2 * ridge * np.eye(len(weights))
-        step = np.linalg.solve(curve, gradient)
+        to_first, to_second = np.linalg.solve(curve, np.array([first_gradient, second_gradient]).T).T
+        hold = float(np.clip((second - second_gradient @ to_first) / max(second_gradient @ to_second, 1e-12), 0.0, 1.0))
+        step = to_first + hold * to_second
         longest = float(np.abs(step).max())
         weights = weights - step * min(1.0, s.longest / max(longest, 1e-12))
         if longest < s.least_step:
@@ -263,16 +263,24 @@ def classify(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettin
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score at least the threshold."""
-    spark = docs.sparkSession
-    prepare(spark)
-    model = fit(written(features_of(docs, doc_id, text), "pu-features"), labels, settings)
-    at = docs.columns.index(text)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                rows = np.array([text_features(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()])
-                yield batch.filter(pa.array(model.scores(rows) >= settings.threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs, with all their columns whatever their names, that score at least the threshold.
+
+    The rows are written once with their statistics, so that texts are read once
+    and no shuffle moves them. Null and empty texts, null ids, repeated rows and
+    empty tables as in classify.
+    """
+    prepare(docs.sparkSession)
+    held = free_name(docs)("features")
+
+    @F.pandas_udf("array<double>")
+    def statistics(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: text_features((x or "").encode()))
+
+    table = written(docs.withColumn(held, statistics(F.col(text))), "pu-docs")
+    model = fit(table.select(F.col(doc_id).alias("doc_id"), F.col(held).alias("features")), labels, settings)
+
+    @F.pandas_udf("double")
+    def score(features: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(features.tolist()).reshape(-1, len(FEATURES))))
+
+    return table.filter(score(F.col(held)) >= settings.threshold).drop(held)

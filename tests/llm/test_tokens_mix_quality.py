@@ -131,6 +131,66 @@ def test_classifier_on_held_out_labels(spark):
     assert found.count() == docs.count() and found.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def plain_risk(x, positive, weights, prior, ridge, hold=None):
+    """The non-negative risk, or with hold its second term multiplied by that, and that term."""
+    g = x @ weights
+    loss = lambda z: np.logaddexp(0, -z)
+    second = loss(-g).mean() - prior * loss(-g[positive]).mean()
+    return prior * loss(g[positive]).mean() + (max(0.0, second) if hold is None else hold * second) + ridge * weights @ weights, second
+
+
+def plain_minimum(x, positive, prior, ridge):
+    """For a hold the convex risk is minimised by plain Newton steps with halving; the hold is found by bisection, as the second term rises with it."""
+
+    def least(hold, w):
+        for _ in range(60):
+            s = 1 / (1 + np.exp(-(x @ w)))
+            xp, sp = x[positive], s[positive]
+            gradient = hold * (x.T @ s / len(x) - prior * xp.T @ sp / len(xp)) + prior * xp.T @ (sp - 1) / len(xp) + 2 * ridge * w
+            curve = (x * (s * (1 - s))[:, None]).T @ x * hold / len(x) + (1 - hold) * prior * (xp * (sp * (1 - sp))[:, None]).T @ xp / len(xp)
+            step, size = np.linalg.solve(curve + 2 * ridge * np.eye(len(w)), gradient), 1.0
+            now = plain_risk(x, positive, w, prior, ridge, hold)[0]
+            while size > 1e-6 and plain_risk(x, positive, w - size * step, prior, ridge, hold)[0] > now:
+                size /= 2
+            w = w - size * step
+            if np.abs(gradient).max() < 1e-10:
+                break
+        return w
+
+    w = least(1.0, np.zeros(x.shape[1]))
+    if plain_risk(x, positive, w, prior, ridge)[1] >= 0:
+        return w
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        w = least(mid, w)
+        low, high = (mid, high) if plain_risk(x, positive, w, prior, ridge)[1] > 0 else (low, mid)
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.5, 0.9])
+def test_fit_minimises_the_non_negative_risk(spark, prior):
+    """Sums against plain ones, and the risk of the weights found against the plain minimum; at a prior of 0.9 the second term is held at zero."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.filter("quality = 1").selectExpr("doc_id", "true as positive")
+    rows = quality_pu.features_of(docs, "doc_id", "text").join(good, "doc_id", "left").selectExpr("features", "coalesce(positive, false) as positive")
+    held = rows.toPandas()
+    features, positive = np.array(held.features.tolist()), held.positive.to_numpy()
+    edges = np.quantile(features, [i / 10 for i in range(1, 10)], axis=0).T
+    x, s = quality_pu.binned(features, edges), quality_pu.PuSettings(passes=40, least_step=1e-4)
+    train = spark.createDataFrame(held[["features", "positive"]], "features array<double>, positive boolean").repartition(20)
+    w = np.linspace(-1, 1, x.shape[1])
+    found, p = quality_pu.sums(train, edges, w), 1 / (1 + np.exp(-(x @ w)))
+    assert found["head"][:2] == pytest.approx([len(x), positive.sum()])
+    assert found["grad_u"] == pytest.approx(x.T @ p) and found["grad_p"] == pytest.approx(x[positive].T @ p[positive])
+    assert found["hess"] == pytest.approx((x * (p * (1 - p))[:, None]).T @ x)
+    weights, _ = quality_pu.newton(train, edges, np.zeros(x.shape[1]), prior, s)
+    ridge = s.ridge + 1 / positive.sum()
+    best = plain_risk(x, positive, plain_minimum(x, positive, prior, ridge), prior, ridge)
+    mine = plain_risk(x, positive, weights, prior, ridge)
+    assert mine[0] <= best[0] + 1e-6
+
+
 def test_classifier_never_reads_held_out_or_negative_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     hidden = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - quality else quality end as quality")
@@ -145,4 +205,6 @@ def test_classifier_corner_rows(spark):
     rows = quality_pu.classify(docs, labels).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert quality_pu.keep_good(docs, labels).columns == docs.columns
+    odd = docs.selectExpr("*", "1 as features", "map('a', 1) as m", "2 as `a.b`")
+    assert quality_pu.keep_good(odd, labels).schema == odd.schema and quality_pu.keep_good(odd, labels).count() == quality_pu.keep_good(docs, labels).count()
     assert quality_pu.classify(docs.limit(0), labels).collect() == []
