@@ -1,10 +1,11 @@
 """Secret scans: known shapes, and sliding-window Shannon entropy over candidate strings.
 
 Candidate strings are runs of key characters. Each has a character class (hex,
-alnum, base64) with its own entropy threshold. A window slides over the run;
-its entropy follows from sum(c * log2 c) over character counts, which one
-leaving and one entering character change in constant time. Windows over the
-threshold join to spans. Allow-listed runs give no entropy spans.
+alnum, base64; letters, where it has no digit) with its own entropy threshold. A
+window slides over the run; its entropy follows from sum(c * log2 c) over
+character counts, which one leaving and one entering character change in
+constant time. Windows over the threshold join to spans. What the allow-list
+matches takes the windows with it that touch it or are near, not the whole run.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from panelspark.llm.common import map_batches, prepare
 
 #: Kinds in the order in which spans of one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
-ENTROPY_KINDS = ("entropy_hex", "entropy_alnum", "entropy_base64")
+ENTROPY_KINDS = ("entropy_hex", "entropy_alnum", "entropy_base64", "entropy_letters")
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -32,38 +33,43 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 
+LETTERS = re.compile(r"[A-Za-z]{20,}")
+
+
 @dataclass(frozen=True)
 class EntropyRules:
-    """window: characters of a window. thresholds: bits a character, by class. allowed: runs that are no secrets."""
+    """window: characters of a window. thresholds: bits a character, by class. allowed: what is no secret, within `near` characters of which no window counts."""
 
     window: int = 20
-    thresholds: tuple[tuple[str, float], ...] = (("hex", 2.9), ("alnum", 3.6), ("base64", 3.7))
+    near: int = 20
+    thresholds: tuple[tuple[str, float], ...] = (("hex", 2.9), ("alnum", 3.6), ("base64", 3.7), ("letters", 3.9))
     allowed: tuple[str, ...] = (
         r"(?i)example|sample|dummy|placeholder|changeme",
-        r"(.)\1{7}",
+        r"(.)\1{7,}",
         r"(?i)0123456789abcdef|abcdefghijklmnop",
         r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-        r"^[0-9+/_=-]+$",
-        r"^/?(?:[A-Za-z_-]+/)+[A-Za-z_-]*$",
     )
 
 
 def run_class(run: str) -> str:
-    """The narrowest of the three classes that holds all characters."""
+    """The narrowest of the classes that holds all characters."""
+    if run.isalpha():
+        return "letters"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return "hex"
     return "alnum" if run.isalnum() else "base64"
 
 
-def hot_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
-    """Joined spans of the windows with at least so many bits a character; counts change by one character a step."""
+def hot_windows(run: str, window: int, least: float, closed: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int]]:
+    """Joined spans of the windows with at least so many bits a character, but for those that touch closed stretches; counts change by one character a step."""
     if len(run) < window:
         return []
-    term = [0.0, *(n * math.log2(n) for n in range(1, window + 1))]
+    term = [0.0, *(n * math.log2(n) for n in range(1, window + 2))]  # one more enters before one leaves
     counts: dict[str, int] = {}
     total = 0.0  # sum of c * log2 c
     most = (math.log2(window) - least) * window + 1e-9
     found: list[tuple[int, int]] = []
+    ahead = list(reversed(closed))
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         total += term[n + 1] - term[n]
@@ -75,6 +81,10 @@ def hot_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
             counts[gone] = n - 1
         if i >= window - 1 and total <= most:
             start = i - window + 1
+            while ahead and ahead[-1][1] <= start:
+                ahead.pop()
+            if ahead and ahead[-1][0] <= i:
+                continue
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
             else:
@@ -95,18 +105,31 @@ class EntropyScan:
         self.least = dict(rules.thresholds)
         self.allowed = [re.compile(x) for x in rules.allowed]
 
+    def closed(self, run: str) -> tuple[tuple[int, int], ...]:
+        """Stretches of the run within `near` characters of what the allow-list matches, joined, in order."""
+        found: list[tuple[int, int]] = []
+        for a, b in sorted(m.span() for x in self.allowed for m in x.finditer(run)):
+            a, b = a - self.rules.near, b + self.rules.near
+            if found and a <= found[-1][1]:
+                found[-1] = (found[-1][0], max(b, found[-1][1]))
+            else:
+                found.append((a, b))
+        return tuple(found)
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = []
         for m in CANDIDATE.finditer(text):
             run = m[0]
-            if run.isalpha() or not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
-                continue
-            if any(x.search(run) for x in self.allowed):
+            digits = re.search(r"[0-9]", run) is not None
+            if digits and not re.search(r"[A-Za-z]", run):
                 continue
-            kind = run_class(run)
-            for a, b in hot_windows(run, self.rules.window, self.least[kind]):
-                if re.search(r"[0-9]", run[a:b]):
-                    found.append((f"entropy_{kind}", m.start() + a, m.start() + b))
+            closed = self.closed(run)
+            for piece in [re.match(r".*", run)] if digits else LETTERS.finditer(run):
+                kind = run_class(piece[0])
+                own = tuple((a - piece.start(), b - piece.start()) for a, b in closed)
+                for a, b in hot_windows(piece[0], self.rules.window, self.least[kind], own):
+                    if kind == "letters" or re.search(r"[0-9]", piece[0][a:b]):
+                        found.append((f"entropy_{kind}", m.start() + piece.start() + a, m.start() + piece.start() + b))
         return found
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import string
 from collections import Counter
 
 import public_tokenizers
@@ -40,10 +41,75 @@ def test_base_spans_equal_plain_patterns():
         assert secrets.base_spans(text) == want
 
 
+def key(n, letters):
+    """A fixed random key."""
+    rng = random.Random(n)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+BASE64 = string.ascii_letters + string.digits + "+/"
+
+
 def test_allow_list_and_long_run():
     scan = secrets.EntropyScan(secrets.EntropyRules())
     assert scan.spans("key aZ9+kQ2/pL7mN4vB8cX1dF6gH3jK5 end") == [("entropy_base64", 4, 33)]
-    assert not scan.spans("EXAMPLEaZ9+kQ2/pL7mN4vB8cX1dF6gH3jK5 " + "a" * 99 + " 123e4567-e89b-12d3-a456-426614174000")
+    assert not scan.spans("EXAMPLEaZ9+kQ2/pL7mN4vB8cX1dF6gH3jK5 " + "a" * 99 + " 123e4567-e89b-12d3-a456-426614174000 usr/local/share/applications/mimetypes")
+    long = key(300, BASE64)
+    for text in (long, "AAAAAAAA" + long, long + "/sample"):
+        assert sum(b - a for _, a, b in scan.spans(text)) >= 270, text
+    assert [k for k, _, _ in scan.spans(key(60, string.ascii_letters))] == ["entropy_letters"]
+
+
+def brute_spans(text, rules):
+    """Entropy spans by counting every window anew."""
+    covered = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        run = m[0]
+        closed = {k for x in rules.allowed for y in re.finditer(x, run) for k in range(y.start() - rules.near, y.end() + rules.near)}
+        digits = any(c in string.digits for c in run)
+        if digits and not any(c in string.ascii_letters for c in run):
+            continue
+        for p in [re.match("(?s).*", run)] if digits else re.finditer("[A-Za-z]{20,}", run):
+            text_ = p[0]
+            kind = "letters" if text_.isalpha() else "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", text_) else "alnum" if text_.isalnum() else "base64"
+            hot = [i for i in range(len(text_) - rules.window + 1) if entropy(text_[i : i + rules.window]) >= dict(rules.thresholds)[kind] - 1e-9]
+            hot = [i for i in hot if not closed & set(range(p.start() + i, p.start() + i + rules.window))]
+            spans = []
+            for i in hot:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + rules.window
+                else:
+                    spans.append([i, i + rules.window])
+            covered += [(f"entropy_{kind}", m.start() + p.start() + a, m.start() + p.start() + b) for a, b in spans if kind == "letters" or re.search("[0-9]", text_[a:b])]
+    return covered
+
+
+KEYS = {"hex": (string.digits + "abcdef", (32, 40, 64)), "alnum": (string.ascii_letters + string.digits, (24, 32, 40)), "base64": (BASE64, (40, 64, 88)), "letters": (string.ascii_letters, (32, 40, 64))}
+
+
+def test_planted_keys_and_whole_rows(spark):
+    """Keys of each class in the test documents: whole rows against brute force, recall of keys, spans elsewhere."""
+    rng, rules = random.Random(9), secrets.EntropyRules()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(600).collect()]
+    planted, given = [], []
+    for i, text in enumerate(texts):
+        kind = list(KEYS)[i % 4]
+        secret = "".join(rng.choice(KEYS[kind][0]) for _ in range(rng.choice(KEYS[kind][1])))
+        words = (text or "").split(" ")
+        at = rng.randrange(len(words) + 1)
+        before = " ".join([*words[:at], ""])
+        planted.append((kind, len(before), len(before) + len(secret)))
+        given.append(" ".join([before + secret, *words[at:]]))
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(frame(spark, given)).collect()}
+    caught, elsewhere = Counter(), 0
+    for i, text in enumerate(given):
+        want = brute_spans(text, rules)
+        assert rows[i] == secrets.joined(secrets.base_spans(text) + want)
+        kind, a, b = planted[i]
+        caught[kind] += any(x < b and y > a for _, x, y in want)
+        elsewhere += sum(y <= a or x >= b for _, x, y in want) - len([s for s in brute_spans(texts[i] or "", rules) if any(p[1] < s[2] and p[2] > s[1] for p in secrets.base_spans(texts[i] or ""))])
+    print(dict(caught), "elsewhere, beside base spans:", elsewhere)
+    assert all(caught[k] >= 0.97 * 150 for k in KEYS)
 
 
 def frame(spark, texts):
