@@ -116,13 +116,13 @@ SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, component_id, x = component_id
 """
 
 OP9_SQL = r"""
-WITH both AS (
+WITH given AS (
   SELECT 0 AS side, doc_id AS id, md5(text) AS body, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
   FROM (SELECT DISTINCT doc_id, text FROM documents)
   UNION ALL
   SELECT 1, CAST(item_id AS BIGINT), '', list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
 ), src AS (
-  SELECT *, r AS reading FROM both, (VALUES (0), (1)) n(r)
+  SELECT *, r AS reading FROM given, (VALUES (0), (1)) n(r)
 ), w AS (
   SELECT side, id, body, reading, unnest(l) AS w, unnest(range(len(l))) AS k FROM src
 ), c AS (

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.common import Memo, map_batches, prepare
+from panelspark.llm.common import Memo, cut, keyed_join, map_batches, prepare
 
 #: Encoded chunks that a worker remembers.
 MEMO = 800_000
@@ -85,7 +85,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc
 
     Equal ids are ordered, and may be parted, by their text. A null text counts
     as empty and gives the end id alone; null ids come first. Whole texts are
-    encoded, however long.
+    encoded, however long; repeated rows stay; an empty table gives an empty
+    result; other columns do not matter, whatever their names.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -114,7 +115,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, **columns: str) -> None:
-    """Encodes all documents into files of the format under `out`."""
+    """Encodes all documents into files of the format under `out`; corner cases as in encode_documents. An empty table gives files without rows."""
     encode_documents(docs, path, end_id, **columns).write.options(**FILE_OPTIONS).parquet(out)
 
 
@@ -149,5 +150,5 @@ def token_index(spark: SparkSession, out: str) -> DataFrame:
     ranges = files.groupBy("part").agg(F.sum("n_tokens").alias("range_tokens"))
     ranges = ranges.select("part", F.coalesce(F.sum("range_tokens").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("range_start"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*before)), F.lit(0))
-    placed = rows.withColumn("inside", inside).join(F.broadcast(ranges), "part")
+    placed = keyed_join(rows.withColumn("inside", inside), cut(ranges), "part")
     return placed.select("doc_id", (F.col("range_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

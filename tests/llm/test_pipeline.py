@@ -65,14 +65,14 @@ def test_run_is_registered(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-EXTRA = ("size", "key", "cls", "rank", "score", "grp", "order", "tie", "root", "tokens", "body", "features")
+EXTRA = ("size", "key", "cls", "rank", "score", "grp", "order", "tie", "root", "tokens", "body", "features", "_id", "_of", "_at", "_gone", "_body", "gone", "at", "of_id", "a.b")
 ROWS = [(None, None, None, None, None), (None, "a null id " * 9, "en", "s", 1), (1, "", "en", None, 0), (2, "word", None, "s", 4), (3, "same text here for all of us", "en", "s", 2),
         (4, "same text here for all of us", "en", "t", 2), (4, "same text here for all of us", "en", "t", 2), (5, "long words " * 40000, "en", "hot", None)]
 
 
 def test_stages_on_corner_rows(spark):
     """Nulls, repeated rows, empty and long texts, extra columns with clashing names, empty tables."""
-    docs = spark.createDataFrame([(*r, *range(len(EXTRA))) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in EXTRA))
+    docs = spark.createDataFrame([(*r, *range(len(EXTRA))) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in EXTRA)).selectExpr("*", "map('k', n_chars) as m")
     for name, stage in corpus_pipeline.STAGES:
         for given in (docs, docs.limit(0)):
             out = stage(spark, given, SF)
