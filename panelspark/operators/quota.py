@@ -7,16 +7,22 @@ a main quota alone this is a rank within each key (`allocate_main`). With
 sub-quotas `allocate` settles it in rounds, many respondents at once: whoever
 finds room everywhere, even if all undecided ones ahead are accepted, is in;
 whoever finds a quota used up by accepted ones ahead is out. The first undecided
-respondent always settles, and the result is that of the rule itself.
+respondent always settles, and the result is that of the rule itself. Starts of
+which few rows are left, a number that is checked, are settled by the rule as it
+stands, each in one task.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import itertools
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.shared import cut
+
 COLUMNS = ("qt1", "qt2", "qt3", "target")
 #: Quota tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -55,7 +61,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _one_target(quota: DataFrame, *keys: str) -> DataFrame:
+def one_target(quota: DataFrame, *keys: str) -> DataFrame:
     """A row per key: of repeated keys the last wins in no defined order, so the largest target does here."""
     return quota.groupBy(*keys).agg(F.max(F.col("target").cast("double")).alias("target"))
 
@@ -66,7 +72,7 @@ def allocate_main(people: DataFrame, quota: DataFrame, key: str, score: str, ide
     Keys that the quota does not have get nobody; a null key matches a null
     one. The order is Spark's for descending numbers: NaN first, null last.
     """
-    rooms = _one_target(quota, "m_key").select(F.col("m_key").alias("_key"), room(F.col("target")).alias("_room")).filter("_room > 0")
+    rooms = one_target(quota, "m_key").select(F.col("m_key").alias("_key"), room(F.col("target")).alias("_room")).filter("_room > 0")
     most = rooms.agg(F.max("_room")).first()[0] or 0
     asked = people.select(F.col(key).alias("m_key"), F.col(score).alias("_score"), F.col(ident).alias("respondent_id"))
     matched = asked.join(_small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
@@ -78,7 +84,7 @@ def allocate_main(people: DataFrame, quota: DataFrame, key: str, score: str, ide
 
 def bound(people: DataFrame, quota: DataFrame, key: str) -> DataFrame:
     """Rows (m_key, available, wanted, most): no allocation accepts more than `most` of a key."""
-    rooms = _one_target(quota, "m_key").select("m_key", room(F.col("target")).alias("wanted"))
+    rooms = one_target(quota, "m_key").select("m_key", room(F.col("target")).alias("wanted"))
     there = people.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("available"))
     both = rooms.join(there, F.col("m_key").eqNullSafe(F.col("_key")), "left")
     available = F.coalesce("available", F.lit(0).cast("long"))
@@ -87,7 +93,7 @@ def bound(people: DataFrame, quota: DataFrame, key: str) -> DataFrame:
 
 def shortfall(chosen: DataFrame, quota: DataFrame, key: str = "m_key") -> DataFrame:
     """Rows (m_key, wanted, filled, missing) of an allocation."""
-    rooms = _one_target(quota, "m_key").select("m_key", room(F.col("target")).alias("wanted"))
+    rooms = one_target(quota, "m_key").select("m_key", room(F.col("target")).alias("wanted"))
     filled = chosen.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("filled"))
     both = rooms.join(filled, F.col("m_key").eqNullSafe(F.col("_key")), "left")
     have = F.coalesce("filled", F.lit(0).cast("long"))
@@ -104,20 +110,28 @@ def noise(seed: int, start: Column, ident: Column, deviation: float = 0.5) -> Co
 
 @dataclass(frozen=True)
 class Starts:
-    """count: of starts. seed: of their noise; deviation 0 gives the plain order of scores. threshold: accepted respondents that are enough."""
+    """count: of starts, numbered from `first`. seed: of their noise; deviation 0 gives the plain order of scores.
+
+    threshold: accepted respondents that are enough. wave: starts that run at
+    once before it is looked at. band_rows: of a part of the order that is one
+    task. tail_rows: rows of a start that one task takes in order.
+    """
 
     count: int = 1
+    first: int = 0
+    wave: int = 16
     seed: int = 42
     deviation: float = 0.5
     threshold: float = float("inf")
     band_rows: int = 200_000
+    tail_rows: int = 200_000
 
 
 def start_orders(people: DataFrame, starts: Starts, score: str, ident: str) -> DataFrame:
     """Rows (start_id, respondent_id, noisy): everyone in every start, noisy rounded to 9 decimals; a null score counts as NaN."""
-    begun = people.sparkSession.range(max(0, starts.count)).select(F.col("id").cast("int").alias("start_id"))
+    begun = people.sparkSession.range(starts.first, starts.first + max(0, starts.count)).select(F.col("id").cast("int").alias("start_id"))
     rows = people.select(F.col(ident).alias("respondent_id"), F.coalesce(F.col(score).cast("double"), F.lit(float("nan"))).alias("_score"))
-    rows = rows.crossJoin(F.broadcast(begun))  # a row per start asked for
+    rows = rows.crossJoin(F.broadcast(begun) if starts.count <= BROADCAST_ROWS else begun)  # a row per start asked for
     added = noise(starts.seed, F.col("start_id"), F.col("respondent_id"), starts.deviation) if starts.deviation else F.lit(0.0)
     return rows.select("start_id", "respondent_id", F.round(F.col("_score") + added, 9).alias("noisy"))
 
@@ -128,11 +142,11 @@ def cells_of(people: DataFrame, main: DataFrame, subs: DataFrame, ident: str, ke
     Respondents without a main target over 0 are left out, as nothing accepts
     them. weight: how often the respondent has the key. A NaN sub-target never blocks.
     """
-    rooms = _one_target(main, "m_key").filter((F.col("target") > 0) & ~F.isnan("target")).select(F.col("m_key").alias("_key"), "target")
+    rooms = one_target(main, "m_key").filter((F.col("target") > 0) & ~F.isnan("target")).select(F.col("m_key").alias("_key"), "target")
     asked = people.select(F.col(ident).alias("respondent_id"), F.col(key).alias("m_key"), F.col(sub_keys).alias("_subs"))
     asked = asked.join(_small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
     own = asked.select("respondent_id", F.concat(F.lit("m:"), F.coalesce(F.col("m_key").cast("string"), F.lit("\0"))).alias("cell"), F.lit(1).alias("weight"), "target")
-    known = _one_target(subs, "sub_id", "key").filter(~F.isnan("target"))
+    known = one_target(subs, "sub_id", "key").filter(~F.isnan("target"))
     flat = asked.select("respondent_id", F.posexplode("_subs").alias("_sub", "_keys")).select("respondent_id", "_sub", F.explode("_keys").alias("_sub_key"))
     flat = flat.groupBy("respondent_id", "_sub", "_sub_key").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     met = flat.join(_small(known), (F.col("_sub") == F.col("sub_id")) & F.col("_sub_key").eqNullSafe(F.col("key")))
@@ -177,27 +191,74 @@ def _band(edges: list[float]) -> Column:
     return F.when(F.isnan("noisy"), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col("noisy"))))
 
 
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rule as it stands over the rows of one start: accepted respondents with their scores."""
+    rows = rows.sort_values(["noisy", "respondent_id"], ascending=[False, True], na_position="first", kind="stable")
+    left: dict[str, float] = {}
+    accepted, scores = [], []
+    columns = zip(*(rows[c].tolist() for c in ("respondent_id", "noisy", "cell", "weight", "target")), strict=True)
+    for ident, met in itertools.groupby(columns, key=lambda r: r[0]):
+        met = list(met)
+        if all(left.setdefault(cell, target) > 0 for *_, cell, _, target in met):
+            for *_, cell, weight, _ in met:
+                left[cell] -= weight
+            accepted.append(ident)
+            scores.append(met[0][1])
+    return pd.DataFrame({"start_id": rows["start_id"].iloc[0], "respondent_id": accepted, "noisy": scores, "band": 0})
+
+
+def _tail(rows: DataFrame) -> DataFrame:
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    settled = rows.groupBy("start_id").applyInPandas(_in_order, f"start_id int, respondent_id {fields['respondent_id']}, noisy double, band int")
+    return settled.withColumn("noisy", F.coalesce("noisy", F.lit(float("nan"))))
+
+
 def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts = Starts(), ident: str = "respondent_id", key: str = "m_key", score: str = "score", sub_keys: str = "sub_keys") -> DataFrame:
     """Rows (start_id, rank, respondent_id) of every start, rank being the order of acceptance.
 
     people: an id, a key, a score, and for each sub-quota the list of the
     respondent's keys (null: no constraint). main: (m_key, target). subs:
     (sub_id, key, target). Ties in the order go to the lower id; NaN or null
-    scores come first. Ids must differ.
+    scores come first. Ids must differ. A respondent in a quota that nobody can
+    enter is left out before the rounds; the others go by rounds while their
+    start has more than tail_rows rows.
     """
     orders = start_orders(people, starts, score, ident)
     cells = cells_of(people, main, subs, ident, key, sub_keys)
-    orders = orders.join(cells.select("respondent_id").distinct(), "respondent_id", "left_semi")
+    shut = cells.filter("target <= 0").select("respondent_id").distinct()
+    cells = cells.join(shut, "respondent_id", "left_anti")
+    per_start = cut(cells)
+    if per_start.count() <= starts.tail_rows:
+        return _ranked(_tail(orders.join(per_start, "respondent_id")), False)
+    orders = orders.join(per_start.select("respondent_id").distinct(), "respondent_id", "left_semi")
     edges = _band_edges(orders, starts)
-    rows = orders.withColumn("band", _band(edges)).join(cells, "respondent_id").withColumn("state", F.lit(0))  # 0: undecided, 1: accepted
-    rows = _cut(rows)
+    rows = cut(orders.withColumn("band", _band(edges)).join(per_start, "respondent_id").withColumn("state", F.lit(0)))  # 0: undecided, 1: accepted
+    done: list[DataFrame] = []
     while rows.filter("state = 0").take(1):
         for _ in range(3):
             rows = _settled(rows, bool(edges))
-        rows = _cut(rows)
-    order = Window.partitionBy("start_id").orderBy(F.desc("noisy"), "respondent_id")
-    accepted = rows.select("start_id", "respondent_id", "noisy").distinct()
-    return accepted.select("start_id", F.row_number().over(order).alias("rank"), "respondent_id")
+        rows = cut(rows)
+        few = rows.groupBy("start_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= starts.tail_rows).select("start_id")
+        few = cut(few)  # a row per start
+        if few.take(1):
+            done.append(cut(_tail(rows.join(few, "start_id", "left_semi"))))
+            rows = cut(rows.join(few, "start_id", "left_anti"))
+    accepted = rows.select("start_id", "respondent_id", "noisy", "band").distinct()
+    for part in done:
+        accepted = accepted.unionByName(part.withColumn("band", _band(edges)))
+    return _ranked(accepted, bool(edges))
+
+
+def _ranked(accepted: DataFrame, banded: bool) -> DataFrame:
+    """Ranks in each start; where there are bands of the order, within these and over their counts."""
+    order = Window.partitionBy("start_id", "band").orderBy(F.desc("noisy"), "respondent_id")
+    ranked = accepted.withColumn("rank", F.row_number().over(order))
+    if banded:
+        counts = accepted.groupBy("start_id", "band").count()
+        before = Window.partitionBy("start_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select("start_id", "band", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+        ranked = ranked.join(counts, ["start_id", "band"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    return ranked.select("start_id", F.col("rank").cast("int").alias("rank"), "respondent_id")
 
 
 def best_start(allocations: DataFrame, starts: Starts) -> int | None:
@@ -205,23 +266,26 @@ def best_start(allocations: DataFrame, starts: Starts) -> int | None:
     if starts.count <= 0:
         return None
     counts = {r["start_id"]: r["n"] for r in allocations.groupBy("start_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    reached = [i for i in range(starts.count) if counts.get(i, 0) >= starts.threshold]
-    return reached[0] if reached else min(range(starts.count), key=lambda i: (-counts.get(i, 0), i))
+    all_ = range(starts.first, starts.first + starts.count)
+    reached = [i for i in all_ if counts.get(i, 0) >= starts.threshold]
+    return reached[0] if reached else min(all_, key=lambda i: (-counts.get(i, 0), i))
 
 
 def allocate_best(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts = Starts(), **columns: str) -> tuple[int, DataFrame]:
-    """Accepted respondents of the best start: their number (-1 without starts) and rows (start_id, rank, respondent_id)."""
-    rows = _cut(allocate(people, main, subs, starts, **columns))
-    best = best_start(rows, starts)
-    chosen = rows.filter(F.col("start_id") == (-1 if best is None else best))
-    return (-1 if best is None else chosen.count()), chosen
-
+    """Accepted respondents of the best start: their number (-1 without starts) and rows (start_id, rank, respondent_id).
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage that rounds build up, in the folder that the cluster names, else in a fresh one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspark-"))
-    return df.checkpoint(eager=True)
+    Starts run in waves; once one has reached the threshold, later waves do not run.
+    """
+    if starts.count <= 0:
+        return -1, allocate(people, main, subs, replace(starts, count=0), **columns)
+    best: tuple[int, DataFrame] | None = None
+    for first in range(starts.first, starts.first + starts.count, starts.wave):
+        wave = replace(starts, first=first, count=min(starts.wave, starts.first + starts.count - first))
+        rows = cut(allocate(people, main, subs, wave, **columns))
+        chosen = rows.filter(F.col("start_id") == best_start(rows, wave))
+        n = chosen.count()
+        if best is None or n > best[0]:
+            best = n, chosen
+        if n >= starts.threshold:
+            break
+    return best

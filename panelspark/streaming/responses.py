@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.quality import has_keyword, straight_line
-from panelspark.operators.quota import room
+from panelspark.operators.quota import one_target, room
 
 
 def flagged(responses: DataFrame, answers: list[str], text: str, words: list[str]) -> DataFrame:
@@ -19,7 +19,10 @@ def flagged(responses: DataFrame, answers: list[str], text: str, words: list[str
 
 
 def quota_progress(responses: DataFrame, quota: DataFrame, key: str) -> DataFrame:
-    """Rows (m_key, wanted, filled) for update mode: responses so far in each main quota. State: a number per key."""
-    rooms = quota.select(F.col("m_key").alias("_key"), room(F.col("target")).alias("wanted"))
-    matched = responses.select(F.col(key).alias("m_key")).join(rooms, F.col("m_key") == F.col("_key"))
+    """Rows (m_key, wanted, filled) for update mode: responses so far in each main quota. State: a number per key.
+
+    Of repeated quota keys the largest target counts, and a null key matches a null one, as in the allocation.
+    """
+    rooms = one_target(quota, "m_key").select(F.col("m_key").alias("_key"), room(F.col("target")).alias("wanted"))
+    matched = responses.select(F.col(key).alias("m_key")).join(rooms, F.col("m_key").eqNullSafe(F.col("_key")))
     return matched.groupBy("m_key", "wanted").agg(F.count(F.lit(1)).alias("filled"))

@@ -58,22 +58,23 @@ def test_corner_cases(spark, main, subs, people):
 TARGET = st.sampled_from([-1.0, 0.0, 0.5, 1.0, 2.0, 2.5, 7.0, NAN])
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.data())
 def test_rounds_equal_the_rule(spark, data):
     rng = random.Random(data.draw(st.integers(0, 10**6)))
     main = {k: data.draw(TARGET) for k in "abc"}
     subs = {(j, k): data.draw(TARGET) for j in range(3) for k in "pqr"}
     people = [(i, rng.choice([float(rng.randrange(9)), rng.random(), NAN]), rng.choice("abcx"), [[rng.choice("pqrz") for _ in range(rng.randrange(4))] for _ in range(3)]) for i in range(rng.randrange(0, 120))]
-    accepted = run(spark, people, main, subs)
-    assert accepted == greedy(people, main, subs)
+    want = greedy(people, main, subs)
+    assert run(spark, people, main, subs) == want  # in order
+    assert run(spark, people, main, subs, tail_rows=40) == want  # rounds, then in order
 
 
 def test_bands_do_not_change_the_result(spark):
     rng = random.Random(3)
     people = [(i, rng.random(), rng.choice("ab"), [[rng.choice("pqr")]]) for i in range(300)]
     main, subs = {"a": 40.0, "b": 30.0}, {(0, "p"): 20.0, (0, "q"): 15.0}
-    assert run(spark, people, main, subs, band_rows=25) == greedy(people, main, subs)
+    assert run(spark, people, main, subs, band_rows=25, tail_rows=0) == greedy(people, main, subs)
 
 
 def frames(spark):
@@ -97,11 +98,23 @@ def test_starts(spark):
     assert fewer <= quota.allocate_best(people, main, subs, quota.Starts(count=4))[0]
 
 
+def test_waves_stop_at_the_threshold(spark, monkeypatch):
+    people, main, subs = frames(spark)
+    ran = []
+    real = quota.allocate
+    monkeypatch.setattr(quota, "allocate", lambda p, m, s, starts, **c: ran.append(starts.count) or real(p, m, s, starts, **c))
+    n, rows = quota.allocate_best(people, main, subs, quota.Starts(count=1000, threshold=0, wave=2))
+    assert ran == [2] and n == rows.count() and {r.start_id for r in rows.collect()} == {0}
+    all_at_once = quota.allocate_best(people, main, subs, quota.Starts(count=5))
+    in_waves = quota.allocate_best(people, main, subs, quota.Starts(count=5, wave=2))
+    assert all_at_once[0] == in_waves[0] and sorted(map(tuple, all_at_once[1].collect())) == sorted(map(tuple, in_waves[1].collect()))
+
+
 def test_main_alone_is_a_rank(spark):
     people, main, _ = frames(spark)
     none = spark.createDataFrame([], "sub_id int, key string, target double")
     ranked = quota.allocate_main(people, main, "m_key", "score", "respondent_id")
-    rounds = quota.allocate(people, main, none, quota.Starts(deviation=0.0))
+    rounds = quota.allocate(people, main, none, quota.Starts(deviation=0.0, tail_rows=0))
     assert {r.respondent_id for r in ranked.collect()} == {r.respondent_id for r in rounds.collect()}
     plan = ranked._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Broadcast" in plan
