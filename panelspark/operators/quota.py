@@ -147,8 +147,8 @@ def cells_of(people: DataFrame, main: DataFrame, subs: DataFrame, ident: str, ke
     asked = asked.join(_small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
     own = asked.select("respondent_id", F.concat(F.lit("m:"), F.coalesce(F.col("m_key").cast("string"), F.lit("\0"))).alias("cell"), F.lit(1).alias("weight"), "target")
     known = one_target(subs, "sub_id", "key").filter(~F.isnan("target"))
-    flat = asked.select("respondent_id", F.posexplode("_subs").alias("_sub", "_keys")).select("respondent_id", "_sub", F.explode("_keys").alias("_sub_key"))
-    flat = flat.groupBy("respondent_id", "_sub", "_sub_key").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+    times = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("_sub_key"), F.size(F.filter(keys, lambda x: x.eqNullSafe(k))).alias("weight")))
+    flat = asked.select("respondent_id", F.posexplode("_subs").alias("_sub", "_keys")).select("respondent_id", "_sub", F.inline(times(F.col("_keys"))))
     met = flat.join(_small(known), (F.col("_sub") == F.col("sub_id")) & F.col("_sub_key").eqNullSafe(F.col("key")))
     sub = met.select("respondent_id", F.concat_ws(":", F.lit("s"), F.col("sub_id").cast("string"), F.coalesce("key", F.lit("\0"))).alias("cell"), "weight", "target")
     return own.unionByName(sub)
@@ -219,14 +219,11 @@ def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts
     people: an id, a key, a score, and for each sub-quota the list of the
     respondent's keys (null: no constraint). main: (m_key, target). subs:
     (sub_id, key, target). Ties in the order go to the lower id; NaN or null
-    scores come first. Ids must differ. A respondent in a quota that nobody can
-    enter is left out before the rounds; the others go by rounds while their
+    scores come first. Ids must differ. Respondents go by rounds while their
     start has more than tail_rows rows.
     """
     orders = start_orders(people, starts, score, ident)
     cells = cells_of(people, main, subs, ident, key, sub_keys)
-    shut = cells.filter("target <= 0").select("respondent_id").distinct()
-    cells = cells.join(shut, "respondent_id", "left_anti")
     per_start = cut(cells)
     if per_start.count() <= starts.tail_rows:
         return _ranked(_tail(orders.join(per_start, "respondent_id")), False)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import math
+import re
 import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -11,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions.text import sheet_name
+
+#: What XML 1.0 cannot hold.
+_NO_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: A codebook goes through the driver, so its rows are bounded by what a sheet can hold.
 SHEET_ROWS = 1_048_575
@@ -50,17 +56,22 @@ def questions(paragraph: DataFrame) -> DataFrame:
 
 
 def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
-    """Writes a small table as a one-sheet workbook from the driver; its number of rows. Too many rows for a sheet are an error."""
+    """Writes a small table as a one-sheet workbook from the driver; its number of rows. Too many rows for a sheet are an error.
+
+    The sheet's name is made valid. NaN and infinity are empty cells, and
+    characters that the format's XML cannot hold are left out.
+    """
     if df.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
         raise ValueError("more rows than a sheet holds; write Parquet or CSV")
 
     def cell(value) -> str:
-        if value is None:
+        if value is None or isinstance(value, float) and not math.isfinite(value):
             return "<c/>"
         if isinstance(value, (int, float)) and not isinstance(value, bool):
             return f"<c><v>{value}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NO_XML.sub("", str(value)))}</t></is></c>'
 
+    name = df.sparkSession.range(1).select(sheet_name(F.lit(sheet))).first()[0] or "Sheet1"
     space = "http://schemas.openxmlformats.org"
     n = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
@@ -69,7 +80,7 @@ def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
         link = f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/{{}}" Target="{{}}"/></Relationships>'
         book.writestr("_rels/.rels", link.format("officeDocument", "xl/workbook.xml"))
         book.writestr("xl/_rels/workbook.xml.rels", link.format("worksheet", "worksheets/sheet1.xml"))
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet, {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="{escape(_NO_XML.sub("", name), {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         with book.open("xl/worksheets/sheet1.xml", "w") as out:
             out.write(f'<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>'.encode())
             out.write(f"<row>{''.join(map(cell, df.columns))}</row>".encode())

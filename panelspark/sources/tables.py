@@ -1,26 +1,37 @@
 """Reading respondent tables: CSV in UTF-8 or Korean code pages, XLSX, XLS, Parquet.
 
-CSV stays distributed: lines are read byte for byte, the charset is decided by
-looking at all cells, and cells are decoded column-wise. Cells that mean
-"missing" become null; types are inferred from all cells in one pass.
+One pass over a folder's lines decides each file's charset, and whether it has
+line breaks inside quotes. Files without these are read in splits, cells being
+decoded column-wise; one with them is a single task's work, as is a workbook.
+Rows wider than the header keep their cells in columns `Unnamed: k`. Cells that
+mean "missing" become null; types are inferred from all cells in one pass.
 """
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.shared import cut
+
 #: Cell texts that mean "missing", fixed values.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Stands before the text of a workbook's dates, so that they differ from texts that look like them.
+DATE = chr(0xFDD0)
+#: Formats of dates among the built-in number formats, fixed values; others are told by their letters.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -37,14 +48,27 @@ def unique_names(names: list[str | None]) -> list[str]:
     return out
 
 
-def infer_types(text: DataFrame) -> DataFrame:
-    """All-text columns with missing cells as null, cast to bigint, double or boolean where every cell allows it."""
+def infer_types(text: DataFrame, named: int | None = None) -> DataFrame:
+    """All-text columns with missing cells as null, cast to bigint, double, boolean or, for a workbook's dates, timestamp where every cell allows it.
+
+    Columns from the place `named` on are left out where no cell is there.
+    """
     cells = text.select(*[F.when(F.col(f"`{c}`").isin(*MISSING), None).otherwise(F.col(f"`{c}`")).alias(c) for c in text.columns])
-    tests = {"bigint": r"^\s*[+-]?\d{1,18}\s*$", "double": r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?inf(inity)?)\s*$", "boolean": r"^(True|False|TRUE|FALSE|true|false)$"}
+    tests = {
+        "bigint": r"^\s*[+-]?\d{1,18}\s*$", "double": r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?inf(inity)?)\s*$",
+        "boolean": r"^(True|False|TRUE|FALSE|true|false)$", "timestamp_ntz": rf"^{DATE}\d{{4}}-",
+    }
     facts = [F.coalesce(F.bool_and(F.col(f"`{c}`").rlike(p)), F.lit(False)).alias(f"{k}{i}") for i, c in enumerate(cells.columns) for k, p in tests.items()]
-    row = cells.agg(*facts).first() if facts else None
-    kinds = [next((k for k in tests if row[f"{k}{i}"]), "string") for i in range(len(cells.columns))]
-    return cells.select(*[(F.col(f"`{c}`") if k == "string" else F.trim(F.col(f"`{c}`")).cast(k)).alias(c) for c, k in zip(cells.columns, kinds, strict=True)])
+    facts += [F.count(F.col(f"`{c}`")).alias(f"there{i}") for i, c in enumerate(cells.columns)]
+    row = cells.agg(*facts).first() if cells.columns else None
+    made = []
+    for i, c in enumerate(cells.columns):
+        if named is not None and i >= named and not row[f"there{i}"]:
+            continue
+        kind = next((k for k in tests if row[f"{k}{i}"]), "string")
+        cell = F.ltrim(F.col(f"`{c}`"), F.lit(DATE))
+        made.append((cell if kind == "string" else F.trim(cell).cast(kind)).alias(c))
+    return cells.select(*made)
 
 
 def _decoder(charset: str):
@@ -61,38 +85,99 @@ def _decoder(charset: str):
     return decode
 
 
+def _all_names(header: list[str | None], width: int) -> list[str]:
+    return unique_names([*header, *[None] * (width - len(header))])
+
+
+def _whole_files(spark: SparkSession, files: list[str], charset: str) -> DataFrame:
+    """Rows (i, cells) of files with line breaks inside quotes: i is the row's place in its file; blank lines are left out."""
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                lines = csv.reader(io.StringIO(content.decode("utf-8-sig" if charset == "utf-8" else charset, "replace"), newline=""))
+                held = [(i, [c or None for c in cells]) for i, cells in enumerate(x for x in lines if x)]
+                for at in range(0, len(held), 5_000):
+                    yield pd.DataFrame(held[at : at + 5_000], columns=["i", "cells"])
+
+    return spark.read.format("binaryFile").load(files).select("content").mapInPandas(rows, "i long, cells array<string>")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file or folder with a header line; UTF-8, with or without a mark, where all cells are valid, else cp949.
+    """A CSV file or folder with a header line in each file, the same in all; each is UTF-8, with or without a mark, where all its lines are valid, else cp949.
 
-    Repeated header names get numbers. An empty file gives an empty table.
+    Repeated header names get numbers; blank lines are left out. An empty file
+    or folder gives an empty table. The driver gets a row per file. Headers are
+    compared between files of different charsets and of those with and without
+    line breaks in quotes; beyond that the first file's header counts for all.
     """
-    read = spark.read.option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"').option("multiLine", True)
-    first = read.csv(path, header=False).limit(1).collect()
-    if not first:
+    line = F.col("value")
+    many = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+    facts = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_and(F.is_valid_utf8(line)).alias("valid"), F.bool_or(many('"') % 2 == 1).alias("broken"), F.max(many(",")).alias("commas")
+    )
+    groups: dict[tuple[str, bool], list] = {}
+    for f in facts.orderBy("file").collect():
+        groups.setdefault(("utf-8" if f["valid"] else "cp949", f["broken"]), []).append(f)
+    parts, header, width = [], None, 0
+    for (charset, broken), found in groups.items():
+        files = [f["file"] for f in found]
+        if broken:
+            lines = cut(_whole_files(spark, files, charset))
+            names = list(lines.filter("i = 0").first()["cells"])
+            wide = lines.agg(F.max(F.size("cells"))).first()[0]
+            part = lines.filter("i > 0").select(*[F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(wide)])
+        else:
+            read = spark.read.option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
+            first = read.csv(files[0], header=False).first()
+            bytes_ = [(c or "").encode("latin-1") for c in first]
+            names = [c.decode("utf-8-sig" if charset == "utf-8" and not i else charset, "replace") for i, c in enumerate(bytes_)]
+            # Commas inside quotes count as well, so this is the least width that surely holds all cells.
+            wide = max(len(names), 1 + max(f["commas"] for f in found))
+            raw = read.schema(", ".join(f"c{k} string" for k in range(wide))).csv(files, header=True, enforceSchema=True)
+            decode = _decoder(charset)
+            part = raw.select(*[decode(F.col(c)).alias(c) for c in raw.columns])
+        if header is not None and names != header:
+            raise ValueError(f"files of {path} have different headers")
+        header, width = names, max(width, wide)
+        parts.append(part)
+    if header is None:
         return spark.createDataFrame([], "struct<>")
-    header = list(first[0])
-    raw = read.schema(", ".join(f"c{i} string" for i in range(len(header)))).csv(path, header=True, enforceSchema=True)
-    head = "\n".join(h or "" for h in header).encode("latin-1")
-    try:
-        names = head.decode("utf-8-sig").split("\n")
-        valid = F.bool_and(F.is_valid_utf8(F.encode(F.concat_ws(",", *raw.columns), "ISO-8859-1")))
-        charset = "utf-8" if raw.agg(F.coalesce(valid, F.lit(True))).first()[0] else "cp949"
-    except UnicodeDecodeError:
-        charset = "cp949"
-    if charset != "utf-8":
-        names = head.decode(charset, "replace").split("\n")
-    decode = _decoder(charset)
-    return infer_types(raw.select(*[decode(F.col(c)).alias(n) for c, n in zip(raw.columns, unique_names(names), strict=True)]))
+    width = max(width, len(header))
+    parts = [p.select(*[F.col(f"c{k}") if k < len(p.columns) else F.lit(None).cast("string").alias(f"c{k}") for k in range(width)]) for p in parts]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return infer_types(rows.toDF(*_all_names(header, width)), len(header))
+
+
+def date_text(serial: float, since_1904: bool) -> str:
+    """A workbook's date number as text: days since 1899-12-30, or since 1904; up to whole microseconds; below a day a time alone."""
+    at = (datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30 if serial >= 60 else 31)) + timedelta(seconds=round(serial * 86_400, 3))
+    return at.strftime("%H:%M:%S") if 0 <= serial < 1 else DATE + at.isoformat(" ")
+
+
+def date_styles(styles: bytes) -> set[int]:
+    """Places of the cell styles whose number format is one of dates."""
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", f.get("formatCode", "")) for f in root.iter(f"{_MAIN}numFmt")}
+    cells = root.find(f"{_MAIN}cellXfs")
+    formats = [int(x.get("numFmtId", "0")) for x in cells] if cells is not None else []
+    return {i for i, f in enumerate(formats) if (re.search("[ymdhsYMDHS]", own[f]) if f in own else f in DATE_FORMATS)}
 
 
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
-    """The cells of a workbook's first sheet as text, row by row; the format bounds a sheet to 1,048,576 rows."""
+    """The cells of a workbook's first sheet as text, row by row, blank rows included; the format bounds a sheet to 1,048,576 rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        first = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")).get(_LINK)
+        workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        first = next(workbook.iter(f"{_MAIN}sheet")).get(_LINK)
+        dates = date_styles(book.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
+        since_1904 = any(x.get("date1904") in ("1", "true") for x in workbook.iter(f"{_MAIN}workbookPr"))
+        done = 0
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         target = links[first].lstrip("/")
         with book.open(target if target.startswith("xl/") else f"xl/{target}") as sheet:
@@ -100,6 +185,9 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 if row.tag != f"{_MAIN}row":
                     continue
                 cells: list[str | None] = []
+                for _ in range(done + 1, int(row.get("r", done + 1))):
+                    done += 1
+                    yield []
                 for cell in row.iter(f"{_MAIN}c"):
                     letters = "".join(c for c in cell.get("r", "") if c.isalpha())
                     at = len(cells)
@@ -116,9 +204,12 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                         text = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
                     elif cell.get("t") == "b":
                         text = {"1": "True", "0": "False"}.get(text)
+                    elif cell.get("t", "n") == "n" and text is not None and int(cell.get("s", "0")) in dates:
+                        text = date_text(float(text), since_1904)
                     cells += [None] * (at + 1 - len(cells))
                     cells[at] = text
                 row.clear()
+                done += 1
                 yield cells
 
 
@@ -127,19 +218,29 @@ def _book_rows(content: bytes, suffix: str) -> Iterator[list[str | None]]:
         return sheet_rows(content)
     import xlrd  # optional: the old binary format has no reader of its own here
 
-    sheet = xlrd.open_workbook(file_contents=content).sheet_by_index(0)
-    return ([None if c == "" else str(c) for c in sheet.row_values(i)] for i in range(sheet.nrows))
+    book = xlrd.open_workbook(file_contents=content)
+    sheet = book.sheet_by_index(0)
+
+    def text(cell) -> str | None:
+        if cell.ctype == xlrd.XL_CELL_DATE:
+            return date_text(cell.value, book.datemode == 1)
+        if cell.ctype == xlrd.XL_CELL_BOOLEAN:
+            return str(bool(cell.value))
+        if cell.ctype == xlrd.XL_CELL_NUMBER:
+            return str(int(cell.value) if cell.value == int(cell.value) else cell.value)
+        return None if cell.ctype == xlrd.XL_CELL_ERROR or cell.value == "" else str(cell.value)
+
+    return ([text(c) for c in sheet.row(i)] for i in range(sheet.nrows))
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook, its first row being the header."""
-    suffix = path[path.rindex(".") :].lower()
+    """The first sheets of a workbook or a folder of them, their first row being the header; each file is parsed once."""
 
     def rows(batches):
         for batch in batches:
-            for content in batch["content"]:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
                 held = []
-                for i, cells in enumerate(_book_rows(content, suffix)):
+                for i, cells in enumerate(_book_rows(content, name[name.rindex(".") :].lower())):
                     held.append((i, cells))
                     if len(held) == 5_000:
                         yield pd.DataFrame(held, columns=["i", "cells"])
@@ -147,25 +248,41 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pd.DataFrame(held, columns=["i", "cells"])
 
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "i long, cells array<string>")
-    first = lines.filter("i = 0").first()
-    if first is None:
+    lines = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "i long, cells array<string>"))
+    headers = lines.filter("i = 0").select("cells").distinct().limit(2).collect()
+    if not headers:
         return spark.createDataFrame([], "struct<>")
-    names = unique_names(list(first["cells"]))
-    return infer_types(lines.filter("i > 0").select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)]))
+    if len(headers) > 1:
+        raise ValueError(f"files of {path} have different headers")
+    header = list(headers[0]["cells"])
+    width = max(len(header), lines.agg(F.max(F.size("cells"))).first()[0])
+    cells = [F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(_all_names(header, width))]
+    return infer_types(lines.filter("i > 0").select(*cells), len(header))
 
 
 READERS = {".csv": read_csv, ".xlsx": read_excel, ".xls": read_excel, ".parquet": lambda spark, path: spark.read.parquet(path)}
 
 
+def _reader(spark: SparkSession, path: str):
+    """The reader by the path's suffix in any case, or for a folder by that of its files, if they all have one."""
+    known = next((f for s, f in READERS.items() if path.lower().endswith(s)), None)
+    if known is not None:
+        return known
+    try:
+        names = spark.read.format("binaryFile").load(path).select(F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).alias("s")).distinct().limit(2).collect()
+    except Exception:  # no such path
+        return None
+    return READERS.get(names[0]["s"]) if len(names) == 1 else None
+
+
 def load_table(spark: SparkSession, path: str | None, lenient: bool = False) -> DataFrame | None:
-    """A table by the suffix of its path in any case. No path gives None.
+    """A table by the suffix of its path, or of a folder's files, in any case. No path gives None.
 
     An unknown suffix is an error, as is a file that cannot be read; if lenient, both give None.
     """
     if path is None:
         return None
-    reader = next((f for s, f in READERS.items() if path.lower().endswith(s)), None)
+    reader = _reader(spark, path)
     if reader is None:
         if lenient:
             return None

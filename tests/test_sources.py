@@ -1,6 +1,7 @@
 """Readers, writers, quality, codebook and streaming tools on small hand-made inputs."""
 
 import zipfile
+from datetime import datetime
 
 import pytest
 
@@ -21,6 +22,10 @@ def write(path, data):
     (b"a,b,a\n1,2,3\n", ["a", "b", "a.1"], [(1, 2, 3)]),
     (b"a,b,c\nNA,,True\n2,n/a,False\n", ["a", "b", "c"], [(None, None, True), (2, None, False)]),
     (b'a,b\n1.5,"x,""y"""\n2,z\n', ["a", "b"], [(1.5, 'x,"y"'), (2.0, "z")]),
+    (b"a,b\n1,2,3\n4,5\n", ["a", "b", "Unnamed: 2"], [(1, 2, 3), (4, 5, None)]),
+    (b'"How\nold?",b\n1,"two\nlines"\n\n2,x,y\n', ["How\nold?", "b", "Unnamed: 2"], [(1, "two\nlines", None), (2, "x", "y")]),
+    ("나이,\"둘\n줄\"\n1,똠\n".encode("cp949"), ["나이", "둘\n줄"], [(1, "똠")]),
+    (b"", [], []),
 ])
 def test_csv(spark, tmp_path, data, columns, rows):
     df = tables.load_table(spark, write(tmp_path / "T.CSV", data))
@@ -43,6 +48,42 @@ def test_workbooks(spark, tmp_path):
     assert df.columns == ["question", "label", "codes"] and [tuple(r) for r in df.collect()] == [("Q1", "나이 <&>", 3), ("Q2", None, 4)]
 
 
+def test_folder_with_two_charsets(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("이름,id\n똠방,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("이름,id\n햏,2\n".encode("cp949"))
+    (tmp_path / "c.csv").write_bytes('이름,id\n"두\n줄",3,x\n'.encode())
+    df = tables.load_table(spark, str(tmp_path))
+    assert df.columns == ["이름", "id", "Unnamed: 2"] and {tuple(r) for r in df.collect()} == {("똠방", 1, None), ("햏", 2, None), ("두\n줄", 3, "x")}
+    (tmp_path / "b.csv").write_bytes("다른,id\n햏,2\n".encode("cp949"))
+    with pytest.raises(ValueError):
+        tables.load_table(spark, str(tmp_path))
+
+
+def test_dates_blank_and_wide_rows_of_workbooks(spark, tmp_path):
+    space = "http://schemas.openxmlformats.org"
+    main = f'xmlns="{space}/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        row = lambda r, *cells: f'<row r="{r}">' + "".join(f'<c s="{s}"><v>{v}</v></c>' if s is not None else f'<c t="inlineStr"><is><t>{v}</t></is></c>' for s, v in cells) + "</row>"
+        rows = row(1, (None, "at"), (None, "n"), (None, "mixed")) + row(2, (1, 45000), (3, 1.5), (2, 45000.5)) + row(4, (2, 45001.25), (0, 2), (None, "later"), (0, 7))
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    df = tables.load_table(spark, str(tmp_path / "d.xlsx"))
+    assert df.columns == ["at", "n", "mixed", "Unnamed: 3"] and dict(df.dtypes)["at"] == "timestamp_ntz"
+    rows = {tuple(r) for r in df.collect()}
+    assert rows == {(datetime(2023, 3, 15), 1.5, "2023-03-15 12:00:00", None), (None, None, None, None), (datetime(2023, 3, 16, 6), 2.0, "later", 7)}
+
+
+def test_workbook_of_odd_cells(spark, tmp_path):
+    odd = spark.createDataFrame([("a\x01b", float("nan"), True), ("c", float("inf"), False), ("d", 2.5, None)], "a string, b double, c boolean")
+    path = str(tmp_path / "odd.xlsx")
+    assert documents.write_workbook(odd, path, "a:b\x02" + "c" * 50) == 3
+    assert [tuple(r) for r in tables.load_table(spark, path).collect()] == [("ab", None, True), ("c", None, False), ("d", 2.5, None)]
+    with zipfile.ZipFile(path) as book:
+        assert f'name="a_b{"c" * 27}' in book.read("xl/workbook.xml").decode()
+
+
 def test_questionnaires(spark, tmp_path):
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     line = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
