@@ -5,7 +5,9 @@ Only the names of these tools are given; what they do here is this library's own
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,17 +17,26 @@ def plain_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"^s(q[0-9])", "$1"), r"([a-z]|^)0+([0-9])", "$1$2")
 
 
-def match_names(raw: DataFrame, codebook: DataFrame) -> DataFrame:
-    """raw (raw_name) with codebook (spss_name) -> rows (raw_name, spss_name, how): exact, normalized, or none with a null name.
+def match_names(raw: DataFrame, codebook: DataFrame, by_position: bool = False) -> DataFrame:
+    """raw (raw_name) with codebook (spss_name) -> rows (raw_name, spss_name, how): exact, normalized, position, or none with a null name.
 
-    Of several normalized matches the least name counts.
+    Of several normalized matches the least name counts. by_position: both tables
+    have a column pos, and a name that finds nothing else gets the codebook's name
+    of its place, if that one is no other's.
     """
     book = codebook.select("spss_name").distinct()
     exact = raw.select("raw_name").distinct().join(book.withColumn("raw_name", F.col("spss_name")).withColumnRenamed("spss_name", "same"), "raw_name", "left")
     loose = book.groupBy(plain_name(F.col("spss_name")).alias("plain")).agg(F.min("spss_name").alias("near"))
     both = exact.withColumn("plain", plain_name(F.col("raw_name"))).join(loose, "plain", "left")
     how = F.when(F.col("same").isNotNull(), "exact").when(F.col("near").isNotNull(), "normalized").otherwise("none")
-    return both.select("raw_name", F.coalesce("same", "near").alias("spss_name"), how.alias("how"))
+    found = both.select("raw_name", F.coalesce("same", "near").alias("spss_name"), how.alias("how"))
+    if not by_position:
+        return found
+    free = codebook.select("spss_name", "pos").join(found.filter("how <> 'none'").select("spss_name"), "spss_name", "left_anti")
+    places = raw.groupBy("raw_name").agg(F.min("pos").alias("pos")).join(free.groupBy("pos").agg(F.min("spss_name").alias("there")), "pos")
+    both = found.join(places.select("raw_name", "there"), "raw_name", "left")
+    placed = (F.col("how") == "none") & F.col("there").isNotNull()
+    return both.select("raw_name", F.when(placed, F.col("there")).otherwise(F.col("spss_name")).alias("spss_name"), F.when(placed, "position").otherwise(F.col("how")).alias("how"))
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -83,3 +94,21 @@ def recode_syntax(codes: DataFrame) -> DataFrame:
     lists = codes.groupBy("spss_name").agg(F.array_sort(F.collect_list(F.struct("old", "new"))).alias("all"))
     pairs = F.concat_ws(" ", F.transform("all", lambda x: F.concat(F.lit("("), x["old"].cast("string"), F.lit(" = "), x["new"].cast("string"), F.lit(")"))))
     return lists.select("spss_name", F.concat(F.lit("RECODE "), "spss_name", F.lit(" "), pairs, F.lit(".")).alias("line"))
+
+
+def program(codebook: DataFrame, codes: DataFrame, names: DataFrame, recodes: DataFrame) -> DataFrame:
+    """All of a codebook's syntax as one ordered text: rows (ord, line), from 1 on, the last one EXECUTE.
+
+    Labels come first, of raw names, then renames, then recodes of the new
+    names. The order is that of one window, as a codebook is bounded by its format.
+    """
+    parts = (variable_labels(codebook), value_labels(codes), rename_syntax(names), recode_syntax(recodes))
+    lines = [p.select(F.lit(i).alias("part"), F.col(p.columns[0]).alias("name"), "line") for i, p in enumerate(parts)]
+    last = codebook.sparkSession.range(1).select(F.lit(len(parts)).alias("part"), F.lit("").alias("name"), F.lit("EXECUTE.").alias("line"))
+    everything = reduce(DataFrame.unionByName, [*lines, last])
+    return everything.select(F.row_number().over(Window.orderBy("part", "name", "line")).cast("long").alias("ord"), "line")
+
+
+def write_program(lines: DataFrame, path: str) -> None:
+    """Writes a program as one text file in its order, into a folder."""
+    lines.orderBy("ord").coalesce(1).select("line").write.text(path)

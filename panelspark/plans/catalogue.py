@@ -5,7 +5,11 @@ The driver tables hold no survey data, so each operator runs on stand-in columns
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,9 @@ from pyspark.sql import functions as F
 from panelspark.functions.cells import collect_values
 from panelspark.functions.text import SPACES, clean_text, natural_key, sheet_name
 from panelspark.operators import codebook, quality, quota
+from panelspark.shared import fresh_path
+from panelspark.sources.documents import questions, read_questionnaires, write_workbook
+from panelspark.sources.tables import load_table
 from pyspark.sql import Window
 
 #: Main targets by market segment, and sub-targets by nation and by thousands of balance, tight enough that starts differ.
@@ -149,12 +156,100 @@ def q18_syntax(spark, sf_dir):
     return codebook.value_labels(codes)
 
 
+def _file(spark: SparkSession, name: str, content: bytes = b"") -> str:
+    """A new file that the driver writes for a reader to read."""
+    folder = Path(fresh_path(spark, "files").removeprefix("file://").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    (folder / name).write_bytes(content)
+    return str(folder / name)
+
+
+def _csv(spark, sf_dir, word: str, charset: str) -> DataFrame:
+    """The nations as a survey export: written in the charset, read back."""
+    out = io.StringIO()
+    rows = csv.writer(out, lineterminator="\n")
+    rows.writerow(["번호", "이름", "메모"])
+    rows.writerows((r["n_nationkey"], r["n_name"], f'{word} "{r["n_name"]}", {r["n_regionkey"]}') for r in _table(spark, sf_dir, "nation").collect())
+    read = load_table(spark, _file(spark, "nation.csv", out.getvalue().encode(charset)))
+    return read.select(F.col("번호").alias("n_nationkey"), F.col("이름").alias("n_name"), F.col("메모").alias("memo"))
+
+
+def q19_csv_utf8(spark, sf_dir):
+    return _csv(spark, sf_dir, "두 번째", "utf-8-sig")
+
+
+def q20_csv_cp949(spark, sf_dir):
+    return _csv(spark, sf_dir, "똠방", "cp949")
+
+
+def _round_trip(spark, df: DataFrame) -> DataFrame:
+    path = _file(spark, "book.xlsx")
+    write_workbook(df, path, "a:b")
+    return load_table(spark, path)
+
+
+def q21_xlsx_dates(spark, sf_dir):
+    return _round_trip(spark, _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"))
+
+
+def q22_docx(spark, sf_dir):
+    line = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+    asked = "".join(line.format(f"SQ{r['n_nationkey']}. Have you been to {r['n_name']}?") + line.format("no question") for r in _table(spark, sf_dir, "nation").collect())
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as book:
+        book.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{asked}</w:body></w:document>')
+    found = questions(read_questionnaires(spark, _file(spark, "asked.docx", held.getvalue())))
+    return found.select("question", "text", codebook.question_kind(F.col("text")).alias("kind"))
+
+
+def q23_workbook_round_trip(spark, sf_dir):
+    return _round_trip(spark, _table(spark, sf_dir, "customer"))
+
+
+def _nation_book(spark, sf_dir):
+    """Codebook, codes, names and recodes from the nations."""
+    nation = _table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("Q"), F.col("n_nationkey").cast("string"))
+    area = F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("spss_name")
+    book = nation.select(name.alias("spss_name"), F.concat(F.col("n_name"), F.lit("'s")).alias("var_label"))
+    codes = nation.select(area, F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    names = nation.select(name.alias("raw_name"), F.when(F.col("n_nationkey") % 3 == 0, name).otherwise(F.concat(F.lit("S"), name)).alias("spss_name"))
+    return book, codes, names, nation.select(area, F.col("n_nationkey").alias("old"), (F.col("n_nationkey") + 1).alias("new"))
+
+
+def q24_variable_labels(spark, sf_dir):
+    return codebook.variable_labels(_nation_book(spark, sf_dir)[0])
+
+
+def q25_rename_syntax(spark, sf_dir):
+    return codebook.rename_syntax(_nation_book(spark, sf_dir)[2])
+
+
+def q26_recode_syntax(spark, sf_dir):
+    return codebook.recode_syntax(_nation_book(spark, sf_dir)[3])
+
+
+def q27_spss_program(spark, sf_dir):
+    return codebook.program(*_nation_book(spark, sf_dir))
+
+
+def q28_match_by_position(spark, sf_dir):
+    raw = spark.createDataFrame(list(enumerate(_table(spark, sf_dir, "customer").columns)), "pos int, raw_name string")
+    return codebook.match_names(raw, spark.createDataFrame(list(enumerate(CODEBOOK)), "pos int, spss_name string"), by_position=True)
+
+
+def q29_threshold_stop(spark, sf_dir):
+    _, rows = quota.allocate_best(_people(spark, sf_dir), _main(spark), _subs(spark), quota.Starts(count=8, threshold=32, wave=3))
+    return rows.select(F.col("start_id").cast("long").alias("start_id"), F.col("rank").cast("long").alias("rank"), "respondent_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         q01_clean_text, q02_collect_values, q03_natural_rank, q04_sheet_name, q05_quota_normalize, q06_quota_fill_down, q07_quota_main,
         q08_quota_bound, q09_quota_main_sub, q10_quota_multistart, q11_quota_shortfall, q12_straight_line, q13_keyword, q14_remove,
-        q15_rename, q16_match_names, q17_classify, q18_syntax,
+        q15_rename, q16_match_names, q17_classify, q18_syntax, q19_csv_utf8, q20_csv_cp949, q21_xlsx_dates, q22_docx, q23_workbook_round_trip,
+        q24_variable_labels, q25_rename_syntax, q26_recode_syntax, q27_spss_program, q28_match_by_position, q29_threshold_stop,
     )
 }
 
@@ -194,7 +289,44 @@ WITH RECURSIVE o AS (
 {tail}"""
 
 
+#: Rows (part, name, line) of the four kinds of syntax.
+_SYNTAX = """
+SELECT 0 AS part, 'Q' || n_nationkey AS name, 'VARIABLE LABELS Q' || n_nationkey || ' ''' || n_name || '''''s''.' AS line FROM nation UNION ALL
+SELECT 1, 'R' || n_regionkey, 'VALUE LABELS R' || n_regionkey || ' ' || string_agg(n_nationkey || ' ''' || n_name || '''', ' ' ORDER BY n_nationkey) || '.' FROM nation GROUP BY n_regionkey UNION ALL
+SELECT 2, 'Q' || n_nationkey, 'RENAME VARIABLES (Q' || n_nationkey || ' = SQ' || n_nationkey || ').' FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL
+SELECT 3, 'R' || n_regionkey, 'RECODE R' || n_regionkey || ' ' || string_agg('(' || n_nationkey || ' = ' || (n_nationkey + 1) || ')', ' ' ORDER BY n_nationkey) || '.' FROM nation GROUP BY n_regionkey UNION ALL
+SELECT 4, '', 'EXECUTE.'"""
+
+
+def _csv_sql(word: str) -> str:
+    return f"""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, '{word} "' || n_name || '", ' || n_regionkey AS memo FROM nation"""
+
+
 ORACLE: dict[str, str] = {
+    "q19_csv_utf8": _csv_sql("두 번째"),
+    "q20_csv_cp949": _csv_sql("똠방"),
+    "q21_xlsx_dates": "SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders",
+    "q22_docx": "SELECT 'SQ' || n_nationkey AS question, 'Have you been to ' || n_name || '?' AS text, 'single' AS kind FROM nation",
+    "q23_workbook_round_trip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "q24_variable_labels": f"SELECT name AS spss_name, line FROM ({_SYNTAX}) WHERE part = 0",
+    "q25_rename_syntax": f"SELECT name AS raw_name, line FROM ({_SYNTAX}) WHERE part = 2",
+    "q26_recode_syntax": f"SELECT name AS spss_name, line FROM ({_SYNTAX}) WHERE part = 3",
+    "q27_spss_program": f"SELECT row_number() OVER (ORDER BY part, name, line) AS ord, line FROM ({_SYNTAX})",
+    "q28_match_by_position": f"""
+WITH raw AS (SELECT column_name AS n, row_number() OVER () - 1 AS pos FROM (DESCRIBE customer)),
+book(pos, s) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(CODEBOOK))}),
+p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(n), '[^a-z0-9]', '', 'g'), '^s(q[0-9])', '\\1', 'g'), '([a-z]|^)0+([0-9])', '\\1\\2', 'g') AS plain
+  FROM (SELECT n, pos, 'raw' AS side FROM raw UNION ALL SELECT s, pos, 'book' FROM book)),
+f AS (SELECT r.n, r.pos, coalesce(e.n, l.n) AS s, CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN l.n IS NOT NULL THEN 'normalized' ELSE 'none' END AS how
+  FROM p r LEFT JOIN (SELECT n FROM p WHERE side = 'book') e ON e.n = r.n LEFT JOIN (SELECT plain, min(n) AS n FROM p WHERE side = 'book' GROUP BY plain) l ON l.plain = r.plain WHERE side = 'raw'),
+free AS (SELECT pos, s FROM book WHERE s NOT IN (SELECT s FROM f WHERE s IS NOT NULL))
+SELECT n AS raw_name, CASE WHEN how = 'none' THEN free.s ELSE f.s END AS spss_name, CASE WHEN how = 'none' AND free.s IS NOT NULL THEN 'position' ELSE how END AS how
+FROM f LEFT JOIN free ON free.pos = f.pos""",
+    "q29_threshold_stop": _greedy_sql(
+        8, 0.5, """, n AS (SELECT start_id, count(*) AS n FROM chosen GROUP BY start_id)
+SELECT CAST(start_id AS BIGINT) AS start_id, rank, respondent_id FROM chosen WHERE start_id =
+  coalesce((SELECT min(start_id) FROM n WHERE n >= 32), (SELECT start_id FROM n ORDER BY n DESC, start_id LIMIT 1))"""
+    ),
     "q01_clean_text": f"SELECT doc_id, trim('　\t' || coalesce(text, '') || chr(28) || ' ', '{SPACES}') AS cleaned FROM documents",
     "q02_collect_values": """SELECT o_orderkey,
   coalesce(CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS VARCHAR), '') || '|' ||

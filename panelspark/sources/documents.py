@@ -6,6 +6,7 @@ import io
 import math
 import re
 import zipfile
+from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -58,7 +59,7 @@ def questions(paragraph: DataFrame) -> DataFrame:
 def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
     """Writes a small table as a one-sheet workbook from the driver; its number of rows. Too many rows for a sheet are an error.
 
-    The sheet's name is made valid. NaN and infinity are empty cells, and
+    The sheet's name is made valid. Dates and timestamps are date cells. NaN and infinity are empty cells, and
     characters that the format's XML cannot hold are left out.
     """
     if df.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
@@ -67,6 +68,9 @@ def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
     def cell(value) -> str:
         if value is None or isinstance(value, float) and not math.isfinite(value):
             return "<c/>"
+        if isinstance(value, date):
+            days = (value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)) - datetime(1899, 12, 30)
+            return f'<c s="1"><v>{days / timedelta(days=1)}</v></c>'
         if isinstance(value, (int, float)) and not isinstance(value, bool):
             return f"<c><v>{value}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NO_XML.sub("", str(value)))}</t></is></c>'
@@ -75,11 +79,14 @@ def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
     space = "http://schemas.openxmlformats.org"
     n = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        kinds = "".join(f'<Override PartName="/xl/{p}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for p, k in (("workbook", "sheet.main"), ("worksheets/sheet1", "worksheet")))
+        kinds = "".join(f'<Override PartName="/xl/{p}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for p, k in (("workbook", "sheet.main"), ("worksheets/sheet1", "worksheet"), ("styles", "styles")))
         book.writestr("[Content_Types].xml", f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{kinds}</Types>')
         link = f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/{{}}" Target="{{}}"/></Relationships>'
         book.writestr("_rels/.rels", link.format("officeDocument", "xl/workbook.xml"))
-        book.writestr("xl/_rels/workbook.xml.rels", link.format("worksheet", "worksheets/sheet1.xml"))
+        links = link.format("worksheet", "worksheets/sheet1.xml").replace("</Relationships>", f'<Relationship Id="rId2" Type="{space}/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
+        book.writestr("xl/_rels/workbook.xml.rels", links)
+        parts = '<fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{space}/spreadsheetml/2006/main">{parts}<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>')
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="{escape(_NO_XML.sub("", name), {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         with book.open("xl/worksheets/sheet1.xml", "w") as out:
             out.write(f'<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>'.encode())
