@@ -51,8 +51,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of at most some 50 bytes that are broadcast, so 10 MB at most.
-BROADCAST_ROWS = 200_000
+#: Rows of at most some 50 bytes that are broadcast, so 1 MB at most: the driver builds and holds them.
+BROADCAST_ROWS = 20_000
 
 
 def keyed_join(rows: DataFrame, keyed: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
