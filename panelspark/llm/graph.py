@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, keyed_join
+from panelspark.llm.common import cut
 
 #: Pairs of nodes that a task takes, about.
 TASK_PAIRS = 100_000
+#: Up to so many pairs, their least neighbours of 16 bytes, no more than pairs, are broadcast.
+BROADCAST_PAIRS = 100_000
 
 
 def least_below(pairs: DataFrame) -> DataFrame:
@@ -21,24 +23,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     A pair is (larger node u, smaller node v). A large star moves v to the least
     neighbour of v, a small star links the smaller neighbours of u with the least
-    of them; about log(n) rounds leave stars, in which no v has a smaller
-    neighbour and each u has one pair. Least neighbours are summed before they
-    are shuffled and joined by keyed_join, so that a node with many edges is no
-    single task; only counts reach the driver. Null ends and loops are dropped;
+    of them; about log(n) rounds leave stars. Least neighbours are summed before
+    the shuffle. Beyond BROADCAST_PAIRS pairs all that have one smaller node v meet
+    in one task of a round's first join, 16 bytes a pair, streamed and not held.
+    Only two numbers a round reach the driver. Null ends and loops are dropped;
     no edges give no rows.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").filter("a IS NOT NULL AND b IS NOT NULL")
     pairs = cut(pairs.distinct())
-    while True:
-        n = pairs.count()
-        parts = 1 + n // TASK_PAIRS  # pairs never get more; few tasks write few shuffle files
+    now, before = _digest(pairs), None
+    while now != before:
+        parts = 1 + now[0] // TASK_PAIRS  # pairs never get more; few tasks write few shuffle files
+        sent = F.broadcast if now[0] <= BROADCAST_PAIRS else lambda df: df
         pairs = pairs.coalesce(parts)
-        least = cut(least_below(pairs).coalesce(parts))
-        large = keyed_join(pairs, least, F.col("v") == F.col("x"), "left")
-        if least.count() == n and not large.filter("x IS NOT NULL").take(1):
-            break
-        large = large.select("u", F.coalesce("m", "v").alias("v"))
-        least = cut(least_below(large).coalesce(parts))
-        small = keyed_join(large, least, F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = pairs.join(sent(least_below(pairs)), F.col("v") == F.col("x"), "left")
+        large = cut(large.select("u", F.coalesce("m", "v").alias("v")).coalesce(parts))
+        least = least_below(large)
+        small = large.join(sent(least), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct().coalesce(parts))
+        now, before = _digest(pairs), now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _digest(pairs: DataFrame) -> tuple:
+    hashed = F.xxhash64("u", "v")
+    return tuple(pairs.agg(F.count("u"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(hashed, 32))).first())

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from panelspark.llm import common, graph, minhash
+from panelspark.llm import graph, minhash
 
 
 def plain_sets(texts, size):
@@ -88,9 +88,9 @@ def test_keep_one_and_corner_rows(spark):
     assert minhash.near_components(spark.createDataFrame([], schema)).collect() == []
 
 
-@pytest.mark.parametrize("most", [0, 20_000])
+@pytest.mark.parametrize("most", [0, 100_000])
 def test_graph_components(spark, monkeypatch, most):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", most)  # 0: all joins by shuffle
+    monkeypatch.setattr(graph, "BROADCAST_PAIRS", most)  # 0: all joins by shuffle
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(300)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(150)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
