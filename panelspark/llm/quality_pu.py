@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import free_name, map_batches, prepare, written
@@ -178,11 +178,32 @@ def sums(train: DataFrame, edges: np.ndarray, weights: np.ndarray, bins: int = 0
     return {"head": head, "grad_u": grad_u, "grad_p": grad_p, "x_p": x_p, "hess": hess.reshape(d, d), "hess_p": hess_p.reshape(d, d)}
 
 
+def bin_edges(train: DataFrame, bins: int) -> np.ndarray:
+    """For each statistic the values at which bins begin, of about as many rows each.
+
+    All values count, cut down to eleven significant bits: there are few of
+    these, and their counts, unlike a sketch of quantiles, do not depend on the
+    order in which tasks end.
+    """
+    unit = F.pow(F.lit(2.0), F.floor(F.log2("value")) - 10)
+    cut = F.when(F.col("value") > 0, F.floor(F.col("value") / unit) * unit).otherwise(0.0)
+    counts = train.select(F.posexplode("features").alias("at", "value")).groupBy("at", cut.alias("value")).agg(F.count("*").alias("n"))
+    upto, whole = F.sum("n").over(Window.partitionBy("at").orderBy("value")), F.sum("n").over(Window.partitionBy("at"))
+    last = F.floor(upto * bins / whole)
+    ranked = counts.select("at", "value", (F.floor((upto - F.col("n")) * bins / whole) + 1).alias("low"), F.least(last, F.lit(bins - 1)).alias("high"))
+    edges = np.zeros((len(FEATURES), bins - 1))
+    for r in ranked.filter("low <= high").collect():
+        edges[r["at"], r["low"] - 1 : r["high"]] = r["value"]
+    return edges
+
+
 def newton(train: DataFrame, edges: np.ndarray, weights: np.ndarray, prior: float, s: PuSettings) -> tuple[np.ndarray, list]:
     """Newton steps on prior * E_p[loss(g)] + hold * (E_u[loss(-g)] - prior * E_p[loss(-g)]), convex for each hold of 0 to 1.
 
     hold is the multiplier of the second term in the saddle form of max(0, .):
     1 while that term stays positive, else such that the step brings it to zero.
+    Weights have six decimals after each step, so that the order in which Spark
+    adds sums does not show and reruns agree.
     """
     history, hold = [], 1.0
     for _ in range(s.passes):
@@ -198,7 +219,7 @@ def newton(train: DataFrame, edges: np.ndarray, weights: np.ndarray, prior: floa
         hold = float(np.clip((second - second_gradient @ to_first) / max(second_gradient @ to_second, 1e-12), 0.0, 1.0))
         step = to_first + hold * to_second
         longest = float(np.abs(step).max())
-        weights = weights - step * min(1.0, s.longest / max(longest, 1e-12))
+        weights = np.round(weights - step * min(1.0, s.longest / max(longest, 1e-12)), 6)
         if longest < s.least_step:
             break
     return weights, history
@@ -220,9 +241,7 @@ def fit(features: DataFrame, labels: DataFrame, settings: PuSettings = PuSetting
     trusted = labels.filter((F.col("quality") == 1) & (fold(F.col("doc_id")) != settings.held_out)).select(F.col("doc_id").alias("label_id")).distinct()
     marked = features.join(trusted, F.col("doc_id") == F.col("label_id"), "left").select("features", F.col("label_id").isNotNull().alias("positive"), fold(F.col("doc_id")).eqNullSafe(settings.prior_fold).alias("back"))
     train = written(marked, "pu-train")
-    points = [(i + 1) / settings.bins for i in range(settings.bins - 1)]
-    quantiles = train.select(*[F.percentile_approx(F.col("features")[i], points, 2000) for i in range(len(FEATURES))]).first()
-    edges = np.array([q if q is not None else [0.0] * len(points) for q in quantiles])
+    edges = bin_edges(train, settings.bins)
     weights = np.zeros(len(FEATURES) * settings.bins + 1)
     if not train.filter("positive AND NOT back").take(1) or not train.filter("positive AND back").take(1):
         weights[-1] = math.log(settings.first_prior / (1 - settings.first_prior))
@@ -266,7 +285,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSetti
     """The rows of docs, with all their columns whatever their names, that score at least the threshold.
 
     The rows are written once with their statistics, so that texts are read once
-    and no shuffle moves them. Null and empty texts, null ids, repeated rows and
+    and no shuffle moves them; as in any table read from Parquet, all columns
+    may then be null by the schema. Null and empty texts, null ids, repeated rows and
     empty tables as in classify.
     """
     prepare(docs.sparkSession)

@@ -9,10 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm import mixing, quality_pu, token_files
-from panelspark.llm.common import fresh_path
+from panelspark.llm.common import fresh_path, written
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -191,6 +192,20 @@ def test_fit_minimises_the_non_negative_risk(spark, prior):
     assert mine[0] <= best[0] + 1e-6
 
 
+def test_fits_agree_whatever_the_partitions(spark):
+    """Bins against a plain count of all values cut to eleven bits; weights of rows in other partitions and orders."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = written(quality_pu.features_of(docs, "doc_id", "text"), "features")
+    edges = quality_pu.bin_edges(rows, 10)
+    values = np.array(rows.toPandas().features.tolist())
+    unit = 2.0 ** (np.floor(np.log2(np.where(values > 0, values, 1))) - 10)
+    plain = np.sort(np.where(values > 0, np.floor(values / unit) * unit, 0), axis=0)
+    assert (edges.T == plain[[-(-len(plain) * i // 10) - 1 for i in range(1, 10)]]).all()
+    found = [quality_pu.fit(rows.repartition(n).sortWithinPartitions(F.rand(n)), labels) for n in (3, 8)]
+    assert (found[0].edges == found[1].edges).all() and (found[0].weights == found[1].weights).all() and found[0].prior == found[1].prior
+    assert (quality_pu.bin_edges(rows.limit(0), 10) == 0).all()
+
+
 def test_classifier_never_reads_held_out_or_negative_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     hidden = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - quality else quality end as quality")
@@ -206,5 +221,5 @@ def test_classifier_corner_rows(spark):
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert quality_pu.keep_good(docs, labels).columns == docs.columns
     odd = docs.selectExpr("*", "1 as features", "map('a', 1) as m", "2 as `a.b`")
-    assert quality_pu.keep_good(odd, labels).schema == odd.schema and quality_pu.keep_good(odd, labels).count() == quality_pu.keep_good(docs, labels).count()
+    assert quality_pu.keep_good(odd, labels).dtypes == odd.dtypes and quality_pu.keep_good(odd, labels).count() == quality_pu.keep_good(docs, labels).count()
     assert quality_pu.classify(docs.limit(0), labels).collect() == []
