@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.llm import embeddings_join, html_text, minhash, mixing, quality_pu, secrets, templates, token_counts, token_files, url_rules
+from panelspark.llm import (
+    embeddings_join, html_text, minhash, mixing, quality_pu, secrets, shard_tree, tandem_runs, templates, token_counts, token_files, url_rules, vector_codes,
+)
 from panelspark.llm.common import fresh_path
 
 
@@ -60,6 +63,39 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards, and a ninth in a region of its own."""
+    return shard_tree.with_slots(shard_tree.assign(_table(spark, sf_dir, "documents"), shard_tree.tree_of(8), shard_tree.tree_of(9)))
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where h = crc32 of the id's digits ends in 0, words from a = g % n on repeat those from a to a + p, with g = h // 10; other texts, and those of null ids, as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False)) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select("doc_id", "text", F.when(chosen, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("a", (F.col("g") % F.size("w")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return rows.select("doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(F.array_join(tail, " ")).alias("text"))
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tandem_runs.find_runs(periodic_tails(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return rows.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("-(1000 * longest.length div longest.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_errors(coded)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -219,6 +255,70 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
+
+def _nodes(leaves: tuple[shard_tree.Leaf, ...]) -> str:
+    return ", ".join(f"({i}, '{parent}', '{path}', {w}::DOUBLE)" for i, level in enumerate(shard_tree.levels(leaves)) for parent, children in level.items() for path, w in children.items())
+
+
+def _descent(name: str, leaves: tuple[shard_tree.Leaf, ...]) -> str:
+    """CTEs that end in `name` (key, path): each level takes the child with the least score."""
+    score = "-ln((CAST('0x' || md5(key || '@' || n.path)[1:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496) / weight"
+    steps = [f"{name}_n(level, parent, path, weight) AS (VALUES {_nodes(leaves)})", f"{name}_0 AS (SELECT DISTINCT key, '' AS path FROM d)"]
+    for i in range(3):
+        steps.append(f"{name}_{i + 1} AS (SELECT key, arg_min(n.path, {score}) AS path FROM {name}_{i} AS k JOIN {name}_n AS n ON n.level = {i} AND n.parent = k.path GROUP BY key)")
+    return ",\n".join([*steps, f"{name} AS (SELECT key, CAST(string_split(path, '/')[3] AS INT) AS shard FROM {name}_3)"])
+
+
+OP11_SQL = f"""
+WITH RECURSIVE k AS (
+  SELECT b, CAST(b AS BIGINT) AS c, 0 AS i FROM range(256) AS t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM k WHERE i < 8
+), crc AS (
+  SELECT list(c ORDER BY b) AS t FROM k WHERE i = 8
+), d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), b AS (
+  SELECT doc_id, key, n + 1 AS size, list_transform(range(n), lambda i: (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1) AS l FROM d
+), s AS (
+  SELECT doc_id, key, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), l), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM b, crc
+), {_descent('now', shard_tree.tree_of(8))}, {_descent('grown', shard_tree.tree_of(9))}, o AS (
+  SELECT s.*, now.shard, grown.shard AS grown_shard, (row_number() OVER (PARTITION BY s.doc_id, size, text_crc32) - 1) // {shard_tree.ALIKE_ROWS} AS lot FROM s JOIN now USING (key) JOIN grown USING (key)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':' || text_crc32 || ':' || size || ':' || lot), doc_id NULLS FIRST, text_crc32, size, lot) - 1 AS slot
+FROM o
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    near = "SELECT vec_id, p, min({'d': list_sum(list_transform(list_zip(parts.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'e': e}) AS best FROM parts JOIN %s AS b USING (p) GROUP BY vec_id, p"
+    steps = []
+    for r in range(1, rounds + 1):
+        steps += [
+            f"a{r} AS MATERIALIZED ({near % f'b{r - 1}'})",
+            f"m{r} AS (SELECT p, best.e AS e, k, sum(x[k])::BIGINT AS s, count(*) AS n FROM parts JOIN a{r} USING (vec_id, p), (SELECT unnest(range(1, len(x) + 1)) AS k FROM b0 WHERE p = 0 AND e = 0) GROUP BY p, best.e, k)",
+            f"n{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS x FROM m{r} GROUP BY p, e)",
+            f"b{r} AS MATERIALIZED (SELECT p, e, coalesce(n.x, b.x) AS x FROM b{r - 1} AS b LEFT JOIN n{r} AS n USING (p, e))",
+        ]
+    return ",\n".join([*steps, f"final AS MATERIALIZED ({near % f'b{rounds}'})"])
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(4096 * x) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 16
+), {_lloyd(6)}, c AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM final GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN kept USING (vec_id), h
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
@@ -230,6 +330,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_shard_tree": op11_shard_tree,
+    "op12_tandem_runs": op12_tandem_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE: dict[str, str] = {
     "op4_source_mix": OP4_SQL,
@@ -237,4 +340,6 @@ ORACLE: dict[str, str] = {
     "op8_minhash_near_dedup": OP8_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op11_shard_tree": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
