@@ -9,18 +9,18 @@ import csv
 import io
 import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.cells import collect_values
 from panelspark.functions.text import SPACES, clean_text, natural_key, sheet_name
 from panelspark.operators import codebook, quality, quota
-from panelspark.shared import fresh_path
-from panelspark.sources.documents import questions, read_questionnaires, write_workbook
+from panelspark.plans import surveys
+from panelspark.shared import fresh_path, put_file
+from panelspark.sources.documents import write_workbook
 from panelspark.sources.tables import load_table
-from pyspark.sql import Window
+from panelspark.sources.word import questions, read_questionnaires
 
 #: Main targets by market segment, and sub-targets by nation and by thousands of balance, tight enough that starts differ.
 MAIN = {"BUILDING": 11.5, "AUTOMOBILE": 9.0, "MACHINERY": 7.0, "HOUSEHOLD": 0.0, "FURNITURE": 6.0}
@@ -157,11 +157,8 @@ def q18_syntax(spark, sf_dir):
 
 
 def _file(spark: SparkSession, name: str, content: bytes = b"") -> str:
-    """A new file that the driver writes for a reader to read."""
-    folder = Path(fresh_path(spark, "files").removeprefix("file://").removeprefix("file:"))
-    folder.mkdir(parents=True)
-    (folder / name).write_bytes(content)
-    return str(folder / name)
+    """A new file in the shared folder for a reader to read."""
+    return put_file(spark, f"{fresh_path(spark, 'files')}/{name}", content)
 
 
 def _csv(spark, sf_dir, word: str, charset: str) -> DataFrame:
@@ -251,7 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q15_rename, q16_match_names, q17_classify, q18_syntax, q19_csv_utf8, q20_csv_cp949, q21_xlsx_dates, q22_docx, q23_workbook_round_trip,
         q24_variable_labels, q25_rename_syntax, q26_recode_syntax, q27_spss_program, q28_match_by_position, q29_threshold_stop,
     )
-}
+} | surveys.QUERIES
 
 _MAIN_SQL = ", ".join(f"('{k}', CAST({t} AS DOUBLE))" for k, t in MAIN.items())
 _SHEET_SQL = """SELECT CASE WHEN n_nationkey % 4 = 0 THEN r_name END AS qt1, n_name AS qt2, r_name AS qt3,
@@ -302,7 +299,7 @@ def _csv_sql(word: str) -> str:
     return f"""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, '{word} "' || n_name || '", ' || n_regionkey AS memo FROM nation"""
 
 
-ORACLE: dict[str, str] = {
+ORACLE: dict[str, str] = surveys.ORACLE | {
     "q19_csv_utf8": _csv_sql("두 번째"),
     "q20_csv_cp949": _csv_sql("똠방"),
     "q21_xlsx_dates": "SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders",

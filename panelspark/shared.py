@@ -26,6 +26,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def put_file(spark: SparkSession, path: str, content: bytes) -> str:
+    """Writes one small file from the driver through Hadoop's file systems, so that executors find it in any shared folder; its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -1,61 +1,26 @@
-"""Questionnaires in Word files as rows, and small codebooks as workbooks."""
+"""Codebooks as workbooks."""
 
 from __future__ import annotations
 
-import io
 import math
 import re
+import tempfile
 import zipfile
 from datetime import date, datetime, timedelta
-from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.text import sheet_name
+from panelspark.shared import put_file
 
 #: What XML 1.0 cannot hold.
 _NO_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
-_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: A codebook goes through the driver, so its rows are bounded by what a sheet can hold.
 SHEET_ROWS = 1_048_575
 
 
-def paragraphs(content: bytes) -> list[tuple[int, bool, str]]:
-    """(place, in a table, text) of each paragraph that has text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        body = ElementTree.fromstring(book.read("word/document.xml"))
-    inside = {p for t in body.iter(f"{_WORD}tbl") for p in t.iter(f"{_WORD}p")}
-    found = []
-    for p in body.iter(f"{_WORD}p"):
-        text = "".join(x.text or "" if x.tag == f"{_WORD}t" else "\t" if x.tag == f"{_WORD}tab" else "\n" for x in p.iter() if x.tag in (f"{_WORD}t", f"{_WORD}tab", f"{_WORD}br"))
-        if text.strip():
-            found.append((len(found), p in inside, text.strip()))
-    return found
-
-
-def read_questionnaires(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, pos, in_table, text) of the paragraphs of one or many .docx files, a file being one task's work."""
-
-    def rows(batches):
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(name, *p) for p in paragraphs(content)], columns=["path", "pos", "in_table", "text"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    return files.select("path", "content").mapInPandas(rows, "path string, pos long, in_table boolean, text string")
-
-
-def questions(paragraph: DataFrame) -> DataFrame:
-    """Rows (path, pos, question, text): paragraphs that open with a number such as `Q1.`, `SQ2)` or `문3.`."""
-    pattern = r"^\s*((?:[A-Za-z]{1,3}|문)\d+(?:[-_]\d+)*)\s*[.)]\s*(.+)$"
-    return paragraph.filter(F.col("text").rlike(pattern)).select(
-        "path", "pos", F.regexp_extract("text", pattern, 1).alias("question"), F.regexp_extract("text", pattern, 2).alias("text")
-    )
-
-
 def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
     """Writes a small table as a one-sheet workbook from the driver; its number of rows. Too many rows for a sheet are an error.
 
@@ -78,7 +43,8 @@ def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
     name = df.sparkSession.range(1).select(sheet_name(F.lit(sheet))).first()[0] or "Sheet1"
     space = "http://schemas.openxmlformats.org"
     n = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+    held = tempfile.SpooledTemporaryFile(1 << 24)
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as book:
         kinds = "".join(f'<Override PartName="/xl/{p}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for p, k in (("workbook", "sheet.main"), ("worksheets/sheet1", "worksheet"), ("styles", "styles")))
         book.writestr("[Content_Types].xml", f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{kinds}</Types>')
         link = f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/{{}}" Target="{{}}"/></Relationships>'
@@ -95,4 +61,6 @@ def write_workbook(df: DataFrame, path: str, sheet: str) -> int:
                 n += 1
                 out.write(f"<row>{''.join(map(cell, row))}</row>".encode())
             out.write(b"</sheetData></worksheet>")
+    held.seek(0)
+    put_file(df.sparkSession, path, held.read())
     return n

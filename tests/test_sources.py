@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 
 from panelspark.operators import codebook, quality
-from panelspark.sources import documents, tables
+from panelspark.sources import documents, tables, word
 from panelspark.streaming import responses
 
 
@@ -90,9 +90,9 @@ def test_questionnaires(spark, tmp_path):
     body = line.format("SQ1. How old are you?") + "<w:p/>" + f"<w:tbl><w:tr><w:tc>{line.format('① yes')}</w:tc></w:tr></w:tbl>" + line.format("문2) 모두 고르세요")
     with zipfile.ZipFile(tmp_path / "q.docx", "w") as book:
         book.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
-    read = documents.read_questionnaires(spark, str(tmp_path))
+    read = word.read_questionnaires(spark, str(tmp_path))
     assert [(r.pos, r.in_table, r.text) for r in read.orderBy("pos").collect()] == [(0, False, "SQ1. How old are you?"), (1, True, "① yes"), (2, False, "문2) 모두 고르세요")]
-    asked = documents.questions(read)
+    asked = word.questions(read)
     kinds = asked.select("question", codebook.question_kind(asked["text"]).alias("kind")).collect()
     assert {tuple(r) for r in kinds} == {("SQ1", "single"), ("문2", "multi")}
 
