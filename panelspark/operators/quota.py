@@ -56,7 +56,7 @@ def room(target: Column) -> Column:
     return F.when(F.isnan(target) | target.isNull(), F.lit(0)).otherwise(F.greatest(F.ceil(target), F.lit(0))).cast("long")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast if it is within the bound, which is counted."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -75,7 +75,7 @@ def allocate_main(people: DataFrame, quota: DataFrame, key: str, score: str, ide
     rooms = one_target(quota, "m_key").select(F.col("m_key").alias("_key"), room(F.col("target")).alias("_room")).filter("_room > 0")
     most = rooms.agg(F.max("_room")).first()[0] or 0
     asked = people.select(F.col(key).alias("m_key"), F.col(score).alias("_score"), F.col(ident).alias("respondent_id"))
-    matched = asked.join(_small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
+    matched = asked.join(small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
     order = Window.partitionBy("m_key").orderBy(F.col("_score").desc_nulls_last(), "respondent_id")
     ranked = matched.withColumn("rank", F.row_number().over(order))
     # The literal bound lets Spark cut each key's rows before the shuffle.
@@ -144,12 +144,12 @@ def cells_of(people: DataFrame, main: DataFrame, subs: DataFrame, ident: str, ke
     """
     rooms = one_target(main, "m_key").filter((F.col("target") > 0) & ~F.isnan("target")).select(F.col("m_key").alias("_key"), "target")
     asked = people.select(F.col(ident).alias("respondent_id"), F.col(key).alias("m_key"), F.col(sub_keys).alias("_subs"))
-    asked = asked.join(_small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
+    asked = asked.join(small(rooms), F.col("m_key").eqNullSafe(F.col("_key")))
     own = asked.select("respondent_id", F.concat(F.lit("m:"), F.coalesce(F.col("m_key").cast("string"), F.lit("\0"))).alias("cell"), F.lit(1).alias("weight"), "target")
     known = one_target(subs, "sub_id", "key").filter(~F.isnan("target"))
     times = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("_sub_key"), F.size(F.filter(keys, lambda x: x.eqNullSafe(k))).alias("weight")))
     flat = asked.select("respondent_id", F.posexplode("_subs").alias("_sub", "_keys")).select("respondent_id", "_sub", F.inline(times(F.col("_keys"))))
-    met = flat.join(_small(known), (F.col("_sub") == F.col("sub_id")) & F.col("_sub_key").eqNullSafe(F.col("key")))
+    met = flat.join(small(known), (F.col("_sub") == F.col("sub_id")) & F.col("_sub_key").eqNullSafe(F.col("key")))
     sub = met.select("respondent_id", F.concat_ws(":", F.lit("s"), F.col("sub_id").cast("string"), F.coalesce("key", F.lit("\0"))).alias("cell"), "weight", "target")
     return own.unionByName(sub)
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import codebook, questionnaire
+from panelspark.operators import codebook, questionnaire, quota, quota_keys
 from panelspark.sources.word import paragraph_rows
 
 _WORD_SPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -91,7 +91,36 @@ def q32_word_numbers(spark, sf_dir):
     return paragraph_rows(_surveys(spark, sf_dir)).select("path", "pos", "label", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q30_questionnaire_codebook, q31_questionnaire_syntax, q32_word_numbers)}
+def _quota_sheets(spark, sf_dir):
+    """Respondents, a main sheet by segment and area with totals by segment, and two sub sheets: by balance with a grand total, and by nation."""
+    band = F.floor((F.col("c_acctbal") + 1000) / 2000).cast("string")
+    people = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("respondent_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") % 5).alias("area"), band.alias("band"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("score")
+    )
+    nothing = F.lit(None).cast("string")
+    share = lambda parts: F.ceil(F.count(F.lit(1)) / parts).cast("double").alias("target")
+    cells = lambda df, *q: df.select(*[c.cast("string").alias(n) for n, c in zip(("qt1", "qt2", "qt3"), q, strict=True)], "target")
+    each = people.filter("area < 4").groupBy("segment", "area").agg(share(3))
+    main = cells(each, F.col("segment"), F.col("area").cast("double"), nothing).unionByName(cells(people.groupBy("segment").agg(share(10)), F.col("segment"), F.lit("전체"), nothing))
+    bands = cells(people.groupBy("band").agg(share(4)), F.concat(F.lit(" "), "band"), nothing, nothing).unionByName(cells(people.agg(share(5)), F.lit("합계"), nothing, nothing))
+    nations = cells(people.groupBy("nation").agg(share(6)), F.col("nation"), nothing, nothing)
+    sheets = [quota_keys.Sheet(c, d) for c, d in ((main, ("segment", "area")), (bands, ("band",)), (nations, ("nation",)))]
+    return people, sheets[0], sheets[1:]
+
+
+def q33_quota_keys(spark, sf_dir):
+    rows = quota_keys.with_keys(*_quota_sheets(spark, sf_dir))
+    return rows.select("respondent_id", "m_key", F.array_join(F.transform("sub_keys", lambda k: F.array_join(k, "+")), "/").alias("sub_keys"))
+
+
+def q34_quota_from_sheets(spark, sf_dir):
+    people, main, subs = _quota_sheets(spark, sf_dir)
+    keyed = quota_keys.with_keys(people, main, subs)
+    rows = quota.allocate(keyed, quota_keys.main_targets(main), quota_keys.sub_targets(subs), quota.Starts(deviation=0.0))
+    return rows.select(F.col("rank").cast("long").alias("rank"), "respondent_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q30_questionnaire_codebook, q31_questionnaire_syntax, q32_word_numbers, q33_quota_keys, q34_quota_from_sheets)}
 
 #: Rows (path, question, spss_name, var_label, q_type, codes) of the codebooks of the nations' Word files.
 _BOOK = """
@@ -108,7 +137,32 @@ WITH c AS (
   FROM (SELECT *, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM v)
 )"""
 
+#: Rows (id, m, b, n, score): respondents with the keys of their main cell, balance and nation; and rows (cell, target) of all cells.
+_KEYED = """
+WITH RECURSIVE p AS (
+  SELECT c_custkey AS id, c_mktsegment AS s, c_nationkey % 5 AS a, to_json([CAST(CAST(floor((c_acctbal + 1000) / 2000) AS BIGINT) AS VARCHAR)])::VARCHAR AS b,
+    to_json([CAST(c_nationkey AS VARCHAR)])::VARCHAR AS n, c_acctbal AS score FROM customer
+), k AS (
+  SELECT id, to_json(CASE WHEN a < 4 THEN [s, CAST(a AS VARCHAR)] ELSE [s, NULL] END)::VARCHAR AS m, b, n, score FROM p
+), cells AS (
+  SELECT 'm' || to_json([s, CAST(a AS VARCHAR)])::VARCHAR AS cell, ceil(count(*) / 3)::BIGINT AS target FROM p WHERE a < 4 GROUP BY s, a
+  UNION ALL SELECT 'm' || to_json([s, NULL])::VARCHAR, ceil(count(*) / 10)::BIGINT FROM p GROUP BY s
+  UNION ALL SELECT 'b' || b, ceil(count(*) / 4)::BIGINT FROM p GROUP BY b
+  UNION ALL SELECT 'b[null]', ceil(count(*) / 5)::BIGINT FROM p
+  UNION ALL SELECT 'n' || n, ceil(count(*) / 6)::BIGINT FROM p GROUP BY n
+)"""
+
 ORACLE: dict[str, str] = {
+    "q33_quota_keys": f"{_KEYED} SELECT id AS respondent_id, m AS m_key, b || '+[null]/' || n AS sub_keys FROM k",
+    "q34_quota_from_sheets": f"""{_KEYED}, o AS (
+  SELECT id, ['m' || m, 'b' || b, 'b[null]', 'n' || n] AS c, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS i FROM k
+), r AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, FALSE AS ok, map_from_entries(list((cell, target))) AS room FROM cells
+  UNION ALL
+  SELECT o.i, o.id, a.ok, CASE WHEN a.ok THEN map_concat(room, map_from_entries(list_transform(o.c, lambda x: (x, room[x] - 1)))) ELSE room END
+  FROM r JOIN o ON o.i = r.i + 1, LATERAL (SELECT len(list_filter(o.c, lambda x: room[x] <= 0)) = 0 AS ok) a
+)
+SELECT row_number() OVER (ORDER BY i) AS rank, id AS respondent_id FROM r WHERE ok""",
     "q30_questionnaire_codebook": f"{_BOOK} SELECT * FROM book",
     "q31_questionnaire_syntax": rf"""{_BOOK}
 SELECT path || '_' || spss_name AS spss_name, 'VALUE LABELS ' || path || '_' || spss_name || ' ' || replace(regexp_replace(codes, '([0-9]+)=([^|]*)', '\1 ''\2''', 'g'), '|', ' ') || '.' AS line FROM book WHERE codes <> ''
