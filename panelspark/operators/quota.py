@@ -4,12 +4,13 @@ The greedy rule: respondents come in descending order of score; one is accepted
 if the main quota of its key has room and no known sub-quota key of it is used
 up; then each of them loses one for every time the respondent has the key. With
 a main quota alone this is a rank within each key (`allocate_main`). With
-sub-quotas `allocate` settles it in rounds, many respondents at once: whoever
-finds room everywhere, even if all undecided ones ahead are accepted, is in;
-whoever finds a quota used up by accepted ones ahead is out. The first undecided
-respondent always settles, and the result is that of the rule itself. Starts of
-which few rows are left, a number that is checked, are settled by the rule as it
-stands, each in one task.
+sub-quotas `allocate` settles it in rounds, whatever the number of respondents:
+whoever finds room everywhere, even if all undecided ones ahead are accepted, is
+in; whoever finds a quota used up by accepted ones ahead is out; and the first
+few thousand undecided ones of a start, where cells are about to fill, go by the
+rule as it stands, with what was taken ahead of them. The result is that of the
+rule itself, and the rounds are few: about as many as there are digits in the
+number of undecided respondents.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ class Starts:
 
     threshold: accepted respondents that are enough. wave: starts that run at
     once before it is looked at. band_rows: of a part of the order that is one
-    task. tail_rows: rows of a start that one task takes in order.
+    task. front_rows: undecided rows, a row being a respondent's meeting with a
+    quota, that go by the rule itself in each round of a start.
     """
 
     count: int = 1
@@ -124,7 +126,7 @@ class Starts:
     deviation: float = 0.5
     threshold: float = float("inf")
     band_rows: int = 200_000
-    tail_rows: int = 200_000
+    front_rows: int = 20_000
 
 
 def start_orders(people: DataFrame, starts: Starts, score: str, ident: str) -> DataFrame:
@@ -154,25 +156,39 @@ def cells_of(people: DataFrame, main: DataFrame, subs: DataFrame, ident: str, ke
     return own.unionByName(sub)
 
 
-def _settled(rows: DataFrame, banded: bool) -> DataFrame:
-    """rows (a row per start, respondent and cell) after one application of both rules, without those who are out.
+def _ahead(rows: DataFrame, banded: bool) -> DataFrame:
+    """rows (a row per start, respondent and cell) with the weights accepted (`taken`) and undecided (`open`) ahead in the cell.
 
-    Weights ahead are summed within bands of the order and, where there are several, over bands first, so that a cell
+    Weights are summed within bands of the order and, where there are several, over bands first, so that a cell
     with many respondents is no single task.
     """
     taken, open_ = F.when(F.col("state") == 1, F.col("weight")).otherwise(0), F.when(F.col("state") == 0, F.col("weight")).otherwise(0)
     inside = Window.partitionBy("start_id", "cell", "band").orderBy(F.desc("noisy"), "respondent_id").rowsBetween(Window.unboundedPreceding, -1)
     met = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in (("taken", taken), ("open", open_))])
-    if banded:
-        sums = rows.groupBy("start_id", "cell", "band").agg(F.sum(taken).alias("t"), F.sum(open_).alias("o"))
-        before = Window.partitionBy("start_id", "cell").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("start_id", "cell", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_bands") for c in ("t", "o")])
-        met = met.join(sums, ["start_id", "cell", "band"]).withColumn("taken", F.col("taken") + F.col("t_bands")).withColumn("open", F.col("open") + F.col("o_bands"))
+    if not banded:
+        return met
+    sums = rows.groupBy("start_id", "cell", "band").agg(F.sum(taken).alias("t"), F.sum(open_).alias("o"))
+    before = Window.partitionBy("start_id", "cell").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("start_id", "cell", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_bands") for c in ("t", "o")])
+    met = met.join(sums, ["start_id", "cell", "band"])
+    return met.select(*rows.columns, (F.col("taken") + F.col("t_bands")).alias("taken"), (F.col("open") + F.col("o_bands")).alias("open"))
+
+
+def _round(rows: DataFrame, banded: bool, front_rows: int) -> DataFrame:
+    """rows after one application of all three rules, without those who are out."""
+    met = _ahead(rows, banded)
     own = Window.partitionBy("start_id", "respondent_id")
     fits, full = F.col("taken") + F.col("open") < F.col("target"), F.col("taken") >= F.col("target")
     judged = met.select(*rows.columns, F.min(fits).over(own).alias("fits"), F.max(full).over(own).alias("full"))
-    judged = judged.filter("state = 1 OR NOT full").withColumn("state", F.when(F.col("fits"), 1).otherwise(F.col("state")))
-    return judged.select(*rows.columns)
+    rank = F.rank().over(Window.partitionBy("start_id").orderBy(F.desc("noisy"), "respondent_id"))
+    front = met.filter("state = 0").withColumn("rank", rank).filter(F.col("rank") <= front_rows)
+    kind = rows.schema["respondent_id"].dataType.simpleString()
+    front = front.select("start_id", "respondent_id", "noisy", "cell", "weight", "target", "taken").groupBy("start_id")
+    settled = front.applyInPandas(_in_order, f"start_id int, respondent_id {kind}, inside boolean")
+    judged = judged.join(settled, ["start_id", "respondent_id"], "left")
+    out = F.coalesce(~F.col("inside"), F.col("full"))
+    state = F.when(F.coalesce("inside", "fits"), 1).otherwise(F.col("state"))
+    return judged.filter((F.col("state") == 1) | ~out).withColumn("state", state).select(*rows.columns)
 
 
 def _band_edges(orders: DataFrame, starts: Starts) -> list[float]:
@@ -192,25 +208,20 @@ def _band(edges: list[float]) -> Column:
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rule as it stands over the rows of one start: accepted respondents with their scores."""
+    """The rule as it stands over the front of one start: who is inside. taken: accepted ahead in the cell before this round."""
     rows = rows.sort_values(["noisy", "respondent_id"], ascending=[False, True], na_position="first", kind="stable")
-    left: dict[str, float] = {}
-    accepted, scores = [], []
-    columns = zip(*(rows[c].tolist() for c in ("respondent_id", "noisy", "cell", "weight", "target")), strict=True)
+    added: dict[str, int] = {}
+    idents, inside = [], []
+    columns = zip(*(rows[c].tolist() for c in ("respondent_id", "cell", "weight", "target", "taken")), strict=True)
     for ident, met in itertools.groupby(columns, key=lambda r: r[0]):
         met = list(met)
-        if all(left.setdefault(cell, target) > 0 for *_, cell, _, target in met):
-            for *_, cell, weight, _ in met:
-                left[cell] -= weight
-            accepted.append(ident)
-            scores.append(met[0][1])
-    return pd.DataFrame({"start_id": rows["start_id"].iloc[0], "respondent_id": accepted, "noisy": scores, "band": 0})
-
-
-def _tail(rows: DataFrame) -> DataFrame:
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    settled = rows.groupBy("start_id").applyInPandas(_in_order, f"start_id int, respondent_id {fields['respondent_id']}, noisy double, band int")
-    return settled.withColumn("noisy", F.coalesce("noisy", F.lit(float("nan"))))
+        fits = all(taken + added.get(cell, 0) < target for _, cell, _, target, taken in met)
+        if fits:
+            for _, cell, weight, _, _ in met:
+                added[cell] = added.get(cell, 0) + weight
+        idents.append(ident)
+        inside.append(fits)
+    return pd.DataFrame({"start_id": rows["start_id"].iloc[0], "respondent_id": idents, "inside": inside})
 
 
 def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts = Starts(), ident: str = "respondent_id", key: str = "m_key", score: str = "score", sub_keys: str = "sub_keys") -> DataFrame:
@@ -219,31 +230,19 @@ def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts
     people: an id, a key, a score, and for each sub-quota the list of the
     respondent's keys (null: no constraint). main: (m_key, target). subs:
     (sub_id, key, target). Ties in the order go to the lower id; NaN or null
-    scores come first. Ids must differ. Respondents go by rounds while their
-    start has more than tail_rows rows.
+    scores come first. Ids must differ. A round is one checkpoint of the rows of
+    accepted and undecided respondents and one number that reaches the driver.
     """
     orders = start_orders(people, starts, score, ident)
-    cells = cells_of(people, main, subs, ident, key, sub_keys)
-    per_start = cut(cells)
-    if per_start.count() <= starts.tail_rows:
-        return _ranked(_tail(orders.join(per_start, "respondent_id")), False)
-    orders = orders.join(per_start.select("respondent_id").distinct(), "respondent_id", "left_semi")
-    edges = _band_edges(orders, starts)
-    rows = cut(orders.withColumn("band", _band(edges)).join(per_start, "respondent_id").withColumn("state", F.lit(0)))  # 0: undecided, 1: accepted
-    done: list[DataFrame] = []
-    while rows.filter("state = 0").take(1):
-        for _ in range(3):
-            rows = _settled(rows, bool(edges))
-        rows = cut(rows)
-        few = rows.groupBy("start_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= starts.tail_rows).select("start_id")
-        few = cut(few)  # a row per start
-        if few.take(1):
-            done.append(cut(_tail(rows.join(few, "start_id", "left_semi"))))
-            rows = cut(rows.join(few, "start_id", "left_anti"))
-    accepted = rows.select("start_id", "respondent_id", "noisy", "band").distinct()
-    for part in done:
-        accepted = accepted.unionByName(part.withColumn("band", _band(edges)))
-    return _ranked(accepted, bool(edges))
+    cells = cut(cells_of(people, main, subs, ident, key, sub_keys))
+    met = cells.count()
+    edges = _band_edges(orders.join(cells.select("respondent_id").distinct(), "respondent_id", "left_semi"), starts) if met > starts.band_rows else []
+    rows = orders.withColumn("band", _band(edges)).join(cells, "respondent_id").withColumn("state", F.lit(0))  # 0: undecided, 1: accepted
+    while True:
+        # The second application drops whom the first one's accepted leave no room.
+        rows = cut(_round(_round(rows, bool(edges), starts.front_rows), bool(edges), starts.front_rows))
+        if not rows.filter("state = 0").take(1):
+            return _ranked(rows.select("start_id", "respondent_id", "noisy", "band").distinct(), bool(edges))
 
 
 def _ranked(accepted: DataFrame, banded: bool) -> DataFrame:

@@ -66,15 +66,16 @@ def test_rounds_equal_the_rule(spark, data):
     subs = {(j, k): data.draw(TARGET) for j in range(3) for k in "pqr"}
     people = [(i, rng.choice([float(rng.randrange(9)), rng.random(), NAN]), rng.choice("abcx"), [[rng.choice("pqrz") for _ in range(rng.randrange(4))] for _ in range(3)]) for i in range(rng.randrange(0, 120))]
     want = greedy(people, main, subs)
-    assert run(spark, people, main, subs) == want  # in order
-    assert run(spark, people, main, subs, tail_rows=40) == want  # rounds, then in order
+    assert run(spark, people, main, subs) == want
+    assert run(spark, people, main, subs, front_rows=40) == want
+    assert run(spark, people, main, subs, front_rows=0) == want
 
 
 def test_bands_do_not_change_the_result(spark):
     rng = random.Random(3)
     people = [(i, rng.random(), rng.choice("ab"), [[rng.choice("pqr")]]) for i in range(300)]
     main, subs = {"a": 40.0, "b": 30.0}, {(0, "p"): 20.0, (0, "q"): 15.0}
-    assert run(spark, people, main, subs, band_rows=25, tail_rows=0) == greedy(people, main, subs)
+    assert run(spark, people, main, subs, band_rows=25, front_rows=30) == greedy(people, main, subs)
 
 
 def frames(spark):
@@ -114,7 +115,7 @@ def test_main_alone_is_a_rank(spark):
     people, main, _ = frames(spark)
     none = spark.createDataFrame([], "sub_id int, key string, target double")
     ranked = quota.allocate_main(people, main, "m_key", "score", "respondent_id")
-    rounds = quota.allocate(people, main, none, quota.Starts(deviation=0.0, tail_rows=0))
+    rounds = quota.allocate(people, main, none, quota.Starts(deviation=0.0, front_rows=0))
     assert {r.respondent_id for r in ranked.collect()} == {r.respondent_id for r in rounds.collect()}
     plan = ranked._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Broadcast" in plan
@@ -128,3 +129,16 @@ def test_sheets(spark):
     assert quota.normalize_quota(sheet.select("a", "b", "c")).columns == []
     with pytest.raises(ValueError):
         quota.normalize_quota(sheet.select("a"), strict=True)
+
+
+def test_rounds_are_few(spark, monkeypatch):
+    """Four quotas a respondent, targets of a third of them: rounds grow with the number of digits, not with the cells."""
+    rng = random.Random(11)
+    people = [(i, rng.random(), rng.choice("abcdef"), [[str(rng.randrange(12))], [str(rng.randrange(20))], [str(rng.randrange(9))]]) for i in range(4_000)]
+    main = {k: float(rng.randrange(100, 400)) for k in "abcdef"}
+    subs = {(j, str(k)): float(rng.randrange(10, 4_000 // (2 * n) * 2)) for j, n in enumerate((12, 20, 9)) for k in range(n)}
+    ran = []
+    real = quota._round
+    monkeypatch.setattr(quota, "_round", lambda *a: ran.append(1) or real(*a))
+    assert run(spark, people, main, subs, front_rows=800) == greedy(people, main, subs)
+    assert len(ran) <= 12
