@@ -90,8 +90,9 @@ class Templates:
     Up to pages / share pages (40), `pages` are enough; beyond, the number asked
     for grows with the root of the host's pages, so that what stands in one
     section of a large host, or in turn with others, is template as well. A
-    slot is so with `slot_share` of the host's pages besides; `short` is the
-    most text that it has if it is not mostly links. lists: whether tags, roles,
+    slot is so with `slot_share` of the host's pages besides, if it is mostly
+    links, or has no more text than `short`; beside the page's h1 and main text
+    it must have few texts as well, as many pages as `pages` for each. lists: whether tags, roles,
     classes and ids drop elements too.
     """
 
@@ -105,10 +106,10 @@ class Templates:
 class Element:
     """up: what it stands in. drop: why it is dropped, 0 if it is not. start: the article or main around it. parts: what its hash is made of.
 
-    name: tag and classes. kinds: its children's forms. chars, links: its text and the part in links. headed: has an h1.
+    zone: the least element that has the page's h1 and its main text. name: tag and classes. kinds: its children's forms. chars, links: its text and the part in links. headed: has an h1.
     """
 
-    __slots__ = ("tag", "drop", "article", "start", "in_main", "parts", "hash", "up", "name", "kinds", "form", "chars", "links", "headed")
+    __slots__ = ("tag", "drop", "article", "start", "in_main", "parts", "hash", "up", "name", "kinds", "form", "chars", "links", "headed", "zone")
 
     def __init__(self, tag: str, attributes: str, up: Element | None):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -124,7 +125,7 @@ class Element:
         self.article = ("article" if "article" in (tag, role) else "main") if article else up.article if up else ""
         self.in_main = "main" in (tag, role) or bool(up and up.in_main)
         self.name = f"{tag} {NUMBERS.sub('', found.get('class', ''))}" if found else tag
-        self.kinds, self.form, self.chars, self.links, self.headed = set(), 0, 0, 0, tag == "h1"
+        self.kinds, self.form, self.chars, self.links, self.headed, self.zone = set(), 0, 0, 0, tag == "h1", False
 
 
 NUMBERS = re.compile("[0-9]+")
@@ -350,6 +351,10 @@ def slots(elements: list[Element], short: int) -> dict[int, Element]:
     while up:
         around.add(up)
         up = up.up
+    zone = next((e for e in elements if e.tag == "h1" and e.chars), elements[-1])
+    while zone.up and zone not in around:
+        zone = zone.up
+    zone.zone = True
     inside = along(lambda at, x: int(at or x.start is x or (x is main and x.tag not in ("body", "html"))))
     place = along(lambda at, x: hash64(f"{at} {x.name}"))
     named = [(f"{place(e)} {e.form}", e) for e in elements if e.tag in TEMPLATE_TAGS]
@@ -388,25 +393,43 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit("")))
 
 
+def said_in(blocks: list[tuple[str, Element]], slot: dict[int, Element]) -> dict[int, int]:
+    """What the text of each slot hashes to; 0 for those that are mostly links, and for those outside of the least element that has the page's h1 and its main text.
+
+    On a page without h1 every slot's text counts.
+    """
+    zone = along(lambda at, x: int(at or x.zone))
+    texts: dict[Element, list[str]] = {e: [] for e in slot.values() if 2 * e.links < e.chars and zone(e)}
+    for text, e in blocks:
+        up = e
+        while up:
+            if up in texts:
+                texts[up].append(text)
+            up = up.up
+    return {key: hash64("\n".join(texts[e])) if e in texts else 0 for key, e in slot.items()}
+
+
 def subtree_hashes(pages: DataFrame, rule: Templates, url: str, page: str) -> DataFrame:
-    """Rows (host, body, hashes, slots): for each page what its text hashes to, and its containers' and slots' distinct hashes."""
+    """Rows (host, body, hashes, slots, said): for each page what its text hashes to, its containers' and slots' distinct hashes, and what each slot's text hashes to."""
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bodies, hashes, held = [], [], []
+            bodies, hashes, held, said = [], [], [], []
             for value in batch.column(1):
                 blocks, elements = parse(value.as_py() or "")
                 hashes.append(sorted({e.hash for e in elements if e.tag in TEMPLATE_TAGS and len(e.parts) > 1}))
-                held.append(sorted(slots(elements, rule.short)))
+                slot = said_in(blocks, slots(elements, rule.short))
+                held.append(sorted(slot))
+                said.append([slot[key] for key in held[-1]])
                 body = chosen(blocks) or [b for b, _ in blocks]
                 bodies.append(hash64("\n".join(body)))
-            columns = [batch.column(0), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["host", "body", "hashes", "slots"])
+            columns = [batch.column(0), pa.array(bodies, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (hashes, held, said))]
+            return pa.RecordBatch.from_arrays(columns, ["host", "body", "hashes", "slots", "said"])
 
         return each
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
-    return map_batches(rows, start, "host string, body long, hashes array<long>, slots array<long>")
+    return map_batches(rows, start, "host string, body long, hashes array<long>, slots array<long>, said array<long>")
 
 
 def site_templates(pages: DataFrame, rule: Templates = Templates(), url: str = "url", page: str = "html") -> DataFrame:
@@ -418,11 +441,14 @@ def site_templates(pages: DataFrame, rule: Templates = Templates(), url: str = "
     """
     seen = cut(subtree_hashes(pages, rule, url, page))
     sizes = seen.select("host", "body").distinct().groupBy("host").count()
-    marked = lambda column, slot: F.transform(column, lambda x: F.struct(x.alias("hash"), F.lit(slot).alias("slot")))
-    each = seen.select("host", "body", F.inline(F.concat(marked("hashes", False), marked("slots", True)))).distinct()
-    counts = each.groupBy("host", "hash", "slot").agg(F.count("body").alias("n"))
+    none = F.lit(0).cast("long").alias("said")
+    trees = F.transform("hashes", lambda x: F.struct(x.alias("hash"), F.lit(False).alias("slot"), none))
+    held = F.transform(F.arrays_zip("slots", "said"), lambda x: F.struct(x["slots"].alias("hash"), F.lit(True).alias("slot"), x["said"].alias("said")))
+    each = seen.select("host", "body", F.inline(F.concat(trees, held))).groupBy("host", "hash", "slot", "body").agg(F.max("said").alias("said"))
+    texts = each.groupBy("host", "hash", "slot", "said").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.groupBy("host", "hash", "slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     often = counts.filter(F.col("n") >= rule.pages).join(sizes.filter(F.col("count") >= rule.pages), "host")
-    many = (F.col("n") * F.col("n") >= rule.pages * rule.share * F.col("count")) & (~F.col("slot") | (F.col("n") >= rule.slot_share * F.col("count")))
+    many = (F.col("n") * F.col("n") >= rule.pages * rule.share * F.col("count")) & (~F.col("slot") | (F.col("n") >= rule.slot_share * F.col("count")) & (F.col("texts") * rule.pages <= F.col("n")))
     return often.filter(many).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("template"))
 
 

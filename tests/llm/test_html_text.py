@@ -134,3 +134,49 @@ def test_test_pages_equal_plain_article(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", p).replace("<b>", "")).split()) for p in parts]
         want = "\n\n".join(b for b in blocks if b)
         assert found[r.page_id] == (want, len(want))
+
+
+@pytest.mark.parametrize("pages", [7, 12, 40, 300])
+@pytest.mark.parametrize("head", ["<h1>t{i} title</h1>", "<div class=head><h1>t{i} title</h1></div>"])
+def test_short_text_that_differs_stays(spark, pages, head):
+    """A lead, a byline, a summary and a conclusion in places of their own, other words on each page; a notice that is the same on all goes from eight pages on."""
+    rng = random.Random(pages)
+    story = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(pages):
+        parts = [story(12), story(3), story(60), story(70), story(15), story(9)]
+        lead, byline, *body, summary, end = parts
+        page = head.format(i=i) + f"<div class=lead>{lead}</div><div class=byline>{byline}</div><div class=body><p>{body[0]}</p><p>{body[1]}</p></div><div class=summary>{summary}</div><div class=end>{end}</div>"
+        rows.append((i, f"http://p{pages}.example/{i}", f"<body><div class=note>the same on all pages</div>{page}</body>"))
+        want[i] = "\n\n".join([f"t{i} title", *parts])
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    note = "" if pages >= 8 else "the same on all pages\n\n"
+    assert all(found[i] == note + want[i] for i in range(pages))
+
+
+def test_template_counts_equal_plain(spark):
+    """Hashes and slots of each host, counted by hand from the parsed pages."""
+    pages = spark.createDataFrame(bare_pages(), "page_id long, url string, html string")
+    rule = html_text.Templates(lists=False)
+    trees, held, bodies = {}, {}, {}
+    for r in pages.collect():
+        host = re.search(r"://([^/]*)", r.url)[1]
+        blocks, elements = html_text.parse(r.html)
+        slot = html_text.said_in(blocks, html_text.slots(elements, rule.short))
+        body = html_text.hash64("\n".join(html_text.chosen(blocks) or [b for b, _ in blocks]))
+        bodies.setdefault(host, set()).add(body)
+        for e in elements:
+            if e.tag in html_text.TEMPLATE_TAGS and len(e.parts) > 1:
+                trees.setdefault((host, e.hash), set()).add(body)
+        for key, said in slot.items():
+            held.setdefault((host, key), {}).setdefault(body, set()).add(said)
+    want = {host: set() for host in bodies}
+    enough = lambda host, n: n >= 8 and len(bodies[host]) >= 8 and n * n >= 8 * 0.2 * len(bodies[host])
+    for (host, key), on in trees.items():
+        if enough(host, len(on)):
+            want[host].add(key)
+    for (host, key), on in held.items():
+        texts = {max(said) for said in on.values()}
+        if enough(host, len(on)) and 2 * len(on) >= len(bodies[host]) and 8 * len(texts) <= len(on):
+            want[host].add(key)
+    assert {r.host: set(r.template) for r in html_text.site_templates(pages, rule).collect()} == {h: w for h, w in want.items() if w}
