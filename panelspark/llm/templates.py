@@ -311,10 +311,16 @@ def contaminated(docs: DataFrame, items: DataFrame, s: TemplateSettings = Templa
     given one. body is a hash of the text: rows that repeat both id and text are
     one, and texts of null ids stay apart. Null or wordless texts and items
     match nothing; empty tables give an empty result; other columns do not matter.
+    An item is its id and its text: item_id has any type, null ids are judged like
+    others, and of several texts under one id the one with the largest share is
+    reported. Rows that repeat an item count once.
     """
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    windows = cut(item_windows(items, s))
+    key = F.xxhash64(F.col("item_id").isNull(), F.col("item_id").cast("string"), "text").alias("item_key")
+    items = items.select(F.col("item_id"), F.col("text")).select("item_id", "text", key)
+    named = cut(items.select("item_key", F.col("item_id").alias("own_id")).distinct())
+    windows = cut(item_windows(items, s, "item_key"))
     rows = windows.count()
     few = rows <= s.broadcast_windows
     widths = tuple(sorted(r["width"] for r in windows.select("width").distinct().collect()))
@@ -342,6 +348,7 @@ def contaminated(docs: DataFrame, items: DataFrame, s: TemplateSettings = Templa
     totals = windows.groupBy("item_id", "reading").agg(F.count(F.lit(1)).alias("n_windows"))
     hits = hits.join(F.broadcast(totals) if few else cut(totals), ["item_id", "reading"]).withColumn("share", F.col("matched") / F.col("n_windows"))
     hits = hits.filter((F.col("share") >= s.share) | (F.col("run") >= s.run))
+    hits = keyed_join(hits.withColumnRenamed("item_id", "item_key"), named, "item_key").withColumnRenamed("own_id", "item_id")
     best = F.max(F.struct("share", -F.col("reading"), "n_windows", "matched", "exact")).alias("best")
     return hits.groupBy("doc_id", "body", "item_id").agg(best).select("doc_id", "body", "item_id", "best.n_windows", "best.matched", "best.share", "best.exact")
 

@@ -158,3 +158,18 @@ def test_corner_tables(spark):
     twice = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "text", "item_id", "window")).unionByName(docs)
     assert sorted((r.doc_id is None, r.item_id) for r in templates.contaminated(twice, items).collect()) == [(False, 0), (True, 0)]
     assert templates.keep_clean(twice, items).filter("text is not null").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_are_ids_and_texts(spark, kind):
+    """Two texts under one id, a null id, ids that are text: a copy of each is found and taken away."""
+    texts = [" ".join(f"{w}{c}" for w in "alpha beta gamma delta omega kappa sigma theta lambda".split()) for c in "xyzq"]
+    ids = [1, 1, None, 2] if kind == "long" else ["q-1", "q-1", None, "q 2"]
+    items = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(i, f"so {t} it goes") for i, t in enumerate(texts)] + [(9, "nothing of the sort stands in here at all")], "doc_id long, text string")
+    found = templates.contaminated(docs, items)
+    assert {(r.doc_id, r.item_id, r.exact) for r in found.collect()} == {(i, x, True) for i, x in enumerate(ids)}
+    assert dict(found.dtypes)["item_id"] == ("bigint" if kind == "long" else "string")
+    assert [r.doc_id for r in templates.keep_clean(docs, items).collect()] == [9]
+    both = spark.createDataFrame([(5, f"{texts[0]} and {texts[1]}")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in templates.contaminated(both, items).collect()] == [(5, ids[0])]
