@@ -46,5 +46,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _digest(pairs: DataFrame) -> tuple:
-    hashed = F.xxhash64("u", "v")
-    return tuple(pairs.agg(F.count("u"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(hashed, 32))).first())
+    """The number of pairs and the exclusive or of their hashes: pairs are distinct, and neither number overflows."""
+    return tuple(pairs.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first())
