@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.cells import collect_values
 from panelspark.functions.text import SPACES, clean_text, natural_key, sheet_name
 from panelspark.operators import codebook, quality, quota
-from panelspark.plans import surveys
+from panelspark.plans import readers, surveys
 from panelspark.shared import fresh_path, put_file
 from panelspark.sources.documents import write_workbook
 from panelspark.sources.tables import load_table
@@ -240,15 +240,23 @@ def q29_threshold_stop(spark, sf_dir):
     return rows.select(F.col("start_id").cast("long").alias("start_id"), F.col("rank").cast("long").alias("rank"), "respondent_id")
 
 
+#: Keywords of four scripts of signs and languages.
+KEYWORDS = [*WORDS, "und", "QUE", "données", "the ", "e.g.", "??"]
+
+
+def q38_keyword_hits(spark, sf_dir):
+    return quality.keyword_hits(_table(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS).select("doc_id", "keyword")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         q01_clean_text, q02_collect_values, q03_natural_rank, q04_sheet_name, q05_quota_normalize, q06_quota_fill_down, q07_quota_main,
         q08_quota_bound, q09_quota_main_sub, q10_quota_multistart, q11_quota_shortfall, q12_straight_line, q13_keyword, q14_remove,
         q15_rename, q16_match_names, q17_classify, q18_syntax, q19_csv_utf8, q20_csv_cp949, q21_xlsx_dates, q22_docx, q23_workbook_round_trip,
-        q24_variable_labels, q25_rename_syntax, q26_recode_syntax, q27_spss_program, q28_match_by_position, q29_threshold_stop,
+        q24_variable_labels, q25_rename_syntax, q26_recode_syntax, q27_spss_program, q28_match_by_position, q29_threshold_stop, q38_keyword_hits,
     )
-} | surveys.QUERIES
+} | surveys.QUERIES | readers.QUERIES
 
 _MAIN_SQL = ", ".join(f"('{k}', CAST({t} AS DOUBLE))" for k, t in MAIN.items())
 _SHEET_SQL = """SELECT CASE WHEN n_nationkey % 4 = 0 THEN r_name END AS qt1, n_name AS qt2, r_name AS qt3,
@@ -299,7 +307,7 @@ def _csv_sql(word: str) -> str:
     return f"""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, '{word} "' || n_name || '", ' || n_regionkey AS memo FROM nation"""
 
 
-ORACLE: dict[str, str] = surveys.ORACLE | {
+ORACLE: dict[str, str] = surveys.ORACLE | readers.ORACLE | {
     "q19_csv_utf8": _csv_sql("두 번째"),
     "q20_csv_cp949": _csv_sql("똠방"),
     "q21_xlsx_dates": "SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders",
@@ -359,6 +367,9 @@ SELECT p_partkey, p_type, question, row_number() OVER (PARTITION BY p_type ORDER
   WHERE CAST(l_quantity AS BIGINT) % 3 = l_partkey % 3 AND l_partkey % 3 = l_suppkey % 3 GROUP BY l_orderkey""",
     "q13_keyword": rf"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b({'|'.join(WORDS)})\b')",
     "q14_remove": rf"SELECT doc_id, lang, n_chars FROM documents WHERE NOT coalesce(regexp_matches(text, '(?i)\b({'|'.join(WORDS)})\b'), FALSE)",
+    "q38_keyword_hits": "WITH k(keyword) AS (VALUES " + ", ".join(f"('{w}')" for w in KEYWORDS) + r""")
+SELECT doc_id, keyword FROM documents, k WHERE regexp_matches(text, '(?i)' || CASE WHEN regexp_matches(keyword, '^[\p{L}\p{N}_]') THEN '(^|[^\p{L}\p{N}_])' ELSE '' END
+  || regexp_escape(keyword) || CASE WHEN regexp_matches(keyword, '[\p{L}\p{N}_]$') THEN '($|[^\p{L}\p{N}_])' ELSE '' END)""",
     "q15_rename": "SELECT n_nationkey AS n_regionkey, n_name AS SQ1, n_regionkey AS n_nationkey FROM nation",
     "q16_match_names": f"""
 WITH raw AS (SELECT column_name AS raw_name FROM (DESCRIBE customer) UNION SELECT 'Q01' UNION SELECT 'q_2'),

@@ -1,0 +1,110 @@
+"""CSV files: exact numbers, charsets, line breaks in quotes against Python's csv, width and blank files."""
+
+import csv
+import io
+import random
+import time
+from decimal import Decimal
+
+import pytest
+
+from panelspark.sources import charsets, tables
+
+
+def read(spark, path, *files):
+    for i, data in enumerate(files):
+        (path / f"f{i}.csv").write_bytes(data)
+    return tables.load_table(spark, str(path))
+
+
+@pytest.mark.parametrize(("cells", "kind", "values"), [
+    (["1234567890123456789", "1234567890123456788"], "bigint", [1234567890123456789, 1234567890123456788]),
+    (["-9223372036854775808", "9223372036854775807"], "bigint", [-(1 << 63), (1 << 63) - 1]),
+    (["9223372036854775808", "-1"], "decimal(38,0)", [Decimal(1 << 63), Decimal(-1)]),
+    (["12345678901234567890123", "+0000000000000000000000000000000000000000007"], "decimal(38,0)", [Decimal(12345678901234567890123), Decimal(7)]),
+    (["1" + "0" * 38, "2"], "string", ["1" + "0" * 38, "2"]), (["12345678901234567890123", "0.5"], "double", [12345678901234567890123.0, 0.5]), (["007", "x"], "string", ["007", "x"]),
+])
+def test_numbers_are_exact(spark, tmp_path, cells, kind, values):
+    df = read(spark, tmp_path, ("a,b\n" + "".join(f"{c},\n" for c in cells)).encode())
+    assert dict(df.dtypes)["a"] == kind and [r.a for r in df.collect()] == values
+
+
+def test_wide_cells_make_no_columns(spark, tmp_path):
+    began = time.perf_counter()
+    df = read(spark, tmp_path, f'a,b\n1,"{"x," * 3_000}"\n2,y,z\n'.encode())
+    assert df.columns == ["a", "b", "Unnamed: 2"] and [(r.a, len(r.b)) for r in df.collect()] == [(1, 6_000), (2, 1)]
+    assert time.perf_counter() - began < 30  # minutes with a column for each comma
+
+
+@pytest.mark.parametrize("files", [[b"\n\n\n"], [b"\r\n"], [b""], [b"", b"\n"]])
+def test_files_without_a_line(spark, tmp_path, files):
+    for i, data in enumerate(files):
+        (tmp_path / f"f{i}.csv").write_bytes(data)
+    df = tables.read_csv(spark, str(tmp_path))
+    assert df.columns == [] and df.collect() == []
+
+
+TEXTS = {
+    "utf-8": "만족 très", "utf-8-sig": "만족 bien", "cp949": "설문 똠방 응답", "shift_jis": "とても良い商品", "euc_jp": "ありがとう、アンケート", "gb18030": "我们喜欢这个产品", "cp1252": "prénom “déjà” vu", "utf-16": "둘 три", "utf-16-le": "une réponse",
+    "utf-32": "셋 four",
+}
+
+
+@pytest.mark.parametrize("quotes", [False, True])
+def test_charsets_in_one_folder(spark, tmp_path, quotes):
+    """Each file is told by itself, with and without line breaks in quotes."""
+    said = {c: f"{t}\n{t}" if quotes else t for c, t in TEXTS.items()}
+    files = [f'id,text\n{i},"{t}"\n{i},plain\n'.encode(c) for i, (c, t) in enumerate(said.items())]
+    df = read(spark, tmp_path, *files)
+    assert sorted((r.id, r.text) for r in df.collect()) == sorted([(i, t) for i, t in enumerate(said.values())] + [(i, "plain") for i in range(len(said))])
+
+
+def test_no_charset_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="charset"):
+        read(spark, tmp_path, b"a,b\n1,\x81\xff\xff\x81 \x8f\xff\n")
+    assert tables.load_table(spark, str(tmp_path), lenient=True) is None
+
+
+@pytest.mark.parametrize("charset", [c for c in charsets.LEGACY])
+def test_longer_texts_are_told(charset):
+    texts = {"cp949": "이 제품은 사용하기 편하고 가격도 적당해서 마음에 듭니다", "gb18030": "这个商品使用方便价格合理我很满意希望以后还能买到", "cp1252": "Être à l’hôtel à Málaga – señor Müller, façade, 5 €"}
+    text = texts.get(charset, "この商品は使いやすくて値段も手ごろなので気に入りました")
+    data = text.encode(charset)
+    found = {}
+    for c in charsets.LEGACY:
+        try:
+            decoded = data.decode(c)
+            found[c] = charsets.score(decoded, c) / sum(x > "\x7f" for x in decoded)
+        except UnicodeDecodeError:
+            pass
+    assert max(found, key=found.get) == charset
+
+
+@pytest.mark.parametrize(("seed", "split"), [(1, 1 << 20), (2, 60), (3, 25), (4, 10), (5, 37)])
+def test_line_breaks_in_quotes_equal_csv(spark, tmp_path, seed, split):
+    """Fuzzed files, split anywhere, also with quotes inside of cells that are not quoted and one that never closes."""
+    rng = random.Random(seed)
+    cell = lambda: "".join(rng.choice(['a', "b", ",", '"', "\n", "\r\n", " ", "é", "", ""]) for _ in range(rng.randrange(7)))
+    files = []
+    for i in range(4):
+        held = io.StringIO()
+        out = csv.writer(held, lineterminator=rng.choice(["\n", "\r\n"]))
+        out.writerow(["id", "x\ny", "z"])
+        for _ in range(40):
+            if rng.random() < 0.1:
+                held.write(rng.choice(['7,a"b,c\n', '8,5" or 6",x\n', "\n", '9,"q"r,s\n']))
+            out.writerow([f"k{rng.randrange(99)}", cell(), cell()])
+        if i == 3:
+            held.write('10,"open\n1,2')  # a line break at the end of the file would not be kept
+        files.append(held.getvalue().encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        df = read(spark, tmp_path, *files)
+        found = sorted(tuple("" if v is None else v for v in r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = [r for f in files for r in [x for x in csv.reader(io.StringIO(f.decode(), newline="")) if x][1:]]
+    width = max(3, *map(len, rows))
+    blank = lambda c: "" if c in tables.MISSING else c
+    assert found == sorted(tuple(map(blank, r + [""] * (width - len(r)))) for r in rows)

@@ -132,3 +132,18 @@ def test_streams(spark, tmp_path):
         query.stop()
     assert {(r.id, r.straight, r.keyword) for r in spark.table("flags").collect()} == {(1, True, False), (2, False, True), (3, True, False)}
     assert {tuple(r) for r in spark.table("fills").collect()} == {("a", 2, 2), ("b", 5, 1)}
+
+
+def test_keywords_of_all_scripts(spark):
+    """Signs, accents, particles behind Hangul, whole words; few by a pattern and many by an automaton agree."""
+    texts = ["what???", "ÉTÉ comme hiver", "특이사항 없음요", "none", "nonesuch", "c++ is fun", "ｆｕｌｌ width", "있음", None, "", "x_none", "none, none"]
+    words = ["???", "été", "없음", "none", "c++", "fun"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {0: {"???": 1}, 1: {"été": 1}, 2: {"없음": 1}, 3: {"none": 1}, 5: {"c++": 1, "fun": 1}, 11: {"none": 2}}
+    assert {r.id for r in df.filter(quality.has_keyword(df["text"], words)).collect()} == set(want)
+    many = [f"w{i}" for i in range(10_000)] + ["full", ""]
+    found = {}
+    for r in quality.keyword_hits(df, "id", "text", words + many).collect():
+        found.setdefault(r.id, {})[r.keyword] = r.hits
+    assert found == want | {6: {"full": 1}}
+    assert quality.keyword_hits(df, "id", "text", []).collect() == [] and df.filter(quality.has_keyword(df["text"], [""])).count() == 0
