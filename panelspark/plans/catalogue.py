@@ -18,7 +18,7 @@ from panelspark.functions.text import SPACES, clean_text, natural_key, sheet_nam
 from panelspark.operators import codebook, quality, quota
 from panelspark.plans import readers, surveys
 from panelspark.shared import fresh_path, put_file
-from panelspark.sources.documents import write_workbook
+from panelspark.sources.documents import write_workbooks
 from panelspark.sources.tables import load_table
 from panelspark.sources.word import questions, read_questionnaires
 
@@ -180,9 +180,9 @@ def q20_csv_cp949(spark, sf_dir):
 
 
 def _round_trip(spark, df: DataFrame) -> DataFrame:
-    path = _file(spark, "book.xlsx")
-    write_workbook(df, path, "a:b")
-    return load_table(spark, path)
+    folder = fresh_path(spark, "books")
+    write_workbooks(df, folder, "a:b", rows=20_000)
+    return load_table(spark, folder)
 
 
 def q21_xlsx_dates(spark, sf_dir):

@@ -147,3 +147,22 @@ def test_keywords_of_all_scripts(spark):
         found.setdefault(r.id, {})[r.keyword] = r.hits
     assert found == want | {6: {"full": 1}}
     assert quality.keyword_hits(df, "id", "text", []).collect() == [] and df.filter(quality.has_keyword(df["text"], [""])).count() == 0
+
+
+def test_workbooks_from_tasks(spark, tmp_path):
+    """Sheets are cut at their bound, nothing is left hidden, an empty table keeps its header, a failed task leaves no workbook."""
+    folder = str(tmp_path / "books")
+    df = spark.range(0, 103, 1, 4).selectExpr("id", "concat('n', id) AS name", "timestamp'2024-01-01 06:00:00' AS at")
+    documents.write_workbooks(df, folder, "s:1", rows=10)
+    assert len(list((tmp_path / "books").iterdir())) == 12 and all(p.suffix == ".xlsx" for p in (tmp_path / "books").iterdir())
+    read = tables.load_table(spark, folder)
+    assert sorted(map(tuple, read.collect())) == [(i, f"n{i}", datetime(2024, 1, 1, 6)) for i in range(103)]
+    documents.write_workbooks(df.filter("false"), folder, "s", mode="overwrite")
+    again = tables.load_table(spark, folder)
+    assert again.columns == ["id", "name", "at"] and again.collect() == []
+    bad = df.selectExpr("IF(id = 100, raise_error('no'), id) AS id")
+    with pytest.raises(Exception, match="no"):
+        documents.write_workbooks(bad, str(tmp_path / "bad"), "s")
+    assert not list((tmp_path / "bad").glob("part-*"))
+    with pytest.raises(Exception, match="mount"):
+        documents.write_workbooks(df, "hdfs://x/y", "s")
