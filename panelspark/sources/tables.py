@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from panelspark.shared import cut
 from panelspark.sources.charsets import WIDE, charsets_of, wide_charset
+from panelspark.sources.xls import xls_rows
 
 #: Cell texts that mean "missing", fixed values.
 MISSING = (
@@ -264,13 +265,20 @@ def date_text(serial: float, since_1904: bool) -> str:
     return at.strftime("%H:%M:%S") if 0 <= serial < 1 else DATE + at.isoformat(" ")
 
 
+def is_date(number: int, own: dict[int, str]) -> bool:
+    """Whether a number format is one of dates: by its letters outside of quotes and brackets, or as one of the built-in ones."""
+    if number not in own:
+        return number in DATE_FORMATS
+    return bool(re.search("[ymdhsYMDHS]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", own[number])))
+
+
 def date_styles(styles: bytes) -> set[int]:
     """Places of the cell styles whose number format is one of dates."""
     root = ElementTree.fromstring(styles)
-    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", f.get("formatCode", "")) for f in root.iter(f"{_MAIN}numFmt")}
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_MAIN}numFmt")}
     cells = root.find(f"{_MAIN}cellXfs")
     formats = [int(x.get("numFmtId", "0")) for x in cells] if cells is not None else []
-    return {i for i, f in enumerate(formats) if (re.search("[ymdhsYMDHS]", own[f]) if f in own else f in DATE_FORMATS)}
+    return {i for i, f in enumerate(formats) if is_date(f, own)}
 
 
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
@@ -321,23 +329,7 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
 
 
 def _book_rows(content: bytes, suffix: str) -> Iterator[list[str | None]]:
-    if suffix == ".xlsx":
-        return sheet_rows(content)
-    import xlrd  # optional: the old binary format has no reader of its own here
-
-    book = xlrd.open_workbook(file_contents=content)
-    sheet = book.sheet_by_index(0)
-
-    def text(cell) -> str | None:
-        if cell.ctype == xlrd.XL_CELL_DATE:
-            return date_text(cell.value, book.datemode == 1)
-        if cell.ctype == xlrd.XL_CELL_BOOLEAN:
-            return str(bool(cell.value))
-        if cell.ctype == xlrd.XL_CELL_NUMBER:
-            return str(int(cell.value) if cell.value == int(cell.value) else cell.value)
-        return None if cell.ctype == xlrd.XL_CELL_ERROR or cell.value == "" else str(cell.value)
-
-    return ([text(c) for c in sheet.row(i)] for i in range(sheet.nrows))
+    return sheet_rows(content) if suffix == ".xlsx" else xls_rows(content, is_date, date_text)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
