@@ -52,12 +52,13 @@ KINDS = (
     ("rank", r"(?i)\brank\b|in order of|순위|순서대로"),
     ("multi", r"(?i)all that apply|select all|multiple|복수|모두"),
     ("grid", r"(?i)each of the following|for each|각각|다음 항목"),
+    ("open", r"(?i)^\W*(why|please (explain|describe|specify))\b|in your own words|이유|자유롭게|적어 ?주"),
     ("single", r"(?i)\?|select one|choose one|단수|하나만"),
 )
 
 
 def question_kind(text: Column) -> Column:
-    """rank, multi, grid or single by the first pattern that fits; else open."""
+    """rank, multi, grid, open or single by the first pattern that fits, from the text alone; else open. A questionnaire's structure tells more: codebook_of."""
     kind = F.lit("open")
     for name, pattern in reversed(KINDS):
         kind = F.when(text.rlike(pattern), name).otherwise(kind)

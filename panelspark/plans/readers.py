@@ -1,17 +1,20 @@
-"""Queries of the CSV reader, by name, with the SQL that must agree.
+"""Queries of the readers, by name, with the SQL that must agree.
 
 Spark writes the files from the driver tables to the shared folder, so the work grows with these.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.shared import fresh_path
-from panelspark.sources.tables import load_table
+from panelspark.sources import xls
+from panelspark.sources.tables import excel_table, load_table
 
 #: A charset and a remark in a language of its own for each sixth of the customers.
 REMARKS = (
@@ -57,8 +60,48 @@ def q37_csv_line_breaks(spark, sf_dir):
     return load_table(spark, _written(rows, f"{fresh_path(spark, 'breaks')}.csv"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q35_csv_long_ids, q36_csv_charsets, q37_csv_line_breaks)}
+def _xls(columns: list[str], rows: list[tuple]) -> bytes:
+    """A binary workbook of numbers and texts, less than 65,536 rows, its stream of 4,096 bytes or more."""
+    record = lambda kind, data=b"": struct.pack("<HH", kind, len(data)) + data
+
+    def cell(row: int, col: int, value) -> bytes:
+        at = struct.pack("<HHH", row, col, 0)
+        if isinstance(value, str):
+            return record(xls.LABEL, at + struct.pack("<HB", len(value), 1) + value.encode("utf-16-le"))
+        return record(xls.NUMBER, at + struct.pack("<d", value))
+
+    begin = record(xls.BOF, struct.pack("<HH", 0x0600, 5)) + record(xls.XF, bytes(20))
+    head = begin + record(xls.BOUNDSHEET, struct.pack("<IBBBB", len(begin) + 17, 0, 0, 1, 0) + b"s") + record(xls.EOF)
+    body = b"".join(cell(r, c, v) for r, row in enumerate([tuple(columns), *rows]) for c, v in enumerate(row))
+    book = (head + record(xls.BOF, struct.pack("<HH", 0x0600, 0x10)) + body + record(xls.EOF)).ljust(4096, b"\0")
+    # The sectors of the table of chains, the directory, then the stream.
+    data = -(-len(book) // 512)
+    n = next(n for n in range(1, 110) if n * 128 >= n + 1 + data)
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+    chains = [0xFFFFFFFD] * n + [end] + list(range(n + 2, n + 1 + data)) + [end]
+    table = struct.pack(f"<{len(chains)}I", *chains).ljust(n * 512, b"\xff")
+    entry = lambda name, kind, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB3I36xIQ", 2 * len(name) + 2, kind, 1, free, free, 1 if kind == 5 else free, start, size)
+    directory = (entry("Root Entry", 5, end, 0) + entry("Workbook", 2, n + 1, len(book))).ljust(512, b"\0")
+    header = xls.MAGIC + struct.pack("<16x5H10x8I109I", 0x3E, 3, 0xFFFE, 9, 6, n, n, 0, 4096, end, 0, end, 0, *range(n), *[free] * (109 - n))
+    return header + table + directory + book.ljust(data * 512, b"\0")
+
+
+def q39_xls(spark, sf_dir):
+    """A binary workbook for each nation's customers."""
+    rows = _customers(spark, sf_dir).select(F.col("c_nationkey").alias("nation"), F.struct("c_custkey", "c_name", "c_acctbal", F.concat(F.lit("똠 "), "c_mktsegment").alias("remark")).alias("r"))
+    lists = rows.groupBy("nation").agg(F.collect_list("r").alias("all"))
+
+    @F.pandas_udf("binary")
+    def book(lists: pd.Series) -> pd.Series:
+        names = ["c_custkey", "c_name", "c_acctbal", "remark"]
+        return lists.map(lambda rows: _xls(names, [tuple(r[c] for c in names) for r in rows]))
+
+    return excel_table(lists.select(F.concat(F.col("nation").cast("string"), F.lit(".xls")).alias("path"), book("all").alias("content")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q35_csv_long_ids, q36_csv_charsets, q37_csv_line_breaks, q39_xls)}
 ORACLE: dict[str, str] = {
+    "q39_xls": "SELECT c_custkey, c_name, c_acctbal, '똠 ' || c_mktsegment AS remark FROM customer",
     "q35_csv_long_ids": """SELECT c_custkey + 1234567890123450000 AS id19, '12345678901' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id23, '9' || lpad(CAST(c_custkey AS VARCHAR), 39, '0') AS id40,
   CAST(c_custkey AS DOUBLE) / 2 AS half, 'bigint/decimal(38,0)/string/double' AS kinds FROM customer""",
     "q36_csv_charsets": "SELECT c_custkey, [" + ", ".join(f"'{r}'" for _, r in REMARKS) + f"][c_custkey % {len(REMARKS)} + 1] || ' ' || c_mktsegment AS remark FROM customer",

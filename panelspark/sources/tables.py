@@ -334,12 +334,17 @@ def _book_rows(content: bytes, suffix: str) -> Iterator[list[str | None]]:
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """The first sheets of a workbook or a folder of them, their first row being the header; each file is parsed once."""
+    return excel_table(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def excel_table(files: DataFrame) -> DataFrame:
+    """One table of the workbooks (path, content): paths end in .xlsx or .xls; their headers must agree; null contents are left out."""
 
     def rows(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 held = []
-                for i, cells in enumerate(_book_rows(content, name[name.rindex(".") :].lower())):
+                for i, cells in enumerate(_book_rows(content, name[name.rindex(".") :].lower()) if content is not None else ()):
                     held.append((i, cells))
                     if len(held) == 5_000:
                         yield pd.DataFrame(held, columns=["i", "cells"])
@@ -347,12 +352,12 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pd.DataFrame(held, columns=["i", "cells"])
 
-    lines = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "i long, cells array<string>"))
+    lines = cut(files.select("path", "content").mapInPandas(rows, "i long, cells array<string>"))
     headers = lines.filter("i = 0").select("cells").distinct().limit(2).collect()
     if not headers:
-        return spark.createDataFrame([], "struct<>")
+        return files.sparkSession.createDataFrame([], "struct<>")
     if len(headers) > 1:
-        raise ValueError(f"files of {path} have different headers")
+        raise ValueError("workbooks have different headers")
     header = list(headers[0]["cells"])
     width = max(len(header), lines.agg(F.max(F.size("cells"))).first()[0])
     cells = [F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(_all_names(header, width))]
