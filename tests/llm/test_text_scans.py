@@ -187,3 +187,19 @@ def test_rules_filed_under_rarest_literal():
     rules = (url_rules.site_rule("block", "com/en/"), url_rules.site_rule("allow", "example.com/en/7"))
     index = url_rules.rule_index(rules, {"com": 5, "en": 9, "example": 3})
     assert {k: [r.name for r in v] for k, v in index.items()} == {"com": ["com/en/"], "example": ["example.com/en/7"]}
+
+
+def test_token_shortcut_in_all_scripts():
+    """Texts of all scripts have the library's counts, and none of assigned characters goes to it whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, known = token_counts.tokenizer(path), token_counts.agreed(path)
+    counter = token_counts.Counter(path, token_counts.whole_tokens(path), known)
+    rng, chars = random.Random(12), sorted(known)
+    parts = ["αβγδε ζη", "где жить хорошо", "안녕 하세요 ", "今日は良い天気", "😀😁👍🏽 ok", "مرحبا ", "हिन्दी ", " \t\n　 ", "abc 123 '", "१२३ ①②", "é̂ x́ "]
+    for _ in range(4_000):
+        text = "".join(rng.choice(rng.choice(parts)) if rng.random() < 0.8 else rng.choice(chars) for _ in range(rng.randrange(30)))
+        assert counter.count(text) == len(tok.encode(text, add_special_tokens=False).ids), repr(text)
+    assert counter.whole == 0 and len(known) > 100_000
+    for text in ("\U000e0fff", "a<|endoftext|>b", "xy"):
+        assert counter.count(text) == len(tok.encode(text, add_special_tokens=False).ids)
+    assert counter.whole == 3
