@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"), rules=secrets.EntropyRules(segments=True))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

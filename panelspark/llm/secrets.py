@@ -4,8 +4,10 @@ Candidate strings are runs of key characters. Each has a character class (hex,
 alnum, base64; letters, where it has no digit) with its own entropy threshold. A
 window slides over the run; its entropy follows from sum(c * log2 c) over
 character counts, which one leaving and one entering character change in
-constant time. Windows over the threshold join to spans. What the allow-list
-matches takes the windows with it that touch it or are near, not the whole run.
+constant time. Windows over the threshold join to spans. A run's segments between
+signs can be scanned by their own classes too, so a key is found behind a prefix or
+a path. What the allow-list matches takes the windows with it that touch it or are
+near, not the whole run; words joined to paths and slugs take those that touch them.
 """
 
 from __future__ import annotations
@@ -34,11 +36,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 
 LETTERS = re.compile(r"[A-Za-z]{20,}")
+#: Parts of a run between signs that join names and paths.
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+#: A word of a path, a slug or a name of parts: letters of one case, perhaps with a number behind, or a short number.
+_WORD = r"(?:(?:[a-z]+|[A-Z][a-z]*|[A-Z]+)[0-9]{0,2}|[0-9]{1,4})(?![A-Za-z0-9])"
 
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """window: characters of a window. thresholds: bits a character, by class. allowed: what is no secret, within `near` characters of which no window counts."""
+    """window: characters of a window. thresholds: bits a character, by class. allowed: what is no secret, within `near` characters of which no window counts. paths: words joined to paths and slugs, which no window touches. segments: whether a run's segments between signs are scanned by their own classes as well."""
 
     window: int = 20
     near: int = 20
@@ -49,6 +55,8 @@ class EntropyRules:
         r"(?i)0123456789abcdef|abcdefghijklmnop",
         r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     )
+    segments: bool = False
+    paths: str = rf"(?<![A-Za-z0-9]){_WORD}(?:[-_/+]+{_WORD}){{3,}}"
 
 
 def run_class(run: str) -> str:
@@ -103,20 +111,27 @@ class EntropyScan:
     def __init__(self, rules: EntropyRules):
         self.rules = rules
         self.least = dict(rules.thresholds)
-        self.allowed = [re.compile(x) for x in rules.allowed]
+        self.allowed = [(re.compile(x), rules.near) for x in rules.allowed] + [(re.compile(rules.paths), 0)]
 
     def closed(self, run: str) -> tuple[tuple[int, int], ...]:
-        """Stretches of the run within `near` characters of what the allow-list matches, joined, in order."""
+        """Stretches of the run within `near` characters of what the allow-list matches, and paths, joined, in order."""
         found: list[tuple[int, int]] = []
-        for a, b in sorted(m.span() for x in self.allowed for m in x.finditer(run)):
-            a, b = a - self.rules.near, b + self.rules.near
+        for a, b in sorted((m.start() - near, m.end() + near) for x, near in self.allowed for m in x.finditer(run)):
             if found and a <= found[-1][1]:
                 found[-1] = (found[-1][0], max(b, found[-1][1]))
             else:
                 found.append((a, b))
         return tuple(found)
 
+    def hot(self, piece: str, at: int, closed: tuple[tuple[int, int], ...]) -> list[tuple[str, int, int]]:
+        """Spans of a piece that begins at a place of its run, by its own class and with a digit unless it is letters."""
+        kind = run_class(piece)
+        own = tuple((a - at, b - at) for a, b in closed)
+        spans = hot_windows(piece, self.rules.window, self.least[kind], own)
+        return [(f"entropy_{kind}", at + a, at + b) for a, b in spans if kind == "letters" or re.search(r"[0-9]", piece[a:b])]
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
+        """Spans of whole runs, or of their letters where they have no digit; then, if the rules say so, of a run's segments by the class of each, as far as no span of the run holds them."""
         found = []
         for m in CANDIDATE.finditer(text):
             run = m[0]
@@ -124,12 +139,13 @@ class EntropyScan:
             if digits and not re.search(r"[A-Za-z]", run):
                 continue
             closed = self.closed(run)
-            for piece in [re.match(r".*", run)] if digits else LETTERS.finditer(run):
-                kind = run_class(piece[0])
-                own = tuple((a - piece.start(), b - piece.start()) for a, b in closed)
-                for a, b in hot_windows(piece[0], self.rules.window, self.least[kind], own):
-                    if kind == "letters" or re.search(r"[0-9]", piece[0][a:b]):
-                        found.append((f"entropy_{kind}", m.start() + piece.start() + a, m.start() + piece.start() + b))
+            pieces = [(run, 0)] if digits else [(x[0], x.start()) for x in LETTERS.finditer(run)]
+            own = [s for piece, at in pieces for s in self.hot(piece, at, closed)]
+            if self.rules.segments and digits and not run.isalnum():
+                parts = [(x[0], x.start()) for x in SEGMENT.finditer(run) if len(x[0]) >= self.rules.window]
+                more = [s for piece, at in parts if re.search(r"[0-9]", piece) and re.search(r"[A-Za-z]", piece) for s in self.hot(piece, at, closed)]
+                own += [s for s in more if not any(a <= s[1] and s[2] <= b for _, a, b in own)]
+            found += [(k, m.start() + a, m.start() + b) for k, a, b in own]
         return found
 
 

@@ -203,3 +203,51 @@ def test_token_shortcut_in_all_scripts():
     for text in ("\U000e0fff", "a<|endoftext|>b", "xy"):
         assert counter.count(text) == len(tok.encode(text, add_special_tokens=False).ids)
     assert counter.whole == 3
+
+
+@pytest.mark.parametrize(("alphabet", "kind"), [("0123456789ABCDEF", "hex"), ("0123456789abcdef", "hex"), (string.ascii_letters + string.digits, "alnum")])
+@pytest.mark.parametrize("around", ["{}", "prod-{}", "svc_live_{}_eu", "/srv/app/keys/v2/{}", "https://host.org/en/blog/how-to-do-it/{}/edit"])
+def test_keys_behind_prefixes_and_paths(alphabet, kind, around):
+    """A key's class is that of its segment: prefixes and paths before it do not hide it. The class may be that of the whole run."""
+    rng, scan, found = random.Random(4), secrets.EntropyScan(secrets.EntropyRules(segments=True)), 0
+    for _ in range(500):
+        text = around.format("".join(rng.choice(alphabet) for _ in range(32)))
+        at = around.index("{}")
+        spans = scan.spans(text)
+        found += any(a < at + 32 and b > at and min(b, at + 32) - max(a, at) >= 20 for _, a, b in spans)
+    assert found >= 498
+
+
+def test_segments_add_to_whole_runs():
+    """Spans of whole runs stay; those of segments, counted anew, come where no span of the run holds them."""
+    rng, some = random.Random(5), secrets.EntropyScan(secrets.EntropyRules())
+    more = secrets.EntropyScan(secrets.EntropyRules(segments=True))
+    added = 0
+    for _ in range(400):
+        text = "".join(rng.choice(["-", "_", "/", " ", "xy", *("".join(rng.choice(rng.choice(["0123456789abcdef", BASE64])) for _ in range(26)) for _ in range(3))]) for _ in range(12))
+        whole, found = some.spans(text), more.spans(text)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            mine = [s for s in whole if m.start() <= s[1] < m.end()]
+            parts = [(x[0], m.start() + x.start()) for x in re.finditer("[A-Za-z0-9]{20,}", m[0])] if re.search("[-+/_=]", m[0]) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) else []
+            parts = [(p, at) for p, at in parts if re.search("[0-9]", p) and re.search("[A-Za-z]", p)]
+            new = [(k, a + at, b + at) for p, at in parts for k, a, b in brute_spans(p, secrets.EntropyRules())]
+            want += mine + [s for s in new if not any(a <= s[1] and s[2] <= b for _, a, b in mine)]
+        assert found == want
+        added += len(found) - len(whole)
+    assert added > 20
+
+
+def test_paths_and_slugs_are_no_secrets():
+    scan = secrets.EntropyScan(secrets.EntropyRules(segments=True))
+    clean = [
+        "/usr/lib/python3/dist-packages/numpy/core", "see https://blog.example.org/2024/05/how-to-train-your-dragon-in-10-easy-steps for more", "path/To/Some_Module/With_Parts_2/and-more",
+        "org/apache/spark/sql/catalyst/expressions/codegen/v2", "en/7/jobs-in-berlin-and-hamburg-from-2023", "CONFIG_MAX_RETRY_COUNT_FOR_WORKER_12",
+    ]
+    assert [t for t in clean if scan.spans(t)] == []
+    words = "about account archive blog career company contact data events forum gallery help image index info jobs legal login media news page post press product search service shop support terms user video".split()
+    rng, wrong = random.Random(8), 0
+    for _ in range(2_000):
+        parts = [rng.choice(words) + rng.choice(["", "", "", str(rng.randrange(99))]) for _ in range(rng.randrange(5, 9))]
+        wrong += bool(scan.spans("https://site.org/" + "".join(p + rng.choice("/-_") for p in parts)))
+    assert wrong == 0
