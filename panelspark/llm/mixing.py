@@ -68,23 +68,31 @@ def shuffled(doc_id: Column, mix: Mix) -> Column:
 
 
 def queued(docs: DataFrame, mix: Mix, doc_id: str, source: str, text: str) -> tuple[DataFrame, int]:
-    """All documents with size, source_size, target and reached (the source's words up to and with it); their number."""
+    """All documents with size, source_size, target and reached (the source's words up to and with it); their number.
+
+    Rows of one id in a source stand at one place of its queue: they are summed
+    before the queue is dealt to tasks, so that many null or repeated ids are no
+    hot group, and get their place by a join, whose hot keys Spark splits.
+    """
     columns = F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")
     rows = cut(docs.select(*columns, shuffled(F.col(doc_id), mix).alias("order")))
     n = rows.count()
     sources = cut(source_targets(rows, mix))
     few = sources.count() <= BROADCAST_SOURCES
     sources = sources.withColumnRenamed("source", "of")
-    rows = rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("of")))
+    places = rows.groupBy("source", "order", "doc_id").agg(F.sum("size").alias("size"))
+    places = places.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     buckets = F.greatest(F.lit(1), F.floor(F.col("source_rows") / mix.bucket_rows))
-    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    places = places.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)))
+    sums = places.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rangeBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("inside", inside).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    places = places.withColumn("inside", inside).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     reached = (F.col("earlier") + F.col("inside")).alias("reached")
-    return rows.select("doc_id", "source", "size", "source_size", "target", reached), n
+    places = places.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of"), "source_size", "target", reached)
+    rows = rows.join(places, F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "reached"), n
 
 
 def finish(epoch: int) -> Column:
