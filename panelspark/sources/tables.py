@@ -281,13 +281,22 @@ def date_styles(styles: bytes) -> set[int]:
     return {i for i, f in enumerate(formats) if is_date(f, own)}
 
 
+def _string(x) -> str:
+    """The text of a string, of one piece or of runs; how it is read aloud is not part of it."""
+    return "".join(t.text or "" for part in x for t in ([part] if part.tag == f"{_MAIN}t" else part.findall(f"{_MAIN}t") if part.tag == f"{_MAIN}r" else []))
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     """The cells of a workbook's first sheet as text, row by row, blank rows included; the format bounds a sheet to 1,048,576 rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+            with book.open("xl/sharedStrings.xml") as held:
+                for _, x in ElementTree.iterparse(held):
+                    if x.tag == f"{_MAIN}si":
+                        shared.append(_string(x))
+                        x.clear()
         workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
         first = next(workbook.iter(f"{_MAIN}sheet")).get(_LINK)
         dates = date_styles(book.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
@@ -316,7 +325,7 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                     if cell.get("t") == "s" and text is not None:
                         text = shared[int(text)]
                     elif cell.get("t") == "inlineStr":
-                        text = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+                        text = "".join(map(_string, cell.iter(f"{_MAIN}is")))
                     elif cell.get("t") == "b":
                         text = {"1": "True", "0": "False"}.get(text)
                     elif cell.get("t", "n") == "n" and text is not None and int(cell.get("s", "0")) in dates:

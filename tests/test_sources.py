@@ -166,3 +166,23 @@ def test_workbooks_from_tasks(spark, tmp_path):
     assert not list((tmp_path / "bad").glob("part-*"))
     with pytest.raises(Exception, match="mount"):
         documents.write_workbooks(df, "hdfs://x/y", "s")
+
+
+def test_shared_strings_of_runs(spark, tmp_path):
+    """Strings of one piece and of runs; readings are left out."""
+    space = "http://schemas.openxmlformats.org"
+    main = f'xmlns="{space}/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst {main}><si><t>city</t></si><si><r><t>東</t></r><r><rPr/><t>京</t></r><rPh sb="0" eb="2"><t>トウキョウ</t></rPh></si><si/></sst>')
+        cells = "".join(f'<row r="{i + 1}"><c t="s"><v>{i}</v></c></row>' for i in range(2))
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData>{cells}<row r="3"><c t="inlineStr"><is><r><t>서</t></r><r><t>울</t></r></is></c></row></sheetData></worksheet>')
+    assert [r.city for r in tables.load_table(spark, str(tmp_path / "s.xlsx")).collect()] == ["東京", "서울"]
+
+
+def test_program_is_written_in_order(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"LINE {i}.") for i in (3, 1, 2)], "ord long, line string").repartition(3)
+    codebook.write_program(lines, str(tmp_path / "program"))
+    (part,) = (tmp_path / "program").glob("part-*")
+    assert part.read_text() == "LINE 1.\nLINE 2.\nLINE 3.\n"
