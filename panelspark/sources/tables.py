@@ -190,11 +190,11 @@ def _records(lines: DataFrame, charset: str) -> DataFrame:
 
 
 def _without_headers(rows: DataFrame) -> tuple[list[list[str | None]], DataFrame]:
-    """Different first records of the files, two at most, and rows without them."""
+    """Different first records of the files, two at most, and rows without them, in the order of the files."""
     first = cut(rows.groupBy("file").agg(F.min(F.struct("block", "place")).alias("first"), F.min_by("cells", F.struct("block", "place")).alias("names")))
     headers = [list(r["names"]) for r in first.select("names").distinct().limit(2).collect()]
     rest = rows.join(first.select("file", "first"), "file").filter(F.struct("block", "place") != F.col("first"))
-    return headers, rest.select("cells")
+    return headers, rest.orderBy("file", "block", "place").select("cells")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
