@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 20_000
 
 
-def keyed_join(rows: DataFrame, keyed: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+def keyed_join(rows: DataFrame, keyed: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
     """rows joined with a checkpoint or table of few short columns that has one row for each key.
 
     keyed is counted: up to BROADCAST_ROWS it is broadcast, so that a hot key of

@@ -24,8 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     A pair is (larger node u, smaller node v). A large star moves v to the least
     neighbour of v, a small star links the smaller neighbours of u with the least
     of them; about log(n) rounds leave stars. Least neighbours are summed before
-    the shuffle. Beyond BROADCAST_PAIRS pairs all that have one smaller node v meet
-    in one task of a round's first join, 16 bytes a pair, streamed and not held.
+    the shuffle; beyond BROADCAST_PAIRS pairs they are cut, so that both sides of a
+    join have a shuffle of their own and Spark splits the pairs of a hot node.
     Only two numbers a round reach the driver. Null ends and loops are dropped;
     no edges give no rows.
     """
@@ -34,12 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = _digest(pairs), None
     while now != before:
         parts = 1 + now[0] // TASK_PAIRS  # pairs never get more; few tasks write few shuffle files
-        sent = F.broadcast if now[0] <= BROADCAST_PAIRS else lambda df: df
+        sent = F.broadcast if now[0] <= BROADCAST_PAIRS else cut
         pairs = pairs.coalesce(parts)
         large = pairs.join(sent(least_below(pairs)), F.col("v") == F.col("x"), "left")
         large = cut(large.select("u", F.coalesce("m", "v").alias("v")).coalesce(parts))
-        least = least_below(large)
-        small = large.join(sent(least), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = sent(least_below(large))
+        small = large.join(least, F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct().coalesce(parts))
         now, before = _digest(pairs), now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -7,10 +7,12 @@ circularly shifted by k. Bands of coordinates give candidate buckets.
 Documents with one shingle set are one class from the start. Candidate groups,
 the components of shared buckets, are small as a rule: each is verified whole,
 all pairs, in one place. A group over `group_rows` is dealt out: its buckets are
-cut into blocks of bounded size and verified block by block; then every bucket
-that still holds several components compares the members outside its largest
-component with all its members, again block by block, so that no pair of a
-bucket is left out however large the bucket is.
+cut into blocks of bounded size and verified block by block. In buckets that
+still hold several components, the members outside of the largest one are
+compared with all that they can still be linked with: those that share one of
+their rarest shingles, as many as a link leaves room for (an exact prefix
+filter), again block by block, so no linked pair of a bucket is left out however
+large the bucket is.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import graph
@@ -259,6 +261,79 @@ def block_links(rows: DataFrame, s: NearSettings) -> DataFrame:
     return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "asked").mapInArrow(run, "a long, b long")
 
 
+def rare_shingles(there: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
+    """there (cls, root, asker), sets (cls, shingles) -> (key, cls, root, asker, size, here, indexed): each class's rarest shingles, as far as others have them.
+
+    Shingles are in order of how many of these classes have them, the rarest
+    first. Linked sets x and y, x no larger, share at least percent / (100 + percent)
+    of their sizes' sum, so the rarest one they share has at least 2 * percent / (100 + percent)
+    of x's shingles from it on (indexed) and at least percent / 100 of y's. Two
+    sets that meet in no shingle that one of them has indexed are not linked.
+    Shingles of a single class come first in the order and need no row. here is
+    the number of the class's shingles from this one on.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for cls, root, asker, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(held, np.int64)
+                for at in range(0, len(tokens), 65_536):
+                    part = tokens[at : at + 65_536]
+                    same = (pa.repeat(pa.scalar(v, t), len(part)) for v, t in ((cls, pa.int64()), (root, pa.int64()), (asker, pa.bool_()), (len(tokens), pa.int64())))
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *same], ["key", "cls", "root", "asker", "size"])
+
+    every = there.join(sets, "cls").select("cls", "root", "asker", "shingles").mapInArrow(run, "key long, cls long, root long, asker boolean, size long")
+    counts = every.groupBy("key").agg(F.count("cls").alias("held"), F.max("asker").alias("some")).filter("held > 1")
+    every = keyed_join(every, cut(counts), "key")
+    here = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("held"), F.desc("key")))
+    ranked = every.withColumn("here", here).filter(F.col("here") * 100 >= F.col("size") * s.percent).filter("some")
+    indexed = F.col("here") * (100 + s.percent) >= F.col("size") * (2 * s.percent)
+    return ranked.select("key", "cls", "root", "asker", "size", "here", indexed.alias("indexed"))
+
+
+def dealt_by_shingles(rare: DataFrame, s: NearSettings) -> DataFrame:
+    """Rows of rare_shingles -> (key, block, asked, cls, root) for block_links.
+
+    Askers meet the sets no larger that have a shingle indexed, and askers that
+    have it indexed meet the others' sets no smaller, in blocks of about group_rows.
+    A set is asked only if of its size (to about 5 percent) it can be linked with the
+    asker when they share but the `here` shingles from this one on.
+    """
+    p, size, here = s.percent, F.col("size"), F.col("here")
+    most = F.floor(here * (100 + p) / p) - size
+    asker, indexed = F.col("asker"), F.col("indexed")
+    smaller = _dealt(rare, indexed, asker, F.ceil(size * p / 100), F.least(size, most), 1, s)
+    return smaller.unionByName(_dealt(rare, ~asker, asker & indexed, size, F.least(F.floor(size * 100 / p), most), -1, s))
+
+
+def _dealt(rare: DataFrame, held: Column, asks: Column, low: Column, high: Column, sign: int, s: NearSettings) -> DataFrame:
+    """Members where held, in blocks numbered from 1 with the sign, and the rows that ask those of sizes low to high.
+
+    Where the same members hold several shingles, a class asks them once.
+    """
+
+    def bin_of(size: Column) -> Column:
+        return F.floor(F.log(size) * 20)
+
+    members = rare.filter(held).select("key", "cls", "root", bin_of(F.col("size")).alias("bin"))
+    hashes = [F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("h2")]
+    facts = cut(members.groupBy("key", "bin").agg(F.count("cls").alias("n"), *hashes))
+    alike = cut(facts.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "bin")).alias("one")))
+    facts = cut(keyed_join(facts, alike, ["n", "h1", "h2"]).select("key", "bin", "n", F.xxhash64("one", F.lit(sign)).alias("group"), (F.struct("key", "bin") == F.col("one")).alias("first")))
+    many = F.ceil(F.col("n") / s.group_rows)
+    bins = F.explode(F.sequence(bin_of(low), bin_of(high))).alias("bin")
+    asking = keyed_join(rare.filter(asks & (low <= high)).select("key", "cls", "root", bins), facts, ["key", "bin"])
+    asking = cut(asking.select("group", "n", "cls", "root").distinct())
+    asked = cut(asking.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+    members = keyed_join(members, facts.filter("first"), ["key", "bin"])
+    members = keyed_join(members, asked, "group").filter("low <> high OR low <> root")
+    members = members.select(F.col("group").alias("key"), (sign * (1 + F.pmod(F.xxhash64("cls", "group"), many))).alias("block"), F.lit(False).alias("asked"), "cls", "root")
+    blocks = F.explode(F.sequence(F.lit(1).cast("long"), many)).alias("at")
+    asking = asking.select("group", "cls", "root", blocks).select(F.col("group").alias("key"), (sign * F.col("at")).alias("block"), F.lit(True).alias("asked"), "cls", "root")
+    met = cut(members.select("key", "block").distinct())
+    return members.unionByName(keyed_join(asking, met, ["key", "block"]))
+
+
 def hot_components(buckets: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
     """buckets (key, n, cls) of large groups, with their classes' sets -> (node, root)."""
     block = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("n") / s.group_rows)).alias("block")
@@ -267,15 +342,16 @@ def hot_components(buckets: DataFrame, sets: DataFrame, s: NearSettings) -> Data
     edges = cut(block_links(first, s).distinct())
     found = graph.components(edges)
     marked = members.join(found, members["cls"] == found["node"], "left")
-    marked = cut(marked.select("key", "n", "cls", "block", F.coalesce("root", "cls").alias("root")))
+    marked = cut(marked.select("key", "cls", F.coalesce("root", "cls").alias("root")))
     counts = marked.groupBy("key", "root").count()
     largest = counts.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("root").alias("roots"))
     open_keys = cut(largest.filter("roots > 1").select("key", "main"))
-    left = cut(keyed_join(marked, open_keys, "key"))
-    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / s.group_rows) - 1)).alias("block")
-    asking = left.filter("root <> main").select("key", "cls", "root", blocks, F.lit(True).alias("asked"))
-    there = left.select("key", "cls", "root", "block", F.lit(False).alias("asked"))
-    second = block_links(there.unionByName(asking).join(sets, "cls"), s).distinct()
+    left = keyed_join(marked, open_keys, "key")
+    there = cut(left.groupBy("cls", "root").agg(F.max(F.col("root") != F.col("main")).alias("asker")))
+    if not there.take(1):
+        return found
+    dealt = cut(dealt_by_shingles(cut(rare_shingles(there, sets, s)), s))
+    second = block_links(dealt.join(sets, "cls"), s).distinct()
     return graph.components(edges.unionByName(second))
 
 

@@ -80,6 +80,46 @@ def test_test_data_equal_brute_force(spark, words):
     check(spark, texts, minhash.NearSettings(words=words))
 
 
+def test_open_members_of_a_large_bucket(spark, monkeypatch):
+    """Some 12,000 texts that are linked with each other and 3,000 that share bands with them, linked with none: few rows are dealt."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(104)]
+    texts, near = [" ".join(base)], 12_000
+    for k in range(15_000):
+        words = list(base)
+        for at in rng.sample(range(4, 100, 5), 1 if k < near else 3):  # five shingles each
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    dealt, askers = [], []
+    real, rare = minhash.dealt_by_shingles, minhash.rare_shingles
+    monkeypatch.setattr(minhash, "rare_shingles", lambda there, *a: (askers.append(there.filter("asker").count()), rare(there, *a))[1])
+    monkeypatch.setattr(minhash, "dealt_by_shingles", lambda *a: (out := minhash.cut(real(*a)), dealt.append(out.count()))[0])
+    found = minhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i <= near else i for i in range(len(texts))}
+    assert askers[0] > 2000 and dealt[0] < len(texts)
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_open_members_equal_brute_force(spark, monkeypatch, percent):
+    """Sets of many sizes around the bound, compared by their rare shingles alone."""
+    rng = random.Random(percent)
+    s = minhash.NearSettings(words=1, percent=percent, group_rows=4)
+    base = [f"w{i}" for i in range(60)]
+    sets = {}
+    for k in range(250):
+        words = rng.sample(base, rng.randrange(30, 60)) + [f"x{rng.randrange(40)}" for _ in range(rng.randrange(6))]
+        held = minhash.shingles(" ".join(words).encode(), 1)
+        sets[minhash.set_class(held)] = held
+    askers = {c for c in sets if rng.random() < 0.5}
+    there = spark.createDataFrame([(c, c, c in askers) for c in sets], "cls long, root long, asker boolean")
+    table = spark.createDataFrame([(c, x.tobytes()) for c, x in sets.items()], "cls long, shingles binary")
+    dealt = minhash.dealt_by_shingles(minhash.rare_shingles(there, table, s), s)
+    links = {tuple(sorted(e)) for e in minhash.block_links(dealt.join(table, "cls"), s).collect()}
+    plain = {c: set(x.tolist()) for c, x in sets.items()}
+    want = {(a, b) for a in plain for b in plain if a < b and (a in askers or b in askers) and 100 * len(plain[a] & plain[b]) >= percent * len(plain[a] | plain[b])}
+    assert links == want and len(want) > 100
+
+
 def test_keep_one_and_corner_rows(spark):
     schema = "doc_id long, text string, cls string"
     rows = [(5, "a b c d e f", "p"), (2, "a b c d e f", "q"), (2, "a b c d e f", "q"), (None, "a b c d e f", "r"), (None, "k l m n o p", "s"), (9, None, "t")]
