@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import graph
@@ -261,34 +261,81 @@ def block_links(rows: DataFrame, s: NearSettings) -> DataFrame:
     return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "asked").mapInArrow(run, "a long, b long")
 
 
+#: Counters of shingles, and the parts that they are summed in: 4 MB in all, whatever the input.
+SLOTS, PARTS = 1 << 19, 64
+
+
+def slots_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens * SCATTER >> U64(64 - 19)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """sets (shingles) -> how many sets' shingles fall on each of SLOTS counters; each task sends its counters that are not 0."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for held in batch.column(0).to_pylist():
+                np.add.at(total, slots_of(np.frombuffer(held, U64)), 1)
+        for part, counts in enumerate(np.split(total, PARTS)):
+            at = np.flatnonzero(counts)
+            if len(at):
+                yield counters(part, at, counts[at])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals.setdefault(part, np.zeros(SLOTS // PARTS, np.int64))[np.frombuffer(at, np.int64)] += np.frombuffer(counts, np.int64)
+        for part, counts in totals.items():
+            yield counters(part, np.arange(len(counts)), counts)
+
+    def counters(part: int, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([part]), pa.array([at.tobytes()]), pa.array([counts.tobytes()])]
+        return pa.RecordBatch.from_arrays(columns, ["part", "at", "counts"])
+
+    schema = "part long, at binary, counts binary"
+    summed = sets.select("shingles").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    out = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    for row in summed.select("part", "counts").collect():  # PARTS rows at most
+        out[row.part] = np.frombuffer(row.counts, np.int64)
+    return out.ravel()
+
+
 def rare_shingles(there: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
     """there (cls, root, asker), sets (cls, shingles) -> (key, cls, root, asker, size, here, indexed): each class's rarest shingles, as far as others have them.
 
-    Shingles are in order of how many of these classes have them, the rarest
+    Shingles are in order of their counters over these classes, the rarest
     first. Linked sets x and y, x no larger, share at least percent / (100 + percent)
     of their sizes' sum, so the rarest one they share has at least 2 * percent / (100 + percent)
     of x's shingles from it on (indexed) and at least percent / 100 of y's. Two
-    sets that meet in no shingle that one of them has indexed are not linked.
-    Shingles of a single class come first in the order and need no row. here is
-    the number of the class's shingles from this one on.
+    sets that meet in no shingle that one of them has indexed are not linked, in
+    whatever order, so counters that several shingles share cost work alone.
+    here is the number of the class's shingles from this one on. Shingles of a
+    counter of 1, of a single class or of no asker give no rows in the end.
     """
+    held = keyed_join(sets, there, "cls").select("cls", "root", "asker", "shingles")
+    counts = there.sparkSession.sparkContext.broadcast(shingle_counts(held))
 
     def run(batches):
         for batch in batches:
-            for cls, root, asker, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = np.frombuffer(held, np.int64)
-                for at in range(0, len(tokens), 65_536):
-                    part = tokens[at : at + 65_536]
-                    same = (pa.repeat(pa.scalar(v, t), len(part)) for v, t in ((cls, pa.int64()), (root, pa.int64()), (asker, pa.bool_()), (len(tokens), pa.int64())))
-                    yield pa.RecordBatch.from_arrays([pa.array(part), *same], ["key", "cls", "root", "asker", "size"])
-
-    every = there.join(sets, "cls").select("cls", "root", "asker", "shingles").mapInArrow(run, "key long, cls long, root long, asker boolean, size long")
-    counts = every.groupBy("key").agg(F.count("cls").alias("held"), F.max("asker").alias("some")).filter("held > 1")
-    every = keyed_join(every, cut(counts), "key")
-    here = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("held"), F.desc("key")))
-    ranked = every.withColumn("here", here).filter(F.col("here") * 100 >= F.col("size") * s.percent).filter("some")
-    indexed = F.col("here") * (100 + s.percent) >= F.col("size") * (2 * s.percent)
-    return ranked.select("key", "cls", "root", "asker", "size", "here", indexed.alias("indexed"))
+            for cls, root, asker, shingle_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(shingle_bytes, U64)
+                n = len(tokens)
+                of = counts.value[slots_of(tokens)]
+                order = np.lexsort((tokens, of))[: n - (n * s.percent + 99) // 100 + 1]
+                here = n - np.arange(len(order))
+                order, here = order[of[order] > 1], here[of[order] > 1]
+                for at in range(0, len(order), 65_536):
+                    part, left = order[at : at + 65_536], here[at : at + 65_536]
+                    same = [pa.repeat(v, len(part)) for v in (pa.scalar(cls, pa.int64()), pa.scalar(root, pa.int64()), pa.scalar(asker), pa.scalar(n, pa.int64()))]
+                    indexed = pa.array(left * (100 + s.percent) >= n * 2 * s.percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), *same, pa.array(left), indexed], names)
+
+    names = ["key", "cls", "root", "asker", "size", "here", "indexed"]
+    rare = cut(held.mapInArrow(run, "key long, cls long, root long, asker boolean, size long, here long, indexed boolean"))
+    met = rare.groupBy("key").agg(F.count("cls").alias("n"), F.max("asker").alias("some")).filter("n > 1 AND some").select("key")
+    return keyed_join(rare, cut(met), "key")
 
 
 def dealt_by_shingles(rare: DataFrame, s: NearSettings) -> DataFrame:
