@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.shared import cut, fresh_path  # noqa: F401  the operators import them from here
+from panelspark.shared import cut, fresh_path, written  # noqa: F401  the operators import them from here
 
 #: Most rows and bytes of an Arrow batch; texts can be long, so batches are kept short.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -20,13 +20,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder as Parquet and read again, so that later steps read single columns."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of at most some 50 bytes that are broadcast, so 1 MB at most: the driver builds and holds them.
 BROADCAST_ROWS = 20_000
 

@@ -41,3 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read again, so that later steps read single columns.
+
+    A checkpoint keeps the estimate of its plan's size; this table has the size of its files. In a loop
+    with joins the estimates multiply from step to step, until the numbers alone fill the driver.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

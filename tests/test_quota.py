@@ -142,3 +142,17 @@ def test_rounds_are_few(spark, monkeypatch):
     monkeypatch.setattr(quota, "_round", lambda *a: ran.append(1) or real(*a))
     assert run(spark, people, main, subs, front_rows=800) == greedy(people, main, subs)
     assert len(ran) <= 12
+
+
+def test_estimates_do_not_multiply_from_step_to_step(spark):
+    """A plan's estimated size is a number that the driver holds; over checkpoints in a loop with joins it grew by a power in each round."""
+    rng = random.Random(7)
+    people = [(i, rng.random(), rng.choice("abc"), [[rng.choice("pqrstu")], [rng.choice("xyz")]]) for i in range(600)]
+    main = {k: 70.0 for k in "abc"}
+    subs = {(0, k): 20.0 + 9 * i for i, k in enumerate("pqrstu")} | {(1, k): 50.0 + 7 * i for i, k in enumerate("xyz")}
+    rows = quota.allocate(
+        spark.createDataFrame(people, PEOPLE), spark.createDataFrame(list(main.items()), "m_key string, target double"),
+        spark.createDataFrame([(j, k, t) for (j, k), t in subs.items()], "sub_id int, key string, target double"), quota.Starts(deviation=0.0, front_rows=40, band_rows=200),
+    )
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 50
+    assert [r.respondent_id for r in rows.orderBy("rank").collect()] == greedy(people, main, subs)
