@@ -6,8 +6,9 @@ Spark makes the Word files and the sheets from the driver tables, so the work gr
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,7 +42,7 @@ def _surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     name, segment = F.col("c_name"), F.col("c_mktsegment")
     n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    rows = _table(spark, sf_dir, "customer").withColumn("n", n.cast("string"))
+    rows = _table(spark, sf_dir, "customer").repartition("c_nationkey").withColumn("n", n.cast("string"))
     listed = F.col("c_nationkey") % 2 == 0
     ask = lambda *t: F.when(listed, _para(*t, num=1)).otherwise(_para("Q", F.col("n"), ". ", *t))
     pick = lambda i, t: F.when(listed, _para(t, num=1, level=1)).otherwise(_para(f"({i}) ", t))
@@ -53,7 +54,6 @@ def _surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
         (ask("Rank the top 2 of ", name, "."), pick(1, "red"), pick(2, segment), pick(3, "blue")),
     )
     xml = F.element_at(F.array(*[F.concat(*s) for s in shapes]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    bodies = rows.groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", xml.alias("xml")))).alias("all"))
     lists = (
         f'<w:numbering {_WORD_SPACE}><w:abstractNum w:abstractNumId="0">'
         '<w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="Q%1."/></w:lvl>'
@@ -61,19 +61,23 @@ def _surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
         '</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
     )
 
-    @F.pandas_udf("binary")
-    def zipped(xml: pd.Series) -> pd.Series:
-        def one(body: str) -> bytes:
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Files of a task's nations, one after the other; a nation's rows follow each other, and its file is packed as they come."""
+        rows = (r for batch in batches for r in zip(batch["path"], batch["xml"], strict=True))
+        for path, own in itertools.groupby(rows, key=lambda r: r[0]):
             held = io.BytesIO()
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as book:
-                book.writestr("word/document.xml", f"<w:document {_WORD_SPACE}><w:body>{body}</w:body></w:document>")
+                with book.open("word/document.xml", "w", force_zip64=True) as out:
+                    out.write(f"<w:document {_WORD_SPACE}><w:body>".encode())
+                    for _, piece in own:
+                        out.write((piece or "").encode())
+                    out.write(b"</w:body></w:document>")
                 book.writestr("word/numbering.xml", lists)
-            return held.getvalue()
+            yield pd.DataFrame({"path": [path], "content": [held.getvalue()]})
 
-        return xml.map(one)
-
-    path = F.concat(F.lit("N"), F.col("k").cast("string"))
-    return bodies.select(path.alias("path"), zipped(F.array_join(F.transform("all", lambda x: x["xml"]), "")).alias("content"))
+    path = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
+    pieces = rows.select("c_nationkey", "c_custkey", path.alias("path"), xml.alias("xml")).sortWithinPartitions("c_nationkey", "c_custkey")
+    return pieces.select("path", "xml").mapInPandas(zipped, "path string, content binary")
 
 
 def q30_questionnaire_codebook(spark, sf_dir):

@@ -1,12 +1,14 @@
 """Questionnaires in Word files as rows: paragraphs, table cells and the numbers that Word prints.
 
-A file's XML is read in one task; what its lists print is settled for all files
-at once by running sums over the paragraphs of each list.
+A file's XML is read in one task, piece by piece, so a worker holds the packed
+file and one block of its body; what its lists print is settled for all files at
+once by running sums over the paragraphs of each list.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Levels of a list in the format.
 LEVELS = 9
+#: Paragraphs that a worker hands over at once.
+PIECE_ROWS = 1_000
 #: Korean letters that lists count with, fixed values.
 GANADA, CHOSUNG = "가나다라마바사아자차카타파하", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ"
 _LEVEL = "start int, override int, format string, text string, restart int, legal boolean"
@@ -91,13 +95,31 @@ def _said(p) -> str:
     return "".join(out).strip()
 
 
+def _blocks(source) -> Iterator:
+    """The parts of a document in their order: each block of its body as soon as it is read, and let go afterwards; other parts whole."""
+    open_: list = []
+    for event, element in ElementTree.iterparse(source, ("start", "end")):
+        if event == "start":
+            open_.append(element)
+            continue
+        open_.pop()
+        inside = len(open_) == 2 and open_[1].tag == f"{_W}body"
+        if inside or len(open_) == 1 and element.tag != f"{_W}body":
+            yield element
+            open_[-1].remove(element)
+
+
 def word_rows(content: bytes) -> Iterator[dict]:
     """A file's paragraphs in their order, those without text too: the innermost table's number, row and column, the text, the list and its level."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
-        body = ElementTree.fromstring(book.read("word/document.xml"))
         lists = list_levels(book.read("word/numbering.xml")) if "word/numbering.xml" in names else {}
         styles = style_lists(book.read("word/styles.xml")) if "word/styles.xml" in names else {}
+        with book.open("word/document.xml") as source:
+            yield from _paragraphs(_blocks(source), lists, styles)
+
+
+def _paragraphs(blocks: Iterator, lists: dict, styles: dict) -> Iterator[dict]:
     tables = 0
 
     def walk(element, cell: tuple) -> Iterator[tuple]:
@@ -118,7 +140,8 @@ def word_rows(content: bytes) -> Iterator[dict]:
             elif x.tag not in (f"{_W}tcPr", f"{_W}sectPr", f"{_W}del"):
                 yield from walk(x, cell)
 
-    for place, (p, (tbl, row, col)) in enumerate(walk(body, (None, None, None))):
+    found = (pair for block in blocks for pair in walk((block,), (None, None, None)))
+    for place, (p, (tbl, row, col)) in enumerate(found):
         props = p.find(f"{_W}pPr")
         own = None if props is None else props.find(f"{_W}numPr")
         style = styles.get(_value(props, "pStyle"), (None, None))
@@ -189,11 +212,14 @@ def paragraph_rows(files: DataFrame) -> DataFrame:
     pos counts a file's paragraphs with text; null contents have no rows.
     """
 
+    names = [c.split()[0] for c in _ROW.split(", ")[:10]]
+
     def rows(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                if content is not None:
-                    yield pd.DataFrame([{"path": name, **r} for r in word_rows(content)], columns=[c.split()[0] for c in _ROW.split(", ")[:10]], dtype=object)
+                found = iter(()) if content is None else word_rows(content)
+                while piece := [{"path": name, **r} for r in itertools.islice(found, PIECE_ROWS)]:
+                    yield pd.DataFrame(piece, columns=names, dtype=object)
 
     numbered = with_numbers(files.select("path", "content").mapInPandas(rows, _ROW)).filter("text <> ''")
     pos = (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long")

@@ -1,6 +1,7 @@
 """Word's list numbers, questions and codebooks from Word files made by hand."""
 
 import io
+import tracemalloc
 import zipfile
 
 import pytest
@@ -133,3 +134,20 @@ def test_text_boxes_deleted_text_and_nested_tables(spark):
     nested = f'<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{para("left")}{table(["deep"])}</w:tc><w:tc>{para("right")}</w:tc></w:tr></w:tbl>'
     rows = rows_of(spark, docx(box + nested)).orderBy("pos").collect()
     assert [(r.text, r.tbl, r.row, r.col) for r in rows] == [("around", None, None, None), ("inside", None, None, None), ("left", 0, 0, 0), ("deep", 1, 0, 0), ("right", 0, 0, 2)]
+
+
+def test_a_long_file_is_read_in_pieces():
+    """A file of 60,000 paragraphs: the first rows come before the rest is parsed, and no more than a part of its text is held."""
+    content = docx(para("Q1. a") + table(["deep"]) + f"<w:sdt>{para('inside')}</w:sdt>" + para("Is this so? " * 8) * 60_000 + "<w:sectPr/>")
+    tracemalloc.start()
+    rows = word.word_rows(content)
+    assert [next(rows)["text"] for _ in range(3)] == ["Q1. a", "deep", "inside"]
+    count = sum(1 for _ in rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 60_000 and peak < 4_000_000
+
+
+def test_a_task_hands_over_pieces(spark):
+    rows = rows_of(spark, docx(para("x", 5) * 2_500, OUTLINE + NUM), docx("")).orderBy("pos").collect()
+    assert [(r.pos, r.number, r.label) for r in rows] == [(i, i + 1, f"{i + 1}.") for i in range(2_500)]
