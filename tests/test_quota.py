@@ -156,3 +156,16 @@ def test_estimates_do_not_multiply_from_step_to_step(spark):
     )
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 50
     assert [r.respondent_id for r in rows.orderBy("rank").collect()] == greedy(people, main, subs)
+
+
+def test_shortfall_of_an_allocation_in_many_steps(spark):
+    rng = random.Random(8)
+    people = [(i, rng.random(), rng.choice("ab"), [[rng.choice("pqrstu")]]) for i in range(400)]
+    main, subs = {"a": 60.0, "b": 90.5}, {(0, k): 8.0 + 6 * i for i, k in enumerate("pqrstu")}
+    frames_ = spark.createDataFrame(people, PEOPLE), spark.createDataFrame(list(main.items()), "m_key string, target double"), spark.createDataFrame([(j, k, t) for (j, k), t in subs.items()], "sub_id int, key string, target double")
+    chosen = quota.allocate(*frames_, quota.Starts(deviation=0.0, front_rows=24))
+    short = quota.shortfall(chosen.join(frames_[0].select("respondent_id", "m_key"), "respondent_id"), frames_[1])
+    assert short._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 256
+    keys = {p[0]: p[2] for p in people}
+    filled = [keys[i] for i in greedy(people, main, subs)]
+    assert {r.m_key: (r.wanted, r.filled) for r in short.collect()} == {k: (math.ceil(t), filled.count(k)) for k, t in main.items()}
