@@ -4,19 +4,20 @@ The greedy rule: respondents come in descending order of score; one is accepted
 if the main quota of its key has room and no known sub-quota key of it is used
 up; then each of them loses one for every time the respondent has the key. With
 a main quota alone this is a rank within each key (`allocate_main`). With
-sub-quotas `allocate` settles it in steps, whatever the number of respondents.
-A front step takes the first few thousand undecided ones of a start through the
-rule as it stands, and drops everyone behind them who meets a quota that is now
-used up. Where that drops few, a round over all undecided ones follows: whoever
-finds room everywhere, even if all undecided ones ahead are accepted, is in;
-whoever finds a quota used up by accepted ones ahead is out. The result is that
-of the rule itself.
+sub-quotas `allocate` looks for the place in the order at which each quota is used up, since
+a respondent is accepted if no quota of theirs is used up ahead. If no quota ever
+were, each would be used up too early; from places that are too early follow ones
+that are too late, and from these again early ones, until both agree: from the
+first place on, each round settles at least the next one. Respondents with equal
+keys are a profile, and of a profile only the first can be accepted, as many as
+its least quota has room for. The result is that of the rule itself.
 """
 
 from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,12 @@ from panelspark.shared import cut, written
 COLUMNS = ("qt1", "qt2", "qt3", "target")
 #: Quota tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Used-up cells of a start that a front step looks for in everyone's cells; those beyond are met by rounds or later steps.
-FULL_CELLS = 1_000
+#: Profiles of which at most so many can be accepted keep that many rows of a start.
+HEAD_ROWS = 1_000
+#: Chunks of a band of the order by which a round counts.
+CHUNKS = 40
+#: A place behind all others.
+NEVER = (1 << 63) - 1
 
 
 def normalize_quota(sheet: DataFrame, fill_down: bool = False, order: str | None = None, strict: bool = False) -> DataFrame:
@@ -117,9 +122,8 @@ class Starts:
 
     threshold: accepted respondents that are enough. wave: starts that run at
     once before it is looked at. band_rows: respondents of a part of the order that
-    is one task. front_rows: rows, a row being a respondent's meeting with a quota,
-    that go by the rule itself in a front step of a start, but for the last part of
-    the order among them, an eighth as many respondents; 0 for rounds alone.
+    is one task. front_rows: where no start has more rows, a row being a respondent's
+    meeting with a quota, each goes by the rule itself, in a task; 0 for rounds alone.
     """
 
     count: int = 1
@@ -132,9 +136,13 @@ class Starts:
     front_rows: int = 20_000
 
 
+def _begun(df: DataFrame, starts: Starts) -> DataFrame:
+    return df.sparkSession.range(starts.first, starts.first + max(0, starts.count)).select(F.col("id").cast("int").alias("start_id"))
+
+
 def start_orders(people: DataFrame, starts: Starts, score: str, ident: str, *more: str) -> DataFrame:
     """Rows (start_id, respondent_id, noisy) and the columns `more`: everyone in every start, noisy rounded to 9 decimals; a null score counts as NaN."""
-    begun = people.sparkSession.range(starts.first, starts.first + max(0, starts.count)).select(F.col("id").cast("int").alias("start_id"))
+    begun = _begun(people, starts)
     rows = people.select(F.col(ident).alias("respondent_id"), F.coalesce(F.col(score).cast("double"), F.lit(float("nan"))).alias("_score"), *more)
     rows = rows.crossJoin(F.broadcast(begun) if starts.count <= BROADCAST_ROWS else begun)  # a row per start asked for
     added = noise(starts.seed, F.col("start_id"), F.col("respondent_id"), starts.deviation) if starts.deviation else F.lit(0.0)
@@ -171,77 +179,82 @@ def _placed(orders: DataFrame, part_rows: int) -> DataFrame:
     return ranged.withColumn("pos", inside.cast("long")).join(F.broadcast(sizes), "part").withColumn("pos", F.col("pos") - 1 + F.col("ahead")).drop("part", "ahead")
 
 
-def _ahead(rows: DataFrame, band_rows: int) -> DataFrame:
-    """A row (pos, target, taken, open) per undecided respondent and cell: the weights accepted and undecided ahead in the cell.
+def _profiles(asked: DataFrame, main: DataFrame, subs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (profile, m_key, sub_keys, n, most), and (profile, cells): respondents with the same keys, who meet the same quotas, how many they are and how many of them can be accepted at most."""
+    alike = written(asked.groupBy("m_key", "sub_keys").agg(F.count(F.lit(1)).alias("n")).withColumn("profile", F.monotonically_increasing_id()), "alike")
+    met = cells_of(alike, main, subs, "profile", "m_key", "sub_keys").groupBy(F.col("respondent_id").alias("profile")).agg(F.collect_list(F.struct("cell", "weight", "target")).alias("cells"))
+    most = F.array_min(F.transform("cells", lambda c: F.ceil(c["target"] / c["weight"])))
+    met = written(met.withColumn("most", most).filter("most > 0"), "met")
+    return alike.join(met.select("profile", "most"), "profile"), met.select("profile", "cells")
+
 
-    Weights are summed within bands of the order and over bands first, so that a cell with many respondents
-    is no single task.
+def _heads(people: DataFrame, profiles: DataFrame, starts: Starts) -> DataFrame:
+    """Rows (start_id, respondent_id, noisy, profile) of all who can be accepted: of a profile that few can be accepted of, those alone.
+
+    Accepted ones of a profile are the first of it in a start's order, since the first who is rejected meets a quota
+    that stays used up. Where the bound is over HEAD_ROWS all stay, so that no task sorts a large profile.
     """
-    met = rows.select("start_id", "pos", "state", F.floor(F.col("pos") / band_rows).alias("band"), F.inline("cells"))
-    taken, open_ = F.when(F.col("state") == 1, F.col("weight")).otherwise(0), F.when(F.col("state") == 0, F.col("weight")).otherwise(0)
-    inside = Window.partitionBy("start_id", "cell", "band").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    sums = met.groupBy("start_id", "cell", "band").agg(F.sum(taken).alias("t"), F.sum(open_).alias("o"))
-    before = Window.partitionBy("start_id", "cell").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("start_id", "cell", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_bands") for c in ("t", "o")])
-    met = met.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in (("taken", taken), ("open", open_))]).filter("state = 0")
-    met = met.join(sums, ["start_id", "cell", "band"])
-    return met.select("pos", "target", (F.col("taken") + F.col("t_bands")).alias("taken"), (F.col("open") + F.col("o_bands")).alias("open"))
-
-
-def _round(rows: DataFrame, band_rows: int) -> DataFrame:
-    """rows after one application of the two rules for all, without those who are out."""
-    fits, full = F.col("taken") + F.col("open") < F.col("target"), F.col("taken") >= F.col("target")
-    judged = _ahead(rows, band_rows).groupBy("pos").agg(F.min(fits).alias("fits"), F.max(full).alias("full")).filter("fits OR full")
-    state = F.when(F.col("fits"), 1).otherwise(F.col("state"))
-    return rows.join(judged, "pos", "left").filter(~F.coalesce("full", F.lit(False))).select(*[state.alias(c) if c == "state" else c for c in rows.columns])
-
-
-def _front(rows: DataFrame, front_rows: int) -> DataFrame:
-    """rows after the rule itself over the front of each start, without those who are out or who meet a cell that is used up by then.
-
-    The front is what lies between the start's first undecided respondent and the end of the part of the order
-    with which it has front_rows rows; what is accepted ahead of it is counted for each cell.
+    few = (F.col("most") <= HEAD_ROWS) & (F.col("most") < F.col("n"))
+    keys = profiles.select(F.col("m_key").alias("_key"), F.col("sub_keys").alias("_subs"), "profile", "most", few.alias("few"))
+    of = small(keys)
+    found = people.join(of, F.col("m_key").eqNullSafe(F.col("_key")) & F.col("sub_keys").eqNullSafe(F.col("_subs")))
+    all_, most = keys.agg(F.bool_or(~F.col("few")), F.max(F.when(F.col("few"), F.col("most")))).first()
+    orders = lambda rows: start_orders(rows, starts, "_score", "respondent_id", "profile", "most")
+    parts = [orders(found.filter("NOT few"))] if all_ or most is None else []
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("start_id", "profile").orderBy(F.desc("noisy"), "respondent_id"))
+        # The literal bound lets Spark cut each task's rows before the shuffle.
+        parts.append(orders(found.filter("few")).withColumn("place", place).filter((F.col("place") <= F.lit(most)) & (F.col("place") <= F.col("most"))))
+    return reduce(DataFrame.unionByName, [p.select("start_id", "respondent_id", "noisy", "profile") for p in parts])
+
+
+def _limits(cells: DataFrame, fills: DataFrame | None, starts: Starts) -> DataFrame:
+    """Rows (start_id, profile, asks, last): for each cell of a profile the place up to which its other cells have room, and the place up to which all have, by fills (start_id, cell, fill)."""
+    rows = cells.crossJoin(F.broadcast(_begun(cells, starts))).select("start_id", "profile", F.inline("cells"))
+    rows = rows.withColumn("fill", F.lit(None).cast("long")) if fills is None else rows.join(small(fills), ["start_id", "cell"], "left")
+    rows = rows.groupBy("start_id", "profile").agg(F.collect_list(F.struct("cell", "weight", "target", F.coalesce("fill", F.lit(NEVER)).alias("fill"))).alias("asks"))
+    least = F.array_sort(F.transform("asks", lambda c: c["fill"]))
+    rows = rows.withColumn("last", least[0]).withColumn("next", F.coalesce(F.get(least, F.lit(1)), F.lit(NEVER)))
+    others = lambda c: F.when(c["fill"] == F.col("last"), F.col("next")).otherwise(F.col("last"))
+    return written(rows.select("start_id", "profile", F.transform("asks", lambda c: F.struct(c["cell"].alias("cell"), c["weight"].alias("weight"), c["target"].alias("target"), others(c).alias("limit"))).alias("asks"), "last"), "limits")
+
+
+def _filled(rows: DataFrame, cells: DataFrame, fills: DataFrame | None, starts: Starts) -> DataFrame:
+    """Rows (start_id, cell, fill): where each cell is used up if the others are at `fills`, none if they never are; cells that are never used up have no row.
+
+    Weights are summed within chunks of the order first; the rows of the one chunk in which a cell is used up follow.
     """
-    chunk = F.floor(F.col("pos") / max(1, front_rows // 8))
-    undecided = F.col("state") == 0
-    parts = rows.groupBy("start_id", chunk.alias("chunk")).agg(F.sum(F.size("cells")).alias("n"), F.max(undecided).alias("open"))
-    parts = parts.withColumn("first", F.min(F.when(F.col("open"), F.col("chunk"))).over(Window.partitionBy("start_id"))).filter("chunk >= first")
-    before = Window.partitionBy("start_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("ahead") < front_rows)
-    edges = written(parts.groupBy("start_id").agg(F.min("first").alias("first"), F.max("chunk").alias("last")), "fronts")  # a row per start
-
-    near = rows.join(F.broadcast(edges), "start_id").withColumn("chunk", chunk).filter(F.col("chunk") <= F.col("last"))
-    ahead = near.filter("chunk < first AND state = 1").select("start_id", F.inline("cells")).groupBy("start_id", "cell").agg(F.sum("weight").alias("taken"))
-    front = near.filter("chunk >= first").select("start_id", "pos", "state", F.inline("cells")).join(ahead, ["start_id", "cell"], "left")
-    front = front.select("start_id", "pos", "state", "cell", "weight", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    settled = written(front.groupBy("start_id").applyInPandas(_in_order, "pos long, inside boolean"), "settled")
-
-    rows = rows.join(settled, "pos", "left").filter(F.coalesce("inside", F.lit(True)))
-    rows = rows.withColumn("state", F.when(F.col("inside"), 1).otherwise(F.col("state"))).drop("inside")
-    taken = rows.filter("state = 1").join(F.broadcast(edges), "start_id").filter(chunk <= F.col("last")).select("start_id", F.inline("cells"))
-    full = taken.groupBy("start_id", "cell").agg(F.sum("weight").alias("taken"), F.max("target").alias("target")).filter("taken >= target")
-    full = full.groupBy("start_id").agg(F.slice(F.collect_list("cell"), 1, FULL_CELLS).alias("full"))
-    out = F.arrays_overlap(F.transform("cells", lambda c: c["cell"]), F.col("full"))
-    return rows.join(F.broadcast(full), "start_id", "left").filter((F.col("state") == 1) | ~F.coalesce(out, F.lit(False))).select(*rows.columns)
+    limits = small(_limits(cells, fills, starts).select("start_id", "profile", "asks"))
+    there = lambda r: r.join(limits, ["start_id", "profile"]).select("start_id", "pos", "chunk", F.inline("asks")).filter("pos <= limit")
+    sums = there(rows).groupBy("start_id", "cell", "chunk").agg(F.sum("weight").alias("n"), F.first("target").alias("target"))
+    before = Window.partitionBy("start_id", "cell").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    edges = small(written(sums.filter("ahead < target AND ahead + n >= target").select("start_id", "cell", "chunk", "ahead"), "edges"))
+    near = rows.join(edges.select("start_id", "chunk").distinct(), ["start_id", "chunk"], "left_semi")
+    run = Window.partitionBy("start_id", "cell").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = there(near).join(edges, ["start_id", "cell", "chunk"]).withColumn("taken", F.col("ahead") + F.sum("weight").over(run)).filter("taken >= target")
+    return written(last.groupBy("start_id", "cell").agg(F.min("pos").alias("fill")), "fills")
+
+
+def _round(rows: DataFrame, cells: DataFrame, fills: DataFrame | None, starts: Starts) -> tuple[DataFrame, DataFrame]:
+    """Where each cell is used up at the earliest and at the latest, from fills that are not early (none: never)."""
+    early = _filled(rows, cells, fills, starts)
+    return early, _filled(rows, cells, early, starts)
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rule as it stands over the front of one start: which of the undecided are inside. taken: accepted in the cell ahead of the front."""
+    """The rule as it stands over one start: the places of the accepted."""
     rows = rows.sort_values("pos", kind="stable")
-    added: dict[str, int] = {}
-    places, inside = [], []
-    columns = zip(*(rows[c].tolist() for c in ("pos", "state", "cell", "weight", "target", "taken")), strict=True)
+    taken: dict[str, int] = {}
+    places = []
+    columns = zip(*(rows[c].tolist() for c in ("pos", "cell", "weight", "target")), strict=True)
     for pos, met in itertools.groupby(columns, key=lambda r: r[0]):
         met = list(met)
-        undecided = met[0][1] == 0
-        fits = not undecided or all(taken + added.get(cell, 0) < target for _, _, cell, _, target, taken in met)
-        if fits:
-            for _, _, cell, weight, _, _ in met:
-                added[cell] = added.get(cell, 0) + weight
-        if undecided:
+        if all(taken.get(cell, 0) < target for _, cell, _, target in met):
+            for _, cell, weight, _ in met:
+                taken[cell] = taken.get(cell, 0) + weight
             places.append(pos)
-            inside.append(fits)
-    return pd.DataFrame({"pos": pd.Series(places, dtype="int64"), "inside": pd.Series(inside, dtype="bool")})
+    return pd.DataFrame({"pos": pd.Series(places, dtype="int64")})
 
 
 def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts = Starts(), ident: str = "respondent_id", key: str = "m_key", score: str = "score", sub_keys: str = "sub_keys") -> DataFrame:
@@ -250,24 +263,29 @@ def allocate(people: DataFrame, main: DataFrame, subs: DataFrame, starts: Starts
     people: an id, a key, a score, and for each sub-quota the list of the
     respondent's keys (null: no constraint). main: (m_key, target). subs:
     (sub_id, key, target). Ties in the order go to the lower id; NaN or null
-    scores come first. Ids must differ. A step is one table of the accepted and
-    undecided respondents and one number that reaches the driver.
+    scores come first. Ids must differ. A round writes tables with a row per start
+    and cell or profile, and one number reaches the driver.
     """
-    met = cells_of(people, main, subs, ident, key, sub_keys).groupBy("respondent_id").agg(F.collect_list(F.struct("cell", "weight", "target")).alias("cells"))
-    who = written(people.select(F.col(ident).alias("respondent_id"), F.col(score).alias("_score")).join(met, "respondent_id"), "people")
-    placed = _placed(start_orders(who, starts, "_score", "respondent_id", "cells"), max(1, starts.band_rows // 4))
-    rows = written(placed.select("start_id", "pos", "respondent_id", "cells", F.lit(0).alias("state")), "rows")  # 0: undecided, 1: accepted
-    left = rows.count()
-    while left:
-        had = left
-        if starts.front_rows:
-            rows = written(_front(rows, starts.front_rows), "rows")
-            left = rows.filter("state = 0").count()
-        # A front step that drops a twentieth is worth another one; it has no shuffle of all.
-        if left > 0.95 * had:
-            rows = written(_round(rows, starts.band_rows), "rows")
-            left = rows.filter("state = 0").count()
-    return _ranked(rows.filter("state = 1").select("start_id", "pos", "respondent_id"), starts.band_rows)
+    main, subs = written(one_target(main, "m_key"), "main"), written(one_target(subs, "sub_id", "key"), "subs")
+    asked = people.select(F.col(ident).alias("respondent_id"), F.col(key).alias("m_key"), F.col(score).alias("_score"), F.col(sub_keys).alias("sub_keys"))
+    # Each of few large splits would be one task's orders of all starts.
+    asked = written(asked.repartition(people.sparkSession.sparkContext.defaultParallelism), "asked")
+    profiles, cells = _profiles(asked, main, subs)
+    orders = written(_heads(asked, profiles, starts), "orders")
+    placed = _placed(orders, max(1, starts.band_rows // 4))
+    chunk = F.floor(F.col("pos") / max(1, starts.band_rows // CHUNKS))
+    rows = written(placed.select("start_id", "pos", "respondent_id", "profile", chunk.alias("chunk")), "rows")
+    flat = rows.join(small(cells), "profile")
+    if (flat.groupBy("start_id").agg(F.sum(F.size("cells")).alias("n")).agg(F.max("n")).first()[0] or 0) <= starts.front_rows:
+        settled = flat.select("start_id", "pos", F.inline("cells")).groupBy("start_id").applyInPandas(_in_order, "pos long")
+        accepted = rows.join(written(settled, "settled"), "pos")
+    else:
+        late, differ = None, 1
+        while differ:
+            early, late = _round(rows, cells, late, starts)
+            differ = late.join(early.withColumnRenamed("fill", "other"), ["start_id", "cell"], "full").filter("NOT fill <=> other").count()
+        accepted = rows.join(small(_limits(cells, late, starts).select("start_id", "profile", "last")), ["start_id", "profile"]).filter("pos <= last")
+    return _ranked(written(accepted.select("start_id", "pos", "respondent_id"), "accepted"), starts.band_rows)
 
 
 def _ranked(accepted: DataFrame, band_rows: int) -> DataFrame:

@@ -169,3 +169,18 @@ def test_shortfall_of_an_allocation_in_many_steps(spark):
     keys = {p[0]: p[2] for p in people}
     filled = [keys[i] for i in greedy(people, main, subs)]
     assert {r.m_key: (r.wanted, r.filled) for r in short.collect()} == {k: (math.ceil(t), filled.count(k)) for k, t in main.items()}
+
+
+def test_many_alike_are_cut_before_the_order(spark, monkeypatch):
+    """Of a profile only as many as its least quota has room for are put in order, in each start; results are those of all."""
+    rng = random.Random(5)
+    people = [(i, rng.random(), rng.choice("ab"), [[rng.choice("pq")]]) for i in range(900)]
+    main, subs = {"a": 9.0, "b": 7.5}, {(0, "p"): 5.0, (0, "q"): 6.0}
+    put = []
+    real = quota._placed
+    monkeypatch.setattr(quota, "_placed", lambda orders, n: put.append(orders.count()) or real(orders, n))
+    assert run(spark, people, main, subs) == greedy(people, main, subs)
+    assert put == [22]
+    monkeypatch.setattr(quota, "HEAD_ROWS", 5)
+    assert run(spark, people, main, subs) == greedy(people, main, subs)
+    assert 200 < put[1] < 900
