@@ -184,3 +184,14 @@ def test_many_alike_are_cut_before_the_order(spark, monkeypatch):
     monkeypatch.setattr(quota, "HEAD_ROWS", 5)
     assert run(spark, people, main, subs) == greedy(people, main, subs)
     assert 200 < put[1] < 900
+
+
+def test_rounds_write_no_table_of_all(spark, monkeypatch):
+    rng = random.Random(12)
+    people = [(i, rng.random(), rng.choice("abc"), [[rng.choice("pqrs")]]) for i in range(500)]
+    main, subs = {k: 60.0 for k in "abc"}, {(0, k): 30.0 + 9 * i for i, k in enumerate("pqrs")}
+    large = []
+    real = quota.written
+    monkeypatch.setattr(quota, "written", lambda df, name: (lambda out: large.append(name) or out if out.count() >= 400 else out)(real(df, name)))
+    assert run(spark, people, main, subs, front_rows=0, band_rows=400) == greedy(people, main, subs)
+    assert sorted(large) == ["asked", "order", "orders", "rows"]
