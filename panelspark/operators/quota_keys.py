@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.text import clean_text
 from panelspark.operators.quota import COLUMNS, small
+from panelspark.shared import written
 
 #: Words that leave a dimension open, in lower case; fixed values.
 OPEN = ("", "전체", "합계", "계", "소계", "total", "all", "-", "*")
@@ -51,11 +52,13 @@ def _met(people: DataFrame, sheet: Sheet, keys: DataFrame, name: str) -> tuple[D
     width = len(sheet.dimensions)
     masks = sorted((r["mask"] for r in keys.select("mask").distinct().collect()), key=lambda m: (-m.bit_count(), -m))  # 2^3 at most
     names = []
+    texts = {d: f"{name}d{i}" for i, d in enumerate(sheet.dimensions)}
+    people = people.withColumns({t: plain_value(people, d) for d, t in texts.items()})
     for m in masks:
         named = [bool(m >> (width - 1 - i) & 1) for i in range(width)]
-        values = [plain_value(people, d) if here else F.lit(None).cast("string") for d, here in zip(sheet.dimensions, named, strict=True)]
+        values = [F.col(texts[d]) if here else F.lit(None).cast("string") for d, here in zip(sheet.dimensions, named, strict=True)]
         # A respondent without a value has no cell that names its dimension.
-        there = [plain_value(people, d).isNotNull() for d, here in zip(sheet.dimensions, named, strict=True) if here]
+        there = [F.col(texts[d]).isNotNull() for d, here in zip(sheet.dimensions, named, strict=True) if here]
         wanted = F.to_json(F.array(*values))
         for t in there:
             wanted = F.when(t, wanted)
@@ -77,10 +80,10 @@ def with_keys(people: DataFrame, main: Sheet, subs: list[Sheet]) -> DataFrame:
     if {"m_key", "sub_keys"} & {c.lower() for c in people.columns}:
         raise ValueError("people have a column m_key or sub_keys already")
     columns = [F.col(f"`{c}`") for c in people.columns]
-    found, mine = _met(people, main, sheet_keys(main), "_main")
+    found, mine = _met(people, main, written(sheet_keys(main), "keys"), "_main")
     lists = []
     for i, sub in enumerate(subs):
-        found, names = _met(found, sub, sheet_keys(sub), f"_sub{i}_")
+        found, names = _met(found, sub, written(sheet_keys(sub), "keys"), f"_sub{i}_")
         lists.append(F.array_compact(F.array(*[F.col(n) for n in names])) if names else F.array().cast("array<string>"))
     m_key = F.coalesce(*[F.col(n) for n in mine]) if mine else F.lit(None).cast("string")
     sub_keys = F.array(*lists) if lists else F.array().cast("array<array<string>>")

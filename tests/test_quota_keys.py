@@ -71,3 +71,16 @@ def test_corners(spark):
         quota_keys.with_keys(people.withColumnRenamed("sex", "m_key"), empty, [])
     with pytest.raises(ValueError):
         quota_keys.sheet_keys(Sheet(empty.cells, ()))
+
+
+def test_sheets_are_worked_out_once(spark):
+    """A sheet that a query derives from people is no part of the plan in which each of its masks is joined."""
+    from pyspark.sql import functions as F
+
+    people = spark.createDataFrame([(i, "ab"[i % 2], i % 3) for i in range(12)], "respondent_id long, segment string, area int")
+    nothing = F.lit(None).cast("string")
+    each = people.groupBy("segment", "area").count().select(F.col("segment").alias("qt1"), F.col("area").cast("string").alias("qt2"), nothing.alias("qt3"), F.col("count").cast("double").alias("target"))
+    total = people.groupBy("segment").count().select(F.col("segment").alias("qt1"), F.lit("전체").alias("qt2"), nothing.alias("qt3"), F.col("count").cast("double").alias("target"))
+    rows = quota_keys.with_keys(people, quota_keys.Sheet(each.unionByName(total), ("segment", "area")), [])
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.respondent_id, r.m_key) for r in rows.collect()} == {(i, f'["{"ab"[i % 2]}","{i % 3}"]') for i in range(12)}
