@@ -18,11 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.shared import written
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Levels of a list in the format.
 LEVELS = 9
 #: Paragraphs that a worker hands over at once.
 PIECE_ROWS = 1_000
+#: Lists of all files up to so many are broadcast; more are joined by shuffle.
+BROADCAST_LISTS = 10_000
 #: Korean letters that lists count with, fixed values.
 GANADA, CHOSUNG = "가나다라마바사아자차카타파하", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ"
 _LEVEL = "start int, override int, format string, text string, restart int, legal boolean"
@@ -180,12 +184,16 @@ def with_numbers(rows: DataFrame) -> DataFrame:
     Lists that share an abstract list count on from each other. A level begins
     again after a paragraph of a higher level, or of those that its restart rule
     names, and at the first paragraph of a list id that overrides the start. A
-    level that was skipped shows its start. Bullets have no label.
+    level that was skipped shows its start. Bullets have no label. The levels of a
+    list id stand in one of its rows at least.
     """
+    lists = rows.filter("levels IS NOT NULL").groupBy("path", "num").agg(F.first("levels").alias("levels"))
+    lists = F.broadcast(lists) if lists.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS else lists
+    rows = rows.drop("levels")
     order = Window.partitionBy("path", "list").orderBy("place")
     first = F.row_number().over(Window.partitionBy("path", "list", "num", "level").orderBy("place")) == 1
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    listed = rows.filter("num IS NOT NULL").withColumn("first", first)
+    listed = rows.filter("num IS NOT NULL").join(lists, ["path", "num"], "left").withColumn("first", first)
     at = lambda k: F.col("levels")[k]
     here = [(F.col("level") == k).cast("int") for k in range(LEVELS)]
     listed = listed.select("*", *[F.sum(here[k]).over(run).alias(f"s{k}") for k in range(LEVELS)])
@@ -202,14 +210,23 @@ def with_numbers(rows: DataFrame) -> DataFrame:
     listed = listed.withColumn("shown", F.transform("ns", lambda n, i: number_text(n, kind(i))))
     label = reduce(lambda text, k: F.replace(text, F.lit(f"%{k + 1}"), F.col("shown")[k]), range(LEVELS), mine["text"])
     label = F.when(mine["format"] == "bullet", F.lit(None)).otherwise(F.nullif(F.trim(label), F.lit("")))
-    numbers = listed.select("path", "place", F.get("ns", F.col("level")).alias("number"), label.alias("label"))
-    return rows.join(numbers, ["path", "place"], "left")
+    numbered = listed.select(*rows.columns, F.get("ns", F.col("level")).alias("number"), label.alias("label"))
+    return numbered.unionByName(rows.filter("num IS NULL").withColumns({"number": F.lit(None).cast("int"), "label": F.lit(None).cast("string")}))
+
+
+def _told_once(rows: Iterator[dict]) -> Iterator[dict]:
+    """Rows of a file without the levels of lists that a row before them has."""
+    told: set = set()
+    for row in rows:
+        yield row | {"levels": None} if row["num"] in told else row
+        told.add(row["num"])
 
 
 def paragraph_rows(files: DataFrame) -> DataFrame:
     """Rows (path, pos, in_table, text, tbl, row, col, level, number, label) of the paragraphs with text of files (path, content).
 
-    pos counts a file's paragraphs with text; null contents have no rows.
+    pos counts a file's paragraphs with text; null contents have no rows. Files are
+    read once, into a table in the shared folder that has each list's levels once.
     """
 
     names = [c.split()[0] for c in _ROW.split(", ")[:10]]
@@ -217,11 +234,11 @@ def paragraph_rows(files: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                found = iter(()) if content is None else word_rows(content)
+                found = iter(()) if content is None else _told_once(word_rows(content))
                 while piece := [{"path": name, **r} for r in itertools.islice(found, PIECE_ROWS)]:
                     yield pd.DataFrame(piece, columns=names, dtype=object)
 
-    numbered = with_numbers(files.select("path", "content").mapInPandas(rows, _ROW)).filter("text <> ''")
+    numbered = with_numbers(written(files.select("path", "content").mapInPandas(rows, _ROW), "paragraphs")).filter("text <> ''")
     pos = (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long")
     return numbered.select("path", pos.alias("pos"), F.col("tbl").isNotNull().alias("in_table"), "text", "tbl", "row", "col", "level", "number", "label")
 

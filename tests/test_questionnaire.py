@@ -151,3 +151,12 @@ def test_a_long_file_is_read_in_pieces():
 def test_a_task_hands_over_pieces(spark):
     rows = rows_of(spark, docx(para("x", 5) * 2_500, OUTLINE + NUM), docx("")).orderBy("pos").collect()
     assert [(r.pos, r.number, r.label) for r in rows] == [(i, i + 1, f"{i + 1}.") for i in range(2_500)]
+
+
+def test_levels_are_told_once_in_a_file(spark, monkeypatch):
+    """Nine levels in every row of a list were most of what Python handed over; files are read once."""
+    levels = [{"start": 1, "override": None, "format": "decimal", "text": "%1.", "restart": None, "legal": False}] * word.LEVELS
+    row = {"tbl": None, "row": None, "col": None, "text": "x", "list": "0", "level": 0, "levels": levels}
+    monkeypatch.setattr(word, "word_rows", lambda content: [row | {"place": i, "num": "12"[i % 2]} for i in range(6)])
+    told = [r["levels"] is not None for r in word._told_once(word.word_rows(b""))]
+    assert told == [True, True, False, False, False, False]
