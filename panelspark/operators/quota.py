@@ -65,8 +65,8 @@ def room(target: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast if it is within the bound, which is counted."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast if it is within the bound, which is counted; else joined by shuffle, even where files are so small for their rows that Spark would broadcast them."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def one_target(quota: DataFrame, *keys: str) -> DataFrame:
@@ -99,6 +99,16 @@ def bound(people: DataFrame, quota: DataFrame, key: str) -> DataFrame:
     return both.select("m_key", available.alias("available"), "wanted", F.least(available, "wanted").alias("most"))
 
 
+def with_key(chosen: DataFrame, people: DataFrame, ident: str = "respondent_id", key: str = "m_key") -> DataFrame:
+    """Rows of an allocation with m_key, their respondents' key.
+
+    Only the chosen are ever broadcast: left to itself, Spark planned anew as it ran, took them
+    for larger than everyone's ids and keys, and passed these through the driver.
+    """
+    asked = people.select(F.col(ident).alias("respondent_id"), F.col(key).alias("m_key"))
+    return asked.join(small(chosen), "respondent_id")
+
+
 def shortfall(chosen: DataFrame, quota: DataFrame, key: str = "m_key") -> DataFrame:
     """Rows (m_key, wanted, filled, missing) of an allocation."""
     rooms = one_target(quota, "m_key").select("m_key", room(F.col("target")).alias("wanted"))
@@ -185,7 +195,7 @@ def _profiles(asked: DataFrame, main: DataFrame, subs: DataFrame) -> tuple[DataF
     met = cells_of(alike, main, subs, "profile", "m_key", "sub_keys").groupBy(F.col("respondent_id").alias("profile")).agg(F.collect_list(F.struct("cell", "weight", "target")).alias("cells"))
     most = F.array_min(F.transform("cells", lambda c: F.ceil(c["target"] / c["weight"])))
     met = written(met.withColumn("most", most).filter("most > 0"), "met")
-    return alike.join(met.select("profile", "most"), "profile"), met.select("profile", "cells")
+    return alike.join(small(met.select("profile", "most")), "profile"), met.select("profile", "cells")
 
 
 def _heads(people: DataFrame, profiles: DataFrame, starts: Starts) -> DataFrame:

@@ -113,7 +113,7 @@ def q10_quota_multistart(spark, sf_dir):
 def q11_quota_shortfall(spark, sf_dir):
     people = _people(spark, sf_dir)
     chosen = quota.allocate(people, _main(spark), _subs(spark), quota.Starts(count=1, deviation=0.0))
-    return quota.shortfall(chosen.join(people.select("respondent_id", "m_key"), "respondent_id"), _main(spark))
+    return quota.shortfall(quota.with_key(chosen, people), _main(spark))
 
 
 def q12_straight_line(spark, sf_dir):

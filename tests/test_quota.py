@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from panelspark.operators import quota
+from panelspark.plans import catalogue
 
 PEOPLE = "respondent_id long, score double, m_key string, sub_keys array<array<string>>"
 NAN = float("nan")
@@ -195,3 +197,47 @@ def test_rounds_write_no_table_of_all(spark, monkeypatch):
     monkeypatch.setattr(quota, "written", lambda df, name: (lambda out: large.append(name) or out if out.count() >= 400 else out)(real(df, name)))
     assert run(spark, people, main, subs, front_rows=0, band_rows=400) == greedy(people, main, subs)
     assert sorted(large) == ["asked", "order", "orders", "rows"]
+
+
+def broadcasts(df):
+    """What is broadcast as df's plan stands before it runs."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "BroadcastExchange":
+            found.append(node.toString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan())
+    return found
+
+
+def many(spark, tmp_path):
+    """Writes 400 customers; what is wanted and filled of each key by the rule."""
+    rows = [(i, i % 25, float(i * 37 % 10_000), list(catalogue.MAIN)[i % 5]) for i in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    people = [(i, b / 10_000, m, [[str(n)], [str(math.floor((b + 1000) / 1000))]]) for i, n, b, m in rows]
+    subs = {(i, str(k)): t for i, targets in enumerate((catalogue.SUB, catalogue.BANDS)) for k, t in targets.items()}
+    filled = [people[i][2] for i in greedy(people, catalogue.MAIN, subs)]
+    return {k: (math.ceil(t), filled.count(k)) for k, t in catalogue.MAIN.items()}
+
+
+@pytest.mark.parametrize(("most", "way"), [(100_000, "broadcast"), (10, "merge")])
+def test_shortfall_says_how_all_are_joined(spark, tmp_path, monkeypatch, most, way):
+    """The chosen are broadcast if they are few, else there is a shuffle; left to Spark, it planned anew as it ran and broadcast everyone's keys."""
+    want = many(spark, tmp_path)
+    monkeypatch.setattr(quota, "BROADCAST_ROWS", most)
+    short = catalogue.q11_quota_shortfall(spark, str(tmp_path))
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"Join Inner, \(respondent_id#\d+L = respondent_id#\d+L\), rightHint=\(strategy={way}\)", plan)
+    assert {r.m_key: (r.wanted, r.filled) for r in short.collect()} == want
+
+
+def test_large_tables_are_not_broadcast_by_their_files(spark, monkeypatch):
+    monkeypatch.setattr(quota, "BROADCAST_ROWS", 10)
+    left, right = spark.range(50), spark.range(60)
+    joined = left.join(quota.small(right), "id")
+    assert broadcasts(joined) == [] and joined.count() == 50
+    few = left.join(quota.small(right.limit(10)), "id")
+    assert len(broadcasts(few)) == 1 and few.count() == 10
